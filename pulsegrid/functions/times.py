@@ -24,7 +24,7 @@ def _col(value: Column | str) -> Column:
 def seconds_between(later: Column | str, earlier: Column | str) -> Column:
     """``later - earlier`` in seconds (double, microsecond resolution)."""
     gap = (_col(later) - _col(earlier)).cast("interval second")
-    return gap.cast("decimal(20,6)").cast("double")
+    return gap.cast("decimal(18,6)").cast("double")
 
 
 def minutes_between(later: Column | str, earlier: Column | str) -> Column:
@@ -34,7 +34,7 @@ def minutes_between(later: Column | str, earlier: Column | str) -> Column:
 def epoch_seconds(ts: Column | str) -> Column:
     """Whole seconds since 1970 (bigint), rounded down."""
     gap = (_col(ts) - F.expr(EPOCH)).cast("interval second")
-    return F.floor(gap.cast("decimal(20,6)")).cast("bigint")
+    return F.floor(gap.cast("decimal(18,6)")).cast("bigint")
 
 
 def from_epoch_seconds(seconds: Column) -> Column:

@@ -68,6 +68,7 @@ def scan(
     next: Mapping[str, Column] | None = None,
     after: Mapping[str, Column] | None = None,
     cumsum: Mapping[str, Column] | None = None,
+    total: Mapping[str, Column] | None = None,
     row_index: str | None = None,
     row_count: str | None = None,
 ) -> DataFrame:
@@ -75,12 +76,13 @@ def scan(
 
     ``last`` / ``prev``: last non-null value at or before / strictly before the
     row.  ``next`` / ``after``: first non-null value at or after / strictly
-    after it.  ``cumsum``: running sum up to the row.  ``row_index``: 0-based
+    after it.  ``cumsum``: running sum up to the row.  ``total``: sum over the
+    whole key.  ``row_index``: 0-based
     position in the key; ``row_count``: rows of the key.  Rows are ordered by
     ``ts`` and then ``order``, which must make the order total where ties matter.
     Keys and ``ts`` must not be null.
     """
-    last, prev, next, after, cumsum = ({} if m is None else dict(m) for m in (last, prev, next, after, cumsum))
+    last, prev, next, after, cumsum, total = ({} if m is None else dict(m) for m in (last, prev, next, after, cumsum, total))
     rows = df.withColumn(CHUNK, chunk_of(ts, chunk_seconds))
     rank = F.struct(ts, *order)
 
@@ -88,6 +90,7 @@ def scan(
     aggs = [F.max_by(e, F.when(e.isNotNull(), rank)).alias(f"_b_{n}") for n, e in back.items()]
     aggs += [F.min_by(e, F.when(e.isNotNull(), rank)).alias(f"_a_{n}") for n, e in ahead.items()]
     aggs += [F.sum(e).alias(f"_s_{n}") for n, e in sums.items()]
+    aggs += [F.sum(e).alias(f"_t_{n}") for n, e in total.items()]
     if row_index or row_count:
         aggs.append(F.count(F.lit(1)).alias("_c"))
     summary = rows.groupBy(*keys, CHUNK).agg(*aggs)
@@ -98,6 +101,7 @@ def scan(
     carried = [F.last(f"_b_{n}", ignorenulls=True).over(earlier).alias(f"_b_{n}") for n in back]
     carried += [F.last(f"_a_{n}", ignorenulls=True).over(later).alias(f"_a_{n}") for n in ahead]
     carried += [F.coalesce(F.sum(f"_s_{n}").over(earlier), F.lit(0)).alias(f"_s_{n}") for n in sums]
+    carried += [F.sum(f"_t_{n}").over(by_key).alias(f"_t_{n}") for n in total]
     if row_index:
         carried.append(F.coalesce(F.sum("_c").over(earlier), F.lit(0)).alias("_i"))
     if row_count:
@@ -119,6 +123,8 @@ def scan(
         made[n] = F.coalesce(F.last(e, ignorenulls=True).over(frame), F.col(f"_a_{n}"))
     for n, e in sums.items():
         made[n] = F.coalesce(F.sum(e).over(asc.rowsBetween(*here)), F.lit(0)) + F.col(f"_s_{n}")
+    for n in total:
+        made[n] = F.col(f"_t_{n}")
     if row_index:
         made[row_index] = F.row_number().over(asc) - 1 + F.col("_i")
     if row_count:
@@ -126,3 +132,18 @@ def scan(
     # one select, so that all windows of one order share one sort
     keep = [c for c in df.columns if c not in made]
     return out.select(*keep, *[c.alias(n) for n, c in made.items()])
+
+
+def row_windows(
+    df: DataFrame, make, *, back_rows: int, index: str, keys: Sequence[str] = ("subject_id",), chunk_rows: int = 4096
+) -> DataFrame:
+    """Windows that count rows, on rows that may be far apart in time.
+
+    ``index`` is the row's position in its key (``scan(row_index=...)``).  Chunks
+    are runs of positions; each copies the ``back_rows`` rows before it.
+    ``make(window)`` returns name → column.
+    """
+    width, i = F.lit(chunk_rows), F.col(index)
+    own = F.floor(i / width)
+    copies = df.withColumn(CHUNK, F.explode(F.sequence(own, F.floor((i + back_rows) / width)))).withColumn(OWN, F.col(CHUNK) == own)
+    return drop_halo(copies.withColumns(make(Window.partitionBy(*keys, CHUNK).orderBy(index))))

@@ -13,6 +13,7 @@ from pulsegrid.operators import grid as G
 from pulsegrid.operators.intervals import close_open_ends, rate_per_bin
 from pulsegrid.operators.kernels import kernel_per_bin
 from pulsegrid.operators.timeline import WEEK, scan
+from pulsegrid.session import cut_lineage
 
 KEY = "subject_id"
 TARGET = "target_glucose"
@@ -63,7 +64,8 @@ def grid_parts(data: Mapping[str, DataFrame], spans: DataFrame, config: FeatureC
         parts.append(G.bin_events(data["cgm"], step, {"glucose_observed": F.avg("glucose")}))
     for kind, value in (("activity", "activity_value"), ("carbs", "carb_grams"), ("bolus", "bolus_units")):
         if kind in data:
-            parts.append(G.bin_events(data[kind].filter(F.col(value).isNotNull()), step, {value: F.sum(value)}))
+            extra = {"carb_records": F.count(F.lit(1))} if kind == "carbs" else {}
+            parts.append(G.bin_events(data[kind].filter(F.col(value).isNotNull()), step, {value: F.sum(value), **extra}))
     if "bolus" in data:
         parts.append(kernel_per_bin(data["bolus"], duration=config.iob_duration, step=step // 60))
     if "basal" in data:
@@ -81,7 +83,8 @@ ZERO_FILLED = (
 
 def full_grid(data: Mapping[str, DataFrame], config: FeatureConfig, spans: DataFrame | None = None) -> DataFrame:
     """Every bin of every subject with all features, before rows are dropped."""
-    spans = kind_spans(data) if spans is None else spans
+    # one row per subject, used by the grid and by open intervals
+    spans = cut_lineage(kind_spans(data)) if spans is None else spans
     step, chunk = config.step_seconds, config.chunk_seconds
     frame = G.assemble(G.time_grid(spans, step), grid_parts(data, spans, config))
     have = set(frame.columns)
@@ -93,6 +96,8 @@ def full_grid(data: Mapping[str, DataFrame], config: FeatureConfig, spans: DataF
         }
     ).withColumn("meal_event", (F.col("carb_grams") > 0).cast("int"))
 
+    # read twice by the scan below, and costly: store it once
+    frame = cut_lineage(frame)
     seen = F.when(F.col("glucose_observed").isNotNull(), F.struct(F.col("ts").alias("t"), F.col("glucose_observed").alias("g")))
     frame = scan(
         frame, chunk_seconds=chunk,

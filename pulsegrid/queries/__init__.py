@@ -1,7 +1,9 @@
 """Every registered query with its oracle SQL (None: rows-only check)."""
 
-from pulsegrid.queries import grid_queries
+from importlib import import_module
+
+MODULES = ("grid_queries", "audit_queries", "context_queries")
 
 REGISTRY = {}
-for _module in (grid_queries,):
-    REGISTRY.update(_module.QUERIES)
+for _name in MODULES:
+    REGISTRY.update(import_module(f"pulsegrid.queries.{_name}").QUERIES)
