@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pulsegrid.functions.scalars import reasons
-from pulsegrid.functions.times import minutes_between
+from pulsegrid.functions.times import epoch_seconds, minutes_between
 from pulsegrid.operators.asof import nearest_within, window_join
 from pulsegrid.operators.proxies import yes
 from pulsegrid.operators.timeline import scan
@@ -31,7 +31,7 @@ def meal_events(research: DataFrame, gap_minutes: float = 90.0) -> DataFrame:
     zero = lambda c: F.coalesce(F.col(c), F.lit(0.0))
     best = F.struct(
         "_explicit", zero("explicit_carb_grams").alias("c"), zero("meal_proxy_confidence").alias("p"), zero("bolus_units").alias("b"),
-        (-F.unix_micros(F.col("ts").cast("timestamp"))).alias("t"),
+        (-epoch_seconds("ts")).alias("t"),
     )
     picked = session_ids(rows, gap_minutes, "_cluster").groupBy(KEY, "_cluster").agg(
         F.max_by(F.struct("ts", "therapy_segment", "explicit_carb_grams", "bolus_units", "meal_proxy_confidence", "glucose"), best).alias("r"),

@@ -7,11 +7,12 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pulsegrid.functions.times import floor_ts, minutes_between
+from pulsegrid.functions.times import ceil_ts, floor_ts, minutes_between
 from pulsegrid.operators import grid as G
-from pulsegrid.operators.asof import asof_backward, freshness
+from pulsegrid.operators.asof import freshness
 from pulsegrid.operators.intervals import inside_flag
-from pulsegrid.operators.timeline import WEEK
+from pulsegrid.operators.timeline import WEEK, scan
+from pulsegrid.session import cut_lineage
 
 KEY = "subject_id"
 DAY_MINUTES = 1440
@@ -80,37 +81,49 @@ def workout_plausible() -> Column:
     ).cast("int")
 
 
-def health_context(
-    grid: DataFrame, health: Mapping[str, DataFrame], step_seconds: int, chunk_seconds: int = WEEK
-) -> tuple[DataFrame, list[str]]:
-    """All wearable features for each (subject, bin) of ``grid`` and their names.
+STATS = ("avg", "min", "max")
 
-    Runs on the full grid, so "24 h" is 24 hours even where rows are dropped
-    later.  Sparse metrics and the last workout come from one as-of pass.
-    """
-    out, names, parts, rights = grid.select(KEY, "ts"), [], [], {}
-    steps = lambda m: G.steps_of(m, step_seconds)
 
+def health_parts(health: Mapping[str, DataFrame], step_seconds: int) -> list[DataFrame]:
+    """Per-bin tables of the wearable kinds.
+
+    ``_w`` and ``_m_*`` are what the as-of columns carry forward: the latest
+    workout at the first bin that starts at or after its end, and each sparse
+    metric's mean at its bin.
+    """
+    parts = []
     if "health_activity" in health:
         parts.append(G.bin_events(health["health_activity"], step_seconds, {"health_activity_value": F.sum("activity_value")}))
     if "sleep" in health:
         both = health["sleep"].filter(F.col("sleep_start").isNotNull() & F.col("sleep_end").isNotNull())
         parts.append(inside_flag(both, step_seconds, "in_sleep", "sleep_start", "sleep_end"))
     if "workouts" in health:
-        parts.append(workout_bins(health["workouts"], step_seconds))
-        rights["last_workout"] = (health["workouts"], "end_ts", WORKOUT_VALUES)
-    stats = ["avg", "min", "max"]
+        done = health["workouts"].filter(F.col("end_ts").isNotNull())
+        parts.append(workout_bins(done, step_seconds))
+        parts.append(
+            done.withColumn("ts", ceil_ts("end_ts", step_seconds)).groupBy(KEY, "ts")
+            .agg(F.max(F.struct(F.col("end_ts").alias("t"), *WORKOUT_VALUES)).alias("_w"))
+        )
     if "measurements" in health:
-        parts.append(pivot_metric(health["measurements"], "heart_rate", stats, step_seconds))
+        rows = health["measurements"]
+        parts.append(pivot_metric(rows, "heart_rate", list(STATS), step_seconds))
+        at = F.struct(F.col("ts").alias("t"), F.col("value"))
         for metric, (name, _, _) in SPARSE_METRICS.items():
-            binned = G.bin_events(
-                health["measurements"].filter(F.col("metric") == metric), step_seconds, {"value": F.avg("value")}
-            )
-            rights[name] = (binned, "ts", ("value",))
-
-    out = G.assemble(out, parts) if parts else out
-    if rights:
-        out = asof_backward(out, rights, chunk_seconds=chunk_seconds)
+            binned = G.bin_events(rows.filter(F.col("metric") == metric), step_seconds, {"value": F.avg("value")})
+            parts.append(binned.select(KEY, "ts", at.alias(f"_m_{name}")))
+    return parts
+
+
+def health_carries(health: Mapping[str, DataFrame]) -> dict[str, Column]:
+    """What to carry forward (as-of columns) after :func:`health_parts`."""
+    out = {"last_workout": F.col("_w")} if "workouts" in health else {}
+    if "measurements" in health:
+        out |= {name: F.col(f"_m_{name}") for name, _, _ in SPARSE_METRICS.values()}
+    return out
+
+
+def health_values(health: Mapping[str, DataFrame]) -> dict[str, Column]:
+    """Row columns after the carry."""
     made: dict[str, Column] = {}
     if "health_activity" in health:
         made["health_activity_value"] = F.coalesce("health_activity_value", F.lit(0.0))
@@ -121,31 +134,66 @@ def health_context(
         made |= {f"last_workout_{v}": F.col(f"last_workout.{v}") for v in WORKOUT_VALUES}
         made["minutes_since_last_workout"] = F.coalesce(minutes_between("ts", F.col("last_workout.t")), F.lit(1e6))
     if "measurements" in health:
-        made |= {f"heart_rate_{s}_latest": F.col(f"heart_rate__{s}") for s in stats}
+        made |= {f"heart_rate_{s}_latest": F.col(f"heart_rate__{s}") for s in STATS}
         for name, fresh, cap in SPARSE_METRICS.values():
-            made[f"{name}_latest"] = F.col(f"{name}.value")
-            made[fresh] = freshness(name, cap)
-    out = out.withColumns(made)
-
-    def windows(w):
-        cols: dict[str, Column] = {}
-        if "health_activity" in health:
-            cols |= G.rolling_columns(w, "health_activity_value", "health_activity_roll_sum", (30, 60, 120), step_seconds, "sum")
-        if "workouts" in health:
-            cols |= workout_windows(w, step_seconds)
-        if "measurements" in health:
-            for s in stats:
-                cols |= G.rolling_columns(w, f"heart_rate__{s}", f"heart_rate_{s}_roll_mean", (30, 60), step_seconds, "mean")
-            for name, _, _ in SPARSE_METRICS.values():
-                cols[f"{name}_roll_mean_24h"] = G.rolling(w, f"{name}_latest", DAY_MINUTES, step_seconds, "mean")
-        return cols
-
-    out = G.bounded(out, windows, back_seconds=steps(DAY_MINUTES) * step_seconds, chunk_seconds=chunk_seconds)
+            made |= {f"{name}_latest": F.col(f"{name}.value"), fresh: freshness(name, cap)}
+    return made
+
+
+def health_windows(w, health: Mapping[str, DataFrame], step_seconds: int) -> dict[str, Column]:
+    cols: dict[str, Column] = {}
+    if "health_activity" in health:
+        cols |= G.rolling_columns(w, "health_activity_value", "health_activity_roll_sum", (30, 60, 120), step_seconds, "sum")
     if "workouts" in health:
-        out = out.withColumn("workout_summary_plausible", workout_plausible())
+        cols |= workout_windows(w, step_seconds)
+    if "measurements" in health:
+        for s in STATS:
+            cols |= G.rolling_columns(w, f"heart_rate__{s}", f"heart_rate_{s}_roll_mean", (30, 60), step_seconds, "mean")
+        for name, _, _ in SPARSE_METRICS.values():
+            cols[f"{name}_roll_mean_24h"] = G.rolling(w, f"{name}_latest", DAY_MINUTES, step_seconds, "mean")
+    return cols
+
+
+def long_totals(health: Mapping[str, DataFrame], step_seconds: int) -> list[str]:
+    """Columns whose 24-hour frames are wide enough for running totals."""
+    if G.steps_of(DAY_MINUTES, step_seconds) <= G.LONG_ROWS:
+        return []
+    out = ["workout_event_count", "workout_duration_event", "workout_energy_event"] if "workouts" in health else []
+    return out + ([f"{n}_latest" for n, _, _ in SPARSE_METRICS.values()] if "measurements" in health else [])
+
+
+def finish_health(df: DataFrame, health: Mapping[str, DataFrame]) -> DataFrame:
+    """Plausibility flag and nightly values; helper columns go."""
+    if "workouts" in health:
+        df = df.withColumn("workout_summary_plausible", workout_plausible())
     if "sleep" in health:
-        out = join_days(out, nightly_summary(health["sleep"]))
-    helpers = [c for c in out.columns if "__" in c or c in rights or c.startswith("workout_") and c.endswith("_event")]
-    out = out.drop(*helpers, "workout_event_count")
-    names = [c for c in out.columns if c not in (KEY, "ts", "workout_summary_plausible") and not c.endswith("_minutes_since_last")]
-    return out, names
+        df = join_days(df, nightly_summary(health["sleep"]))
+    helpers = [n for n, _, _ in SPARSE_METRICS.values()] + [f"heart_rate__{s}" for s in STATS] + [
+        "last_workout", "workout_event_count", "workout_duration_event", "workout_energy_event", "_w",
+    ] + [f"_m_{n}" for n, _, _ in SPARSE_METRICS.values()]
+    return df.drop(*helpers)
+
+
+def health_names(columns: list[str]) -> list[str]:
+    """The wearable feature names among ``columns``."""
+    marks = ("health_activity", "in_sleep", "prior_night_", "last_workout", "minutes_since_last_workout", "recent_workout", "workout_count", "workout_duration",
+             "workout_active", "heart_rate_", "hrv_", "respiratory_rate_", "resting_heart_rate_", "weight_")
+    return [c for c in columns if c.startswith(marks) and not c.endswith("_minutes_since_last")]
+
+
+def health_context(
+    grid: DataFrame, health: Mapping[str, DataFrame], step_seconds: int, chunk_seconds: int = WEEK
+) -> tuple[DataFrame, list[str]]:
+    """All wearable features for each (subject, bin) of ``grid`` and their names.
+
+    Runs on the full grid, so "24 h" is 24 hours even where rows are dropped
+    later.  One fold, one carry pass (every as-of column) and one window pass.
+    """
+    out = G.assemble(grid.select(KEY, "ts"), health_parts(health, step_seconds), keep_off_grid=True)
+    out = scan(cut_lineage(out), last=health_carries(health), chunk_seconds=chunk_seconds)
+    out = out.filter("_grid").drop("_grid").withColumns(health_values(health))
+    back = G.steps_of(DAY_MINUTES, step_seconds) * step_seconds
+    out = G.bounded(out, lambda w: health_windows(w, health, step_seconds), back_seconds=back, chunk_seconds=chunk_seconds,
+                    totals=long_totals(health, step_seconds))
+    out = finish_health(out, health)
+    return out, health_names(out.columns)

@@ -62,16 +62,18 @@ def bin_events(df: DataFrame, step_seconds: int, aggs: Mapping[str, Column], key
     )
 
 
-def assemble(grid: DataFrame, parts: Sequence[DataFrame], key: str = KEY) -> DataFrame:
+def assemble(grid: DataFrame, parts: Sequence[DataFrame], key: str = KEY, *, keep_off_grid: bool = False) -> DataFrame:
     """Grid left-joined with any number of per-bin tables in one shuffle.
 
     Each part has at most one row per (subject, bin).  Instead of a chain of
-    joins, grid and parts are stacked and folded by (subject, bin).
+    joins, grid and parts are stacked and folded by (subject, bin).  With
+    ``keep_off_grid`` rows outside the grid stay, for carrying forward; they
+    lack the flag ``_grid``.
     """
     names = [c for p in parts for c in p.columns if c not in (key, "ts")]
     stacked = union_all([grid.withColumn("_grid", F.lit(True)), *parts])
     folded = stacked.groupBy(key, "ts").agg(F.max("_grid").alias("_grid"), *[F.max(n).alias(n) for n in names])
-    return folded.filter("_grid").drop("_grid")
+    return folded if keep_off_grid else folded.filter("_grid").drop("_grid")
 
 
 def join_bins(grid: DataFrame, part: DataFrame, key: str = KEY) -> DataFrame:
@@ -121,10 +123,21 @@ def lag_columns(w: Window, minutes: Sequence[int], step_seconds: int, col: str =
     }
 
 
+# A sliding frame costs its width per row; wider ones use running totals.
+LONG_ROWS = 64
+
+
 def rolling(w: Window, col: str, minutes: int, step_seconds: int, how: str = "sum") -> Column:
-    """Mean or sum over the last n rows, the current one included; one row is enough."""
+    """Mean or sum over the last n rows, the current one included; one row is enough.
+
+    Frames above ``LONG_ROWS`` are the difference of two running totals, which
+    :func:`bounded` adds for the columns named in ``totals``.
+    """
     n = steps_of(minutes, step_seconds)
-    return {"sum": F.sum, "mean": F.avg}[how](col).over(w.rowsBetween(1 - n, 0))
+    if n <= LONG_ROWS:
+        return {"sum": F.sum, "mean": F.avg}[how](col).over(w.rowsBetween(1 - n, 0))
+    total, count = (F.col(f"_{k}_{col}") - F.coalesce(F.lag(f"_{k}_{col}", n).over(w), F.lit(0)) for k in ("sum", "cnt"))
+    return F.when(count > 0, total if how == "sum" else total / count)
 
 
 def rolling_columns(w: Window, col: str, prefix: str, minutes: Sequence[int], step_seconds: int, how: str) -> dict[str, Column]:
@@ -137,10 +150,25 @@ def lead_target(w: Window, horizon_minutes: int, step_seconds: int, *, imputed:
     return F.coalesce(target, F.lead("glucose", h).over(w)) if imputed else target
 
 
-def bounded(df: DataFrame, make, *, back_seconds: int = 0, ahead_seconds: int = 0, chunk_seconds: int = WEEK, key: str = KEY) -> DataFrame:
-    """Add window columns of bounded reach: ``make(window)`` returns name → column."""
+def bounded(
+    df: DataFrame, make, *, back_seconds: int = 0, ahead_seconds: int = 0, chunk_seconds: int = WEEK, key: str = KEY,
+    totals: Sequence[str] = (),
+) -> DataFrame:
+    """Add window columns of bounded reach: ``make(window)`` returns name → column.
+
+    ``totals`` names the columns that wide rolling frames need running totals of.
+    """
     halo = with_halo(df, back_seconds=back_seconds, ahead_seconds=ahead_seconds, chunk_seconds=chunk_seconds)
-    return drop_halo(halo.withColumns(make(chunk_window((key,)))))
+    w = chunk_window((key,))
+    if totals:
+        run = w.rowsBetween(Window.unboundedPreceding, 0)
+        halo = halo.withColumns(
+            {
+                **{f"_sum_{c}": F.coalesce(F.sum(c).over(run), F.lit(0.0)) for c in totals},
+                **{f"_cnt_{c}": F.count(c).over(run) for c in totals},
+            }
+        )
+    return drop_halo(halo.withColumns(make(w))).drop(*[f"_{k}_{c}" for c in totals for k in ("sum", "cnt")])
 
 
 def add_calendar(df: DataFrame, ts: str = "ts") -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pulsegrid.functions.scalars import DEFAULT_SEGMENTS, segment_columns
 from pulsegrid.functions.times import minute_of_day, minutes_between
 from pulsegrid.operators.timeline import row_windows, scan
+from pulsegrid.session import cut_lineage
 
 KEY = "subject_id"
 # Fixed values.
@@ -141,7 +142,8 @@ def stable_epochs(df: DataFrame, gap_minutes: float = 180.0) -> DataFrame:
     """Running epoch number: a new one after a long gap or at a rate change."""
     gap = yes(minutes_between("ts", "_prev_ts") > gap_minutes)
     new = (gap | yes(F.col("basal_schedule_change") > 0)).cast("int")
-    return scan(df, cumsum={"therapy_stable_epoch": new})
+    # the running sum reads its input twice
+    return scan(cut_lineage(df.withColumn("_new", new)), cumsum={"therapy_stable_epoch": F.col("_new")}).drop("_new")
 
 
 def research_frame(frame: DataFrame, *, segments: str = DEFAULT_SEGMENTS, mode: str = "strict") -> DataFrame:
@@ -151,7 +153,7 @@ def research_frame(frame: DataFrame, *, segments: str = DEFAULT_SEGMENTS, mode:
     table (rows without glucose or target are already gone).
     """
     meals = (yes(F.col("explicit_meal_event") > 0) | yes(F.col("explicit_carb_grams") > 0)).cast("int")
-    out = frame.withColumns(segment_columns("ts", segments))
+    out = cut_lineage(frame.withColumns(segment_columns("ts", segments)))
     out = scan(
         out, prev={"_prev_ts": F.col("ts"), "_prev_rate": F.col("basal_units_per_hour")}, total={"_meals": meals}, row_index="_i"
     )

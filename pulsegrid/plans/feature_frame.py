@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Mapping
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pulsegrid.functions.scalars import calendar_columns
+from pulsegrid.operators import context as C
 from pulsegrid.operators import grid as G
 from pulsegrid.operators.intervals import close_open_ends, rate_per_bin
 from pulsegrid.operators.kernels import kernel_per_bin
@@ -81,23 +82,32 @@ ZERO_FILLED = (
 )
 
 
-def full_grid(data: Mapping[str, DataFrame], config: FeatureConfig, spans: DataFrame | None = None) -> DataFrame:
-    """Every bin of every subject with all features, before rows are dropped."""
-    # one row per subject, used by the grid and by open intervals
-    spans = cut_lineage(kind_spans(data)) if spans is None else spans
+def full_grid(
+    data: Mapping[str, DataFrame], config: FeatureConfig, health: Mapping[str, DataFrame] | None = None
+) -> DataFrame:
+    """Every bin of every subject with all features, before rows are dropped.
+
+    Pump and wearable kinds share the passes: one fold by (subject, bin), one
+    carry pass, one pass of bounded windows.
+    """
+    health = health or {}
     step, chunk = config.step_seconds, config.chunk_seconds
-    frame = G.assemble(G.time_grid(spans, step), grid_parts(data, spans, config))
+    # one row per subject, used by the grid and by open intervals
+    spans = cut_lineage(kind_spans(data))
+    parts = grid_parts(data, spans, config) + C.health_parts(health, step)
+    frame = G.assemble(G.time_grid(spans, step), parts, keep_off_grid=True)
     have = set(frame.columns)
     frame = frame.withColumns(
         {
             **{c: F.coalesce(F.col(c), F.lit(0.0)) if c in have else F.lit(0.0) for c in ZERO_FILLED},
             "basal_schedule_change": F.coalesce("basal_schedule_change", F.lit(0)) if "basal_schedule_change" in have else F.lit(0),
             "glucose_observed": F.col("glucose_observed") if "glucose_observed" in have else F.lit(None).cast("double"),
+            "carb_records": F.col("carb_records") if "carb_records" in have else F.lit(None).cast("bigint"),
         }
     ).withColumn("meal_event", (F.col("carb_grams") > 0).cast("int"))
-
-    # read twice by the scan below, and costly: store it once
+    # read twice by the carry pass, and costly: store it once
     frame = cut_lineage(frame)
+
     seen = F.when(F.col("glucose_observed").isNotNull(), F.struct(F.col("ts").alias("t"), F.col("glucose_observed").alias("g")))
     frame = scan(
         frame, chunk_seconds=chunk,
@@ -105,15 +115,17 @@ def full_grid(data: Mapping[str, DataFrame], config: FeatureConfig, spans: DataF
             "_p": seen,
             "_meal": F.when(F.col("meal_event") == 1, F.col("ts")),
             "_change": F.when(F.col("basal_schedule_change") == 1, F.col("ts")),
+            **C.health_carries(health),
         },
-        next={"_q": seen},
-    )
+        next={"_q": seen}, total={"_records": F.col("carb_records")},
+    ).filter("_grid")
     frame = G.fill_from_neighbours(frame, fill_edges=config.fill_edges, gaps=config.gaps).withColumns(
         {
             "minutes_since_last_meal": F.coalesce(G.minutes_since("_meal"), F.lit(0.0)),
             "minutes_since_basal_change": F.coalesce(G.minutes_since("_change"), F.lit(0.0)),
+            **explicit_meals(), **C.health_values(health),
         }
-    ).drop("_p", "_q", "_meal", "_change")
+    ).drop("_p", "_q", "_meal", "_change", "_records", "carb_records", "_grid")
 
     def windows(w):
         return {
@@ -123,11 +135,12 @@ def full_grid(data: Mapping[str, DataFrame], config: FeatureConfig, spans: DataF
             **G.rolling_columns(w, "activity_value", "activity_roll_sum", config.activity_windows, step, "sum"),
             **G.rolling_columns(w, "carb_grams", "carb_roll_sum", config.carb_windows, step, "sum"),
             TARGET: G.lead_target(w, config.horizon_minutes, step, imputed=config.imputed_targets),
+            **C.health_windows(w, health, step),
         }
 
-    reach = max(*config.lags, *config.windows, *config.activity_windows, *config.carb_windows, step // 60) * 60
+    reach = max(*config.lags, *config.windows, *config.activity_windows, *config.carb_windows, step // 60, C.DAY_MINUTES if health else 0) * 60
     ahead = G.steps_of(config.horizon_minutes, step) * step
-    frame = G.bounded(frame, windows, back_seconds=reach, ahead_seconds=ahead, chunk_seconds=chunk)
+    frame = G.bounded(frame, windows, back_seconds=reach, ahead_seconds=ahead, chunk_seconds=chunk, totals=C.long_totals(health, step))
     frame = frame.withColumns({**calendar_columns("ts"), "target_delta": F.col(TARGET) - F.col("glucose")})
     if "carb_roll_sum_60m" in frame.columns:
         frame = frame.withColumns(
@@ -136,7 +149,22 @@ def full_grid(data: Mapping[str, DataFrame], config: FeatureConfig, spans: DataF
                 "carb_iob_interaction_60m": F.col("carb_roll_sum_60m") * F.col("iob_units"),
             }
         )
-    return frame
+    return C.finish_health(frame, health)
+
+
+def explicit_meals() -> dict[str, Column]:
+    """Observed meal truth: grams, event, minutes since, and status.
+
+    A subject without any carb record has status ``unavailable``, not "no meals".
+    """
+    eaten, known = F.col("carb_grams") > 0, F.coalesce(F.col("_records"), F.lit(0)) > 0
+    return {
+        "explicit_carb_source_available": known.cast("int"),
+        "explicit_carb_grams": F.when(known & eaten, F.col("carb_grams")),
+        "explicit_meal_event": F.when(known, eaten.cast("double")),
+        "minutes_since_last_explicit_meal": F.when(known, G.minutes_since("_meal")),
+        "meal_truth_status": F.when(~known, "unavailable").when(eaten, "observed_explicit").otherwise("missing_from_source"),
+    }
 
 
 def feature_names(columns: list[str], config: FeatureConfig) -> list[str]:

@@ -9,13 +9,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pulsegrid.functions.scalars import reasons
-from pulsegrid.functions.times import minutes_between
 from pulsegrid.operators import grid as G
 from pulsegrid.operators.audit import backfill_need, intersect_spans
-from pulsegrid.operators.context import health_context
-from pulsegrid.operators.timeline import scan
+from pulsegrid.operators.context import health_names
 from pulsegrid.plans.feature_frame import TARGET, FeatureConfig, feature_names, full_grid, kind_spans
-from pulsegrid.session import cut_lineage
 
 KEY = "subject_id"
 HEALTH_TIMES = {
@@ -31,45 +28,34 @@ class PreparedDataset:
     health_columns: list[str]
     config: FeatureConfig
     target_column: str = TARGET
+    full_grid: DataFrame | None = None
 
     @property
     def mode(self) -> str:
         return "wearable_enriched" if self.health_columns else "pump_only"
 
 
-def explicit_meals(grid: DataFrame) -> DataFrame:
-    """Observed meal truth: grams, event, minutes since, and status.
+def prepared_grid(
+    data: Mapping[str, DataFrame], health: Mapping[str, DataFrame] | None, config: FeatureConfig = FeatureConfig()
+) -> DataFrame:
+    """Every bin with features, wearable context and meal truth; features filled with 0."""
+    grid = full_grid(data, config, health)
+    return grid.fillna(0, subset=[n for n in feature_names(grid.columns, config) if n != "glucose"])
 
-    A subject without any carb record has status ``unavailable``, not "no meals".
-    """
-    records = F.col("carb_records") if "carb_records" in grid.columns else F.lit(None).cast("bigint")
-    eaten, known = F.col("carb_grams") > 0, F.coalesce(F.col("_records"), F.lit(0)) > 0
-    out = scan(grid, last={"_meal": F.when(eaten, F.col("ts"))}, total={"_records": records})
-    return out.withColumns(
-        {
-            "explicit_carb_source_available": known.cast("int"),
-            "explicit_carb_grams": F.when(known & eaten, F.col("carb_grams")),
-            "explicit_meal_event": F.when(known, eaten.cast("double")),
-            "minutes_since_last_explicit_meal": F.when(known, minutes_between("ts", "_meal")),
-            "meal_truth_status": F.when(~known, "unavailable").when(eaten, "observed_explicit").otherwise("missing_from_source"),
-        }
-    ).drop("_meal", "_records", "carb_records")
+
+def from_grid(grid: DataFrame, has_health: bool, config: FeatureConfig = FeatureConfig()) -> PreparedDataset:
+    """The dataset of a (stored) prepared grid: rows with glucose and target."""
+    pump = feature_names(grid.columns, config)
+    names = health_names(grid.columns) if has_health else []
+    frame = grid.dropna(subset=["glucose", TARGET])
+    return PreparedDataset(frame=frame, feature_columns=pump + names, pump_columns=pump, health_columns=names, config=config, full_grid=grid)
 
 
 def build_prepared_dataset(
     data: Mapping[str, DataFrame], health: Mapping[str, DataFrame] | None, config: FeatureConfig = FeatureConfig()
 ) -> PreparedDataset:
-    grid = full_grid(data, config)
-    pump = feature_names(grid.columns, config)
-    grid = grid.fillna(0, subset=[n for n in pump if n != "glucose"])
-    frame, names = grid, []
-    if health:
-        frame = cut_lineage(grid)
-        context, names = health_context(frame, health, config.step_seconds, config.chunk_seconds)
-        frame = frame.join(context, [KEY, "ts"], "left")
-    frame = explicit_meals(frame)
-    frame = frame.dropna(subset=["glucose", TARGET])
-    return PreparedDataset(frame=frame, feature_columns=pump + names, pump_columns=pump, health_columns=names, config=config)
+    """Feature rows with wearable context (when given) and meal truth."""
+    return from_grid(prepared_grid(data, health, config), bool(health), config)
 
 
 def fill_health(dataset: PreparedDataset) -> DataFrame:

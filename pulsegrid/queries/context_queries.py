@@ -10,10 +10,11 @@ from pulsegrid.operators import grid as G
 from pulsegrid.operators.asof import asof_backward, event_study, freshness, nearest_within, neighbours, trapezoid, window_join
 from pulsegrid.operators.intervals import inside_flag
 from pulsegrid.plans.feature_frame import HOURLY
-from pulsegrid.plans.prepared import build_prepared_dataset, fill_health, preparation_report
+from pulsegrid.plans.prepared import build_prepared_dataset, fill_health, from_grid, prepared_grid, preparation_report
 from pulsegrid.queries.grid_queries import hourly_grid, pump_kinds
 from pulsegrid.queries.sqlparts import PARTS, minutes, r, rounded, rs, with_
 from pulsegrid.sources import adapters as A
+from pulsegrid.sources.stored import shared
 
 KEY = "subject_id"
 
@@ -261,7 +262,10 @@ SQL_CONTEXT = with_("ctx", "select subject_id, ts, in_sleep, recent_workout_6h,
 
 
 def prepared(spark, sf_dir):
-    return build_prepared_dataset(pump_kinds(spark, sf_dir), health_kinds(spark, sf_dir), HOURLY)
+    """The prepared dataset; its full grid is stored once per application."""
+    health = health_kinds(spark, sf_dir)
+    grid = shared(spark, sf_dir, "prepared_grid", lambda: prepared_grid(pump_kinds(spark, sf_dir), health, HOURLY))
+    return from_grid(grid, bool(health), HOURLY)
 
 
 PREP = (

@@ -12,6 +12,7 @@ from pulsegrid.operators.timeline import scan
 from pulsegrid.plans.feature_frame import HOURLY, build_feature_frame, full_grid, kind_spans
 from pulsegrid.queries.sqlparts import K_ACT, K_IOB, minutes, r, rounded, rs, with_
 from pulsegrid.sources import adapters as A
+from pulsegrid.sources.stored import shared
 
 
 def pump_kinds(spark, sf_dir):
@@ -22,6 +23,10 @@ def pump_kinds(spark, sf_dir):
 
 
 def hourly_grid(spark, sf_dir):
+    return shared(spark, sf_dir, "hourly_grid", lambda: _hourly_grid(spark, sf_dir))
+
+
+def _hourly_grid(spark, sf_dir):
     return G.time_grid(kind_spans(pump_kinds(spark, sf_dir)), HOUR)
 
 
@@ -34,7 +39,7 @@ def q_span(spark, sf_dir):
 
 
 def q_time_grid(spark, sf_dir):
-    return hourly_grid(spark, sf_dir)
+    return _hourly_grid(spark, sf_dir)
 
 
 def q_bin_join(spark, sf_dir):

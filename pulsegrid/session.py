@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 # Settings the operators are tuned for.  On a cluster, shuffle partitions are
 # left to AQE: start high, let it coalesce.
@@ -37,13 +38,22 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def store(df: DataFrame) -> str:
+    """Write ``df`` as a parquet table in the shared folder; returns its path."""
+    path = f"{shared_folder(df.sparkSession)}/stored-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return path
+
+
+def stored_frame(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    return spark.read.schema(schema).parquet(path)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Store ``df`` once as a parquet table in the shared folder and read it back.
+    """Store ``df`` once and read it back.
 
     Used where a costly table feeds several branches.  The stored table is
     reliable (lost executors do not matter), keeps column pruning, and gives
     the optimizer true sizes for its join choices.
     """
-    path = f"{shared_folder(df.sparkSession)}/stored-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return stored_frame(df.sparkSession, store(df), df.schema)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from pulsegrid.functions.times import shift
 from pulsegrid.operators.timeline import scan
-from pulsegrid.session import cut_lineage
+from pulsegrid.sources.stored import shared
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -56,12 +56,15 @@ def activity(spark, sf_dir) -> DataFrame:
 
 def basal(spark, sf_dir) -> DataFrame:
     """Rate intervals; each ends where the subject's next one starts, the last has no end."""
+    return shared(spark, sf_dir, "basal", lambda: _basal(spark, sf_dir))
+
+
+def _basal(spark, sf_dir) -> DataFrame:
     rows = event_rows(spark, sf_dir, "signup").select("subject_id", "ts", "event_id", "value")
-    ended = scan(rows, order=["event_id"], after={"end_ts": F.col("ts")}).select(
+    return scan(rows, order=["event_id"], after={"end_ts": F.col("ts")}).select(
         "subject_id", F.col("ts").alias("start_ts"), "end_ts", (F.col("value") / 50).alias("basal_units_per_hour"),
         source_file().alias("source_file"), "event_id",
     )
-    return cut_lineage(ended)
 
 
 def workouts(spark, sf_dir) -> DataFrame:
