@@ -300,7 +300,7 @@ SQL_REGISTRY = with_("research", " union all ".join(_reg_sql(f) for f in REG))
 
 
 def q_registry_rollup(spark, sf_dir):
-    return rounded(P.registry_rollup(registry(spark, sf_dir)), "mean_availability", "mean_nonzero_fraction")
+    return rounded(P.registry_rollup(q_feature_registry(spark, sf_dir)), "mean_availability", "mean_nonzero_fraction")
 
 
 def q_research_gate(spark, sf_dir):
