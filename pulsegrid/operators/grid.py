@@ -96,7 +96,7 @@ def fill_glucose(df: DataFrame, *, fill_edges: bool = False, gaps: Sequence[int]
 
 def fill_from_neighbours(df: DataFrame, *, fill_edges: bool = False, gaps: Sequence[int] = (10, 20, 30)) -> DataFrame:
     """The column part of :func:`fill_glucose`, given ``_p`` (at or before) and ``_q`` (at or after)."""
-    share = minutes_between("ts", F.col("_p.t")) / minutes_between(F.col("_q.t"), F.col("_p.t"))
+    share = F.try_divide(minutes_between("ts", F.col("_p.t")), minutes_between(F.col("_q.t"), F.col("_p.t")))
     inner = F.col("_p.g") + (F.col("_q.g") - F.col("_p.g")) * share
     glucose = F.coalesce(F.col("glucose_observed"), inner)
     if fill_edges:

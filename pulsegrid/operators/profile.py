@@ -215,12 +215,17 @@ def safe_median(df: DataFrame, keys: Sequence[str], value: str | Column, default
     return df.select(*keys).distinct().join(medians, list(keys), "left").fillna(default, subset=[name])
 
 
+def correlation(left: Column, right: Column) -> Column:
+    """Aggregate: Pearson correlation, null where a side does not vary."""
+    both = left.isNotNull() & right.isNotNull()
+    a, b = F.when(both, left), F.when(both, right)
+    varies = (F.min(a) < F.max(a)) & (F.min(b) < F.max(b))
+    return F.when(varies, F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b)))
+
+
 def safe_correlation(df: DataFrame, keys: Sequence[str], left: str, right: str, name: str = "correlation") -> DataFrame:
-    """Correlation, null where a side has fewer than two distinct values."""
-    both = F.col(left).isNotNull() & F.col(right).isNotNull()
-    a, b = F.when(both, F.col(left)), F.when(both, F.col(right))
-    spread = (F.min(a) < F.max(a)) & (F.min(b) < F.max(b))
-    return df.groupBy(*keys).agg(F.when(spread, F.corr(a, b)).alias(name))
+    """Correlation per group, null where a side has fewer than two distinct values."""
+    return df.groupBy(*keys).agg(correlation(F.col(left), F.col(right)).alias(name))
 
 
 def sampler_rollup(stats: DataFrame, keys: Sequence[str] = ("fit_id",), max_depth: int = 10) -> DataFrame:
@@ -232,7 +237,8 @@ def sampler_rollup(stats: DataFrame, keys: Sequence[str] = ("fit_id",), max_dept
 
 
 def top_per_group(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int) -> DataFrame:
-    """First k rows of each group by a total order."""
+    """First k rows of each group by a total order (the limit is also applied
+    before the shuffle, so a hot group sends k rows per task)."""
     return df.withColumn("_rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter(F.col("_rank") <= k).drop("_rank")
 
 

@@ -10,7 +10,7 @@ exact for any data (linear interpolation, as ``percentile``).
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -22,10 +22,12 @@ def value_bucket(value: Column) -> Column:
     return F.when(value > 0, size).when(value < 0, -size).otherwise(F.lit(0))
 
 
-def exact_quantiles(
-    df: DataFrame, keys: Sequence[str], value: str | Column, probs: dict[str, float]
+def order_statistics(
+    df: DataFrame, keys: Sequence[str], value: str | Column, ranks: dict[str, Callable[[Column], Column]]
 ) -> DataFrame:
-    """One row per group: ``keys`` (not null), ``_n`` (values seen) and one column per prob."""
+    """One row per group: ``keys`` (not null), ``_n`` (values seen) and the value
+    at each 0-based rank, given as a function of the group size.  A rank
+    outside the group gives null."""
     v = F.col(value) if isinstance(value, str) else value
     rows = df.select(*keys, v.cast("double").alias("_v")).filter(F.col("_v").isNotNull() & ~F.isnan("_v"))
     counts = (
@@ -35,50 +37,73 @@ def exact_quantiles(
     )
     by_key = Window.partitionBy(*keys)
     before = by_key.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    ranks = F.array(
-        *[
-            F.struct(
-                F.lit(name).alias("name"),
-                F.lit(end).alias("end"),
-                (F.floor if end == "lo" else F.ceil)(F.lit(p) * (F.col("_n") - 1)).cast("bigint").alias("rank"),
-            )
-            for name, p in probs.items()
-            for end in ("lo", "hi")
-        ]
-    )
     wanted = (
         counts.groupBy(*keys, "_bucket").agg(F.sum("_c").alias("_bc"))
         .withColumn("_start", F.coalesce(F.sum("_bc").over(before), F.lit(0)))
         .withColumn("_n", F.sum("_bc").over(by_key))
-        .withColumn("_ranks", ranks)
         .withColumn(
             "_ranks",
+            F.array(*[F.struct(F.lit(n).alias("name"), rank(F.col("_n")).cast("bigint").alias("rank")) for n, rank in ranks.items()]),
+        )
+        .withColumn(
+            "_here",
             F.filter("_ranks", lambda r: (r["rank"] >= F.col("_start")) & (r["rank"] < F.col("_start") + F.col("_bc"))),
         )
-        .filter(F.size("_ranks") > 0)
-        .select(*keys, "_bucket", "_start", "_n", "_ranks")
+        # the first bucket stays, so that every group keeps its size
+        .filter((F.size("_here") > 0) | (F.col("_start") == 0))
+        .select(*keys, "_bucket", "_start", "_n", "_here")
     )
     inside = Window.partitionBy(*keys, "_bucket").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
     picked = (
         counts.join(wanted, [*keys, "_bucket"])
         .withColumn("_to", F.col("_start") + F.sum("_c").over(inside))
-        .withColumn("_r", F.explode("_ranks"))
-        .filter((F.col("_r.rank") < F.col("_to")) & (F.col("_r.rank") >= F.col("_to") - F.col("_c")))
+        .withColumn("_from", F.col("_to") - F.col("_c"))
     )
+    at = lambda name: F.max(
+        F.when(F.exists("_here", lambda r: (r["name"] == name) & (r["rank"] >= F.col("_from")) & (r["rank"] < F.col("_to"))), F.col("_v"))
+    )
+    return picked.groupBy(*keys).agg(F.max("_n").alias("_n"), *[at(n).alias(n) for n in ranks])
 
-    def end_value(name: str, end: str) -> Column:
-        return F.max(F.when((F.col("_r.name") == name) & (F.col("_r.end") == end), F.col("_v")))
 
-    ends = picked.groupBy(*keys).agg(
-        F.max("_n").alias("_n"),
-        *[end_value(name, end).alias(f"_{end}_{name}") for name in probs for end in ("lo", "hi")],
-    )
+def exact_quantiles(
+    df: DataFrame, keys: Sequence[str], value: str | Column, probs: dict[str, float]
+) -> DataFrame:
+    """One row per group: ``keys`` (not null), ``_n`` (values seen) and one column per prob."""
+    place = lambda p, n: F.lit(p) * (n - 1)
+    ranks = {}
+    for name, p in probs.items():
+        ranks[f"_lo_{name}"] = lambda n, p=p: F.floor(place(p, n))
+        ranks[f"_hi_{name}"] = lambda n, p=p: F.ceil(place(p, n))
+    ends = order_statistics(df, keys, value, ranks)
+    n = F.col("_n")
     out = [
         (
             F.col(f"_lo_{name}")
-            + (F.col(f"_hi_{name}") - F.col(f"_lo_{name}"))
-            * (F.lit(p) * (F.col("_n") - 1) - F.floor(F.lit(p) * (F.col("_n") - 1)))
+            + (F.col(f"_hi_{name}") - F.col(f"_lo_{name}")) * (place(p, n) - F.floor(place(p, n)))
         ).alias(name)
         for name, p in probs.items()
     ]
     return ends.select(*keys, "_n", *out)
+
+
+def leave_one_out_median(df: DataFrame, keys: Sequence[str], row_id: str, value: str, default: float, name: str) -> DataFrame:
+    """Per row the median of the other rows' values in its group.
+
+    Taking one value out shifts the middle by at most one place, so four order
+    statistics of the group and the row's own value are enough: no pairs of
+    rows are made.  Rows without a value get the median of all values; where no
+    value is left, the default.
+    """
+    lo, hi = (lambda n: F.floor((n - 2) / 2)), (lambda n: F.ceil((n - 2) / 2))
+    ranks = {
+        "_a": lo, "_a1": lambda n: lo(n) + 1, "_b": hi, "_b1": lambda n: hi(n) + 1,
+        "_m": lambda n: F.floor((n - 1) / 2), "_m1": lambda n: F.ceil((n - 1) / 2),
+    }
+    stats = order_statistics(df, keys, value, ranks)
+    v = F.col(value)
+    without = lambda k, k1: F.when(v <= F.col(k), F.col(k1)).otherwise(F.col(k))
+    loo = F.when(F.col("_n") > 1, (without("_a", "_a1") + without("_b", "_b1")) / 2)
+    whole = (F.col("_m") + F.col("_m1")) / 2
+    joined = df.select(*keys, row_id, value).join(stats, list(keys), "left")
+    picked = F.coalesce(F.when(v.isNull() | F.isnan(v), whole).otherwise(loo), F.lit(float(default)))
+    return joined.select(*keys, row_id, picked.alias(name))

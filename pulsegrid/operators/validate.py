@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pulsegrid.operators import models as M
-from pulsegrid.operators.profile import forecast_scores
+from pulsegrid.operators.profile import correlation, forecast_scores
 from pulsegrid.operators.timeline import row_windows, scan
 from pulsegrid.session import cut_lineage
 
@@ -115,7 +115,7 @@ def bayes_ar_walk(folds: DataFrame, keys: Sequence[str], features: Sequence[str]
     train = M.lookup(training_rows(folds), model, by, "_i").select(*by, "_i", (F.col(target) - pred).alias("_r"))
     pairs = row_windows(train, lambda w: {"_b": F.lag("_r").over(w)}, back_rows=1, index="_i", keys=by)
     facts = pairs.groupBy(*by).agg(
-        F.coalesce(F.corr("_r", "_b"), F.lit(0.0)).alias("_rho"), F.stddev_pop("_r").alias("_sd"), F.max_by("_r", "_i").alias("_last"), F.max("_i").alias("_at")
+        F.coalesce(correlation(F.col("_r"), F.col("_b")), F.lit(0.0)).alias("_rho"), F.stddev_pop("_r").alias("_sd"), F.max_by("_r", "_i").alias("_last"), F.max("_i").alias("_at")
     )
     scored = M.lookup(test_rows(folds), model.join(facts, by), by, "_i")
     carry = F.pow(F.col("_rho"), F.col("_i") - F.col("_at"))
