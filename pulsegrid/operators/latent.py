@@ -114,7 +114,8 @@ def compare_estimators(metrics: DataFrame, row_id: str = "meal_id") -> DataFrame
     full = _long(metrics.join(reference_parameters(metrics), KEY), [KEY, "observed_peak_delta"])
     corr = safe_correlation(full, [KEY, "model"], "latent", "observed_peak_delta", "peak_delta_correlation")
     inf = F.lit(float("inf"))
-    rank = F.struct(F.coalesce("peak_delta_mae", inf), F.coalesce("stated_carb_mae", inf), "model")
+    # rounded, so that float noise does not decide between equal errors
+    rank = F.struct(F.coalesce(F.round("peak_delta_mae", 6), inf).alias("p"), F.coalesce(F.round("stated_carb_mae", 6), inf).alias("s"), "model")
     # three rows per subject
     out = errors.join(corr, [KEY, "model"], "left").withColumn("_rank", rank)
     return out.withColumn("selected", F.col("_rank") == F.min("_rank").over(Window.partitionBy(KEY))).drop("_rank")

@@ -311,7 +311,7 @@ PARTS["ploo"] = (
 PARTS["lfull"] = ("lm lparam", f"select subject_id, peak, {_EST_ROWS} as e from lm join lparam using (subject_id)")
 PARTS["lcomp"] = (
     "ploo lfull",
-    "select *, row_number() over (partition by subject_id order by coalesce(pm, 1e300), coalesce(sm, 1e300), model) = 1 as selected from (select subject_id, model, count(*) as meal_count, avg(peak_error) as pm, avg(stated_error) as sm from ploo group by 1, 2) "
+    "select *, row_number() over (partition by subject_id order by coalesce(round(pm, 6), 1e300), coalesce(round(sm, 6), 1e300), model) = 1 as selected from (select subject_id, model, count(*) as meal_count, avg(peak_error) as pm, avg(stated_error) as sm from ploo group by 1, 2) "
     "left join (select subject_id, e.model as model, case when min(e.latent) < max(e.latent) and min(peak) < max(peak) then corr(e.latent, peak) end as pc from lfull group by 1, 2) using (subject_id, model)",
 )
 
