@@ -44,13 +44,15 @@ def fold_columns(df: DataFrame, keys: Sequence[str], *, order: Sequence[str] = (
     late = F.col("_i") - F.col("_first")
     purged = late + horizon_rows
     block = F.when(late < 0, 0).otherwise(F.floor(late / F.col("_test")) + 1)
-    return out.withColumns(
+    out = out.withColumns(
         {
             "n_folds": count.cast("int"),
             "test_fold": F.when(block <= count, block).otherwise(0).cast("int"),
             "train_from": F.when(purged < 0, 1).otherwise(F.floor(purged / F.col("_test")) + 2).cast("int"),
         }
     ).drop("_first", "_test")
+    # sums, training residuals and scoring each read the folds
+    return cut_lineage(out)
 
 
 def fold_sizes(folds: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -199,7 +201,7 @@ def model_comparison(
         parts.append(sizes.withColumns(label))
         if staged:
             continue
-        folds = cut_lineage(fold_columns(rows, keys, order=order, horizon_rows=horizon_rows, rule=half_folds).filter(F.col("_n") >= min_rows))
+        folds = fold_columns(rows, keys, order=order, horizon_rows=horizon_rows, rule=half_folds).filter(F.col("_n") >= min_rows)
         if folds.isEmpty():
             continue
         for name in families:
@@ -254,7 +256,7 @@ def screen_features(
 
     Availability is measured on the unfilled columns.
     """
-    folds = cut_lineage(fold_columns(frame, keys, order=order, horizon_rows=horizon_rows, rule=half_folds))
+    folds = fold_columns(frame, keys, order=order, horizon_rows=horizon_rows, rule=half_folds)
     by = [*keys, "fold"]
     names = [*base, *extra]
     both = cut_lineage(M.solve(fold_sums(folds, keys, names, target), by))

@@ -80,7 +80,7 @@ def normalize_records(records: DataFrame, kind: str, *, zone: str = "UTC", bin_s
 
 def read_archived_payloads(spark: SparkSession, root: str) -> DataFrame:
     """Archived payload files ``<start>__<end>/raw/<family>.json``: window, family, text."""
-    raw = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").text(root)
+    raw = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").text(root, wholetext=True)
     pattern = r"/(\d{4}-\d{2}-\d{2})__(\d{4}-\d{2}-\d{2})/raw/([^/]+)\.json$"
     part = lambda i: F.regexp_extract("_metadata.file_path", pattern, i)
     out = raw.select(part(1).try_cast("date").alias("window_start"), part(2).try_cast("date").alias("window_end"), part(3).alias("family"), "value")
@@ -152,7 +152,7 @@ def read_sectioned(spark: SparkSession, path: str, markers: dict[str, str]) -> D
     Line order comes from the file read whole per file (such exports are small
     single files; many files are read in parallel).
     """
-    whole = spark.read.option("wholetext", True).text(path).select(F.element_at(F.split("_metadata.file_path", "/"), -1).alias("source_file"), "value")
+    whole = spark.read.text(path, wholetext=True).select(F.element_at(F.split("_metadata.file_path", "/"), -1).alias("source_file"), "value")
     lines = whole.select("source_file", F.posexplode(F.split("value", r"\r?\n")).alias("line_no", "value"))
     return section_lines(lines, markers, keys=["source_file"])
 
