@@ -8,14 +8,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pulsegrid.functions.times import epoch_seconds, minutes_between, seconds_between, shift
-from pulsegrid.operators.timeline import WEEK, scan
+from pulsegrid.operators.timeline import HOUR, scan
 
 KEY = "subject_id"
 
 
 def asof_backward(
     left: DataFrame, rights: Mapping[str, tuple[DataFrame, str, Sequence[str]]], *, keys: Sequence[str] = (KEY,),
-    ts: str = "ts", chunk_seconds: int = WEEK,
+    ts: str = "ts", chunk_seconds: int = HOUR,
 ) -> DataFrame:
     """Latest row of each right table at or before each left row.
 
@@ -82,7 +82,7 @@ def nearest_within(
 
 def neighbours(events: DataFrame, keys: Sequence[str] = (KEY,), ts: str = "ts", order: Sequence[str] = ()) -> DataFrame:
     """Time of the event before and after each event."""
-    return scan(events, keys=keys, ts=ts, order=order, prev={"prev_ts": F.col(ts)}, after={"next_ts": F.col(ts)})
+    return scan(events, keys=keys, ts=ts, order=order, chunk_seconds=HOUR, prev={"prev_ts": F.col(ts)}, after={"next_ts": F.col(ts)})
 
 
 def event_study(

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pulsegrid.functions.scalars import reasons
 from pulsegrid.functions.times import minutes_between
 from pulsegrid.operators.quantiles import exact_quantiles
-from pulsegrid.operators.timeline import scan
+from pulsegrid.operators.timeline import HOUR, scan
 
 REQUIRED_KINDS = ("cgm", "bolus", "basal")
 GAP_MINUTES = 7.5
@@ -22,7 +22,7 @@ GAP_MINUTES = 7.5
 def step_minutes(times: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Minutes from each distinct time of a group to the one before it."""
     unique = times.select(*keys, "ts").distinct()
-    return scan(unique, keys=keys, prev={"_before": F.col("ts")}).withColumn(
+    return scan(unique, keys=keys, chunk_seconds=HOUR, prev={"_before": F.col("ts")}).withColumn(
         "step_minutes", minutes_between("ts", "_before")
     )
 

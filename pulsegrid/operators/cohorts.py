@@ -11,16 +11,16 @@ from pulsegrid.functions.scalars import reasons
 from pulsegrid.functions.times import epoch_seconds, minutes_between
 from pulsegrid.operators.asof import nearest_within, window_join
 from pulsegrid.operators.proxies import yes
-from pulsegrid.operators.timeline import scan
+from pulsegrid.operators.timeline import HOUR, scan
 
 KEY = "subject_id"
 
 
 def session_ids(events: DataFrame, gap_minutes: float, name: str = "session", order: tuple[str, ...] = ()) -> DataFrame:
     """Number the runs of events with gaps up to ``gap_minutes`` (an equal gap joins), from 1."""
-    out = scan(events, order=order, prev={"_before": F.col("ts")})
+    out = scan(events, order=order, chunk_seconds=HOUR, prev={"_before": F.col("ts")})
     new = F.coalesce((minutes_between("ts", "_before") > gap_minutes).cast("int"), F.lit(1))
-    return scan(out, order=order, cumsum={name: new}).drop("_before")
+    return scan(out, order=order, chunk_seconds=HOUR, cumsum={name: new}).drop("_before")
 
 
 def meal_events(research: DataFrame, gap_minutes: float = 90.0) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pulsegrid.functions.scalars import finite, reasons
 from pulsegrid.functions.times import seconds_between
 from pulsegrid.operators.proxies import yes
-from pulsegrid.operators.timeline import scan
+from pulsegrid.operators.timeline import HOUR, scan
 
 LEVELS = ("diagnostics_only", "research_only", "published_latest", "default_trusted")
 
@@ -78,7 +78,7 @@ def readiness(artifacts: DataFrame) -> DataFrame:
 def promotion(decisions: DataFrame, keys: Sequence[str], run_time: str, order: Sequence[str] = ()) -> DataFrame:
     """Compare each run's trust level with the run before it."""
     order_of = lambda c: F.array_position(F.array(*[F.lit(x) for x in LEVELS]), c) - 1
-    out = scan(decisions, keys=keys, ts=run_time, order=order, prev={"previous_level": F.col("trust_level")})
+    out = scan(decisions, keys=keys, ts=run_time, order=order, chunk_seconds=HOUR, prev={"previous_level": F.col("trust_level")})
     now, before = order_of(F.col("trust_level")), order_of(F.col("previous_level"))
     first = F.col("previous_level").isNull()
     return out.withColumns({"promoted": first | yes(now > before), "demoted": ~first & yes(now < before)}).withColumn(

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pulsegrid.functions.times import DAY, epoch_seconds, floor_ts, from_epoch_seconds, minutes_between, shift
-from pulsegrid.operators.timeline import scan
+from pulsegrid.operators.timeline import HOUR, scan
 
 KEY = "subject_id"
 
@@ -78,7 +78,7 @@ def rate_per_bin(intervals: DataFrame, step_seconds: int, order: str) -> DataFra
     valid = intervals.filter(
         F.col("start_ts").isNotNull() & F.col("basal_units_per_hour").isNotNull() & (F.col("end_ts") > F.col("start_ts"))
     )
-    with_prev = scan(valid, ts="start_ts", order=[order], prev={"_prev": F.col("basal_units_per_hour")})
+    with_prev = scan(valid, ts="start_ts", order=[order], chunk_seconds=HOUR, prev={"_prev": F.col("basal_units_per_hour")})
     hit = interval_overlap(with_prev, step_seconds)
     rate, minutes = F.col("basal_units_per_hour"), F.col("overlap_minutes")
     starts_here = F.col("ts") == floor_ts("start_ts", step_seconds)

@@ -53,12 +53,13 @@ def gram_sums(df: DataFrame, keys: Sequence[str], features: Sequence[str], targe
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             z = np.column_stack([np.ones(len(pdf)), pdf[names].to_numpy(dtype=float)])
-            code, index = pdf.groupby(keys, sort=False, dropna=False).ngroup().to_numpy(), None
+            if pdf.empty:
+                continue
+            code = pdf.groupby(keys, sort=False, dropna=False).ngroup().to_numpy()
             order = np.argsort(code, kind="stable")
-            starts = np.flatnonzero(np.r_[True, np.diff(code[order]) != 0]) if len(pdf) else []
-            index = order[starts] if len(pdf) else []
-            parts = np.split(order, starts[1:]) if len(pdf) else []
-            out = pdf.iloc[index][keys].reset_index(drop=True)
+            starts = np.flatnonzero(np.r_[True, np.diff(code[order]) != 0])
+            parts = np.split(order, starts[1:])
+            out = pdf.iloc[order[starts]][keys].reset_index(drop=True)
             out["g"] = [(z[p].T @ z[p]).ravel() for p in parts]
             yield out
 

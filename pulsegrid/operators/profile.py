@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pulsegrid.functions.scalars import safety_weight
 from pulsegrid.operators.proxies import yes
 from pulsegrid.operators.quantiles import exact_quantiles
-from pulsegrid.operators.timeline import scan
+from pulsegrid.operators.timeline import HOUR, row_windows, scan
 
 KEY = "subject_id"
 
@@ -202,9 +202,7 @@ def persistence_scores(df: DataFrame, keys: Sequence[str] = (KEY,), target: str
 
 def self_difference(df: DataFrame, steps: int, value: str, keys: Sequence[str] = (KEY,)) -> DataFrame:
     """Mean absolute h-row change of a series."""
-    from pulsegrid.operators.timeline import row_windows
-
-    indexed = scan(df.select(*keys, "ts", value), keys=keys, row_index="_i")
+    indexed = scan(df.select(*keys, "ts", value), keys=keys, chunk_seconds=HOUR, row_index="_i")
     out = row_windows(indexed, lambda w: {"_d": F.abs(F.col(value) - F.lag(value, steps).over(w))}, back_rows=steps, index="_i", keys=keys)
     return out.groupBy(*keys).agg(F.avg("_d").alias("persistence_mae"))
 

@@ -11,7 +11,7 @@ from pulsegrid import schemas as Sc
 from pulsegrid.functions.scalars import safe_double
 from pulsegrid.functions.times import floor_ts, parse_local
 from pulsegrid.operators.audit import merge_by_priority
-from pulsegrid.operators.timeline import scan
+from pulsegrid.operators.timeline import HOUR, scan
 
 BIN = 300
 
@@ -97,7 +97,7 @@ def merge_carbs(direct: DataFrame | None, bolus: DataFrame | None) -> DataFrame
 def close_basal(basal: DataFrame, window_end: Column, keys: Sequence[str] = ("subject_id",), order: Sequence[str] = ()) -> DataFrame:
     """A missing end becomes the next start, else the day after the window's end."""
     dated = basal.filter(F.col("start_ts").isNotNull())
-    out = scan(dated, keys=keys, ts="start_ts", order=order, after={"_next": F.col("start_ts")})
+    out = scan(dated, keys=keys, ts="start_ts", order=order, chunk_seconds=HOUR, after={"_next": F.col("start_ts")})
     end = F.coalesce("end_ts", "_next", F.date_add(window_end, 1).cast("timestamp_ntz"))
     return out.withColumn("end_ts", end).drop("_next")
 

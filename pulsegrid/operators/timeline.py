@@ -24,7 +24,8 @@ from pulsegrid.functions.times import DAY, epoch_seconds
 
 CHUNK = "_chunk"
 OWN = "_own"
-WEEK = 7 * DAY
+WEEK = 7 * DAY  # for binned grids: 2016 five-minute rows
+HOUR = 3600  # for raw events, where one subject may be dense
 
 
 def chunk_of(ts: str | Column, chunk_seconds: int) -> Column:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from pulsegrid.operators import models as M
 from pulsegrid.operators.profile import correlation, forecast_scores
-from pulsegrid.operators.timeline import row_windows, scan
+from pulsegrid.operators.timeline import HOUR, row_windows, scan
 from pulsegrid.session import cut_lineage
 
 
@@ -34,7 +34,7 @@ def half_folds(n: Column, folds: int = 0) -> tuple[Column, Column]:
 
 def fold_columns(df: DataFrame, keys: Sequence[str], *, order: Sequence[str] = (), horizon_rows: int = 1, folds: int = 4, rule=equal_folds, ts: str = "ts") -> DataFrame:
     """Adds ``_i``, ``_n``, ``test_fold`` (0: none), ``train_from`` and ``n_folds``."""
-    out = scan(df, keys=keys, ts=ts, order=order, row_index="_i", row_count="_n")
+    out = scan(df, keys=keys, ts=ts, order=order, chunk_seconds=HOUR, row_index="_i", row_count="_n")
     first, test = rule(F.col("_n"), folds)
     out = out.withColumns({"_first": first.cast("bigint"), "_test": test.cast("bigint")})
     count = F.when(

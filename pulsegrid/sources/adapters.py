@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pulsegrid.functions.times import shift
-from pulsegrid.operators.timeline import scan
+from pulsegrid.operators.timeline import HOUR, scan
 from pulsegrid.sources.stored import shared
 
 
@@ -61,7 +61,7 @@ def basal(spark, sf_dir) -> DataFrame:
 
 def _basal(spark, sf_dir) -> DataFrame:
     rows = event_rows(spark, sf_dir, "signup").select("subject_id", "ts", "event_id", "value")
-    return scan(rows, order=["event_id"], after={"end_ts": F.col("ts")}).select(
+    return scan(rows, order=["event_id"], chunk_seconds=HOUR, after={"end_ts": F.col("ts")}).select(
         "subject_id", F.col("ts").alias("start_ts"), "end_ts", (F.col("value") / 50).alias("basal_units_per_hour"),
         source_file().alias("source_file"), "event_id",
     )
