@@ -28,14 +28,20 @@ def build_session(app_name: str = "pulsegrid", master: str | None = None, **conf
     return builder.getOrCreate()
 
 
+# application id → folder made for it, where the cluster names none
+_OWN_FOLDER: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder the cluster names in ``spark.checkpoint.dir``; only where
-    that is unset (tests), a fresh folder under /tmp, kept for the session."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    that is unset (tests), a fresh folder under /tmp, kept for the application."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if named:
+        return named
+    app = spark.sparkContext.applicationId
+    if app not in _OWN_FOLDER:
+        _OWN_FOLDER[app] = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    return _OWN_FOLDER[app]
 
 
 def store(df: DataFrame) -> str:
