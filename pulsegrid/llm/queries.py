@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import functions as F
 
+from pulsegrid.llm.decontaminate import contaminated_spans, judged
 from pulsegrid.llm.token_files import read_token_files, write_token_files
 
 
@@ -17,6 +17,36 @@ def q_tokens(spark, sf_dir):
     return read_token_files(manifest)
 
 
+def q_decontaminate(spark, sf_dir):
+    return judged(contaminated_spans(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
+
+
+# words of a text, lower-cased A-Z only
+def sql_words(text: str) -> str:
+    return f"regexp_extract_all(translate(coalesce({text}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+
+
+DECONTAMINATE_SQL = f"""
+with d as (select doc_id, {sql_words('text')} as w from documents),
+b as (select item_id, {sql_words('text')} as w from benchmark),
+bw as (
+  select distinct item_id, least(13, len(w)) as n, array_to_string(list_slice(w, s, s + least(13, len(w)) - 1), ' ') as win
+  from (select item_id, w, unnest(range(1, greatest(len(w) - 12, 1) + 1)) as s from b where len(w) > 0)
+),
+sizes as (select distinct n from bw),
+dw as (
+  select doc_id, n, s, array_to_string(list_slice(w, s, s + n - 1), ' ') as win
+  from (select doc_id, w, n, unnest(range(1, len(w) - n + 2)) as s from d, sizes where len(w) >= n)
+),
+m as (select distinct doc_id, item_id, n, s from dw join bw using (n, win)),
+hit as (select doc_id, count(distinct p) as n_hit from (select doc_id, unnest(range(s, s + n)) as p from m) group by doc_id),
+items as (select doc_id, count(*) as n_items, sha256(string_agg(i, ',' order by i)) as items_sha256 from (select distinct doc_id, cast(item_id as varchar) as i from m) group by doc_id)
+select d.doc_id, cast(len(w) as bigint) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items, coalesce(items_sha256, sha256('')) as items_sha256,
+  coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(w) as contaminated
+from d left join hit using (doc_id) left join items using (doc_id)
+"""
+
 QUERIES = {
     "op2_token_files": (q_tokens, None),
+    "op8_decontaminate": (q_decontaminate, DECONTAMINATE_SQL),
 }
