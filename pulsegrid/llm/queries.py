@@ -5,6 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 
 from pulsegrid.llm.decontaminate import contaminated_spans, judged
+from pulsegrid.llm.packing import pack, pieces
 from pulsegrid.llm.token_files import read_token_files, write_token_files
 
 
@@ -17,6 +18,14 @@ def q_tokens(spark, sf_dir):
     return read_token_files(manifest)
 
 
+def packed(docs):
+    return pack(pieces(docs, public_tokenizers.path("byte_bpe_50k.json"), "kept", 0))
+
+
+def q_packing(spark, sf_dir):
+    return packed(table(spark, sf_dir, "documents"))
+
+
 def q_decontaminate(spark, sf_dir):
     return judged(contaminated_spans(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
@@ -48,5 +57,6 @@ from d left join hit using (doc_id) left join items using (doc_id)
 
 QUERIES = {
     "op2_token_files": (q_tokens, None),
+    "op6_packing": (q_packing, None),
     "op8_decontaminate": (q_decontaminate, DECONTAMINATE_SQL),
 }
