@@ -5,6 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 
 from pulsegrid.llm.decontaminate import contaminated_spans, judged
+from pulsegrid.llm.hmm_lm import score_documents
 from pulsegrid.llm.packing import pack, pieces
 from pulsegrid.llm.token_files import read_token_files, write_token_files
 
@@ -18,6 +19,10 @@ def q_tokens(spark, sf_dir):
     return read_token_files(manifest)
 
 
+def q_hmm(spark, sf_dir):
+    return score_documents(table(spark, sf_dir, "documents"))
+
+
 def packed(docs):
     return pack(pieces(docs, public_tokenizers.path("byte_bpe_50k.json"), "kept", 0))
 
@@ -59,4 +64,5 @@ QUERIES = {
     "op2_token_files": (q_tokens, None),
     "op6_packing": (q_packing, None),
     "op8_decontaminate": (q_decontaminate, DECONTAMINATE_SQL),
+    "op10_hmm_lm": (q_hmm, None),
 }
