@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import public_tokenizers
+from pyspark.sql import functions as F
 
 from pulsegrid.llm.decontaminate import contaminated_spans, judged
 from pulsegrid.llm.hmm_lm import score_documents
 from pulsegrid.llm.packing import pack, pieces
 from pulsegrid.llm.token_files import read_token_files, write_token_files
+from pulsegrid.llm.vp_search import nearest, usable
 
 
 def table(spark, sf_dir, name):
@@ -23,6 +25,11 @@ def q_hmm(spark, sf_dir):
     return score_documents(table(spark, sf_dir, "documents"))
 
 
+def q_nearest(spark, sf_dir):
+    vectors = usable(table(spark, sf_dir, "embeddings"))
+    return nearest(vectors, vectors.filter(F.col("vec_id") % 20 == 0))
+
+
 def packed(docs):
     return pack(pieces(docs, public_tokenizers.path("byte_bpe_50k.json"), "kept", 0))
 
@@ -60,9 +67,23 @@ select d.doc_id, cast(len(w) as bigint) as n_words, coalesce(n_hit, 0) as n_hit,
 from d left join hit using (doc_id) left join items using (doc_id)
 """
 
+NEAREST_SQL = """
+with e as (
+  select vec_id, [x::double for x in embedding] as v from embeddings
+  where vec_id is not null and len(list_filter(embedding, lambda x: x is not null and isfinite(x))) = len(embedding) and len(list_filter(embedding, lambda x: x <> 0)) > 0
+),
+s as (
+  select q.vec_id as query_id, c.vec_id, list_inner_product(q.v, c.v) as score
+  from e q join e c on q.vec_id % 20 = 0 and c.vec_id <> q.vec_id
+)
+select query_id, cast(row_number() over (partition by query_id order by score desc, vec_id) as integer) as rank, vec_id, score
+from s qualify rank <= 20
+"""
+
 QUERIES = {
     "op2_token_files": (q_tokens, None),
     "op6_packing": (q_packing, None),
     "op8_decontaminate": (q_decontaminate, DECONTAMINATE_SQL),
+    "op9_vp_search": (q_nearest, NEAREST_SQL),
     "op10_hmm_lm": (q_hmm, None),
 }
