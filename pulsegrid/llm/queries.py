@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from pulsegrid.llm.decontaminate import contaminated_spans, judged
 from pulsegrid.llm.hmm_lm import score_documents
+from pulsegrid.llm.ngram_join import numbered, similar_documents
 from pulsegrid.llm.packing import pack, pieces
 from pulsegrid.llm.token_files import read_token_files, write_token_files
 from pulsegrid.llm.vp_search import nearest, usable
@@ -30,6 +31,11 @@ def q_nearest(spark, sf_dir):
     return nearest(vectors, vectors.filter(F.col("vec_id") % 20 == 0))
 
 
+def q_ngram_join(spark, sf_dir):
+    found = similar_documents(numbered(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    return found.select("doc_id", "class_id", "n_links")
+
+
 def packed(docs):
     return pack(pieces(docs, public_tokenizers.path("byte_bpe_50k.json"), "kept", 0))
 
@@ -67,6 +73,22 @@ select d.doc_id, cast(len(w) as bigint) as n_words, coalesce(n_hit, 0) as n_hit,
 from d left join hit using (doc_id) left join items using (doc_id)
 """
 
+NGRAM_JOIN_SQL = f"""
+with recursive d as (select doc_id, {sql_words('text')} as w from documents),
+sh as (
+  select distinct doc_id, array_to_string(list_slice(w, s, s + 4), ' ') as g
+  from (select doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) as s from d where len(w) > 0)
+),
+n as (select doc_id, count(*) as n from sh group by doc_id),
+p as (
+  select a.doc_id as x, b.doc_id as y, count(*) as c from sh a join sh b on a.g = b.g and a.doc_id <> b.doc_id group by all
+),
+l as (select x, y from p join n as i on i.doc_id = x join n as j on j.doc_id = y where 9 * c >= 4 * (i.n + j.n)),
+reach as (select doc_id as x, doc_id as y from d union select reach.x, l.y from reach join l on l.x = reach.y),
+cls as (select x as doc_id, min(y) as class_id from reach group by x)
+select cls.doc_id, class_id, (select count(*) from l where l.x = cls.doc_id) as n_links from cls
+"""
+
 NEAREST_SQL = """
 with e as (
   select vec_id, [x::double for x in embedding] as v from embeddings
@@ -82,6 +104,7 @@ from s qualify rank <= 20
 
 QUERIES = {
     "op2_token_files": (q_tokens, None),
+    "op5_ngram_join": (q_ngram_join, NGRAM_JOIN_SQL),
     "op6_packing": (q_packing, None),
     "op8_decontaminate": (q_decontaminate, DECONTAMINATE_SQL),
     "op9_vp_search": (q_nearest, NEAREST_SQL),
