@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from pulsegrid.llm.decontaminate import contaminated_spans, judged
 from pulsegrid.llm.hmm_lm import score_documents
+from pulsegrid.llm.language_id import identified, labelled_part
 from pulsegrid.llm.ngram_join import numbered, similar_documents
 from pulsegrid.llm.packing import pack, pieces
 from pulsegrid.llm.token_files import read_token_files, write_token_files
@@ -36,6 +37,15 @@ def q_ngram_join(spark, sf_dir):
     return found.select("doc_id", "class_id", "n_links")
 
 
+def language_of(docs):
+    return identified(docs, public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def q_language(spark, sf_dir):
+    found = language_of(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
+    return found.select("doc_id", labelled_part().alias("held_out"), F.col("__lang").alias("lang_pred"), F.col("__score").alias("score"))
+
+
 def packed(docs):
     return pack(pieces(docs, public_tokenizers.path("byte_bpe_50k.json"), "kept", 0))
 
@@ -104,6 +114,7 @@ from s qualify rank <= 20
 
 QUERIES = {
     "op2_token_files": (q_tokens, None),
+    "op3_language_id": (q_language, None),
     "op5_ngram_join": (q_ngram_join, NGRAM_JOIN_SQL),
     "op6_packing": (q_packing, None),
     "op8_decontaminate": (q_decontaminate, DECONTAMINATE_SQL),
