@@ -10,6 +10,7 @@ from pulsegrid.llm.hmm_lm import score_documents
 from pulsegrid.llm.language_id import identified, labelled_part
 from pulsegrid.llm.ngram_join import numbered, similar_documents
 from pulsegrid.llm.packing import pack, pieces
+from pulsegrid.llm.substring_dedup import repeated_passages
 from pulsegrid.llm.token_files import read_token_files, write_token_files
 from pulsegrid.llm.vp_search import nearest, usable
 
@@ -46,6 +47,14 @@ def q_language(spark, sf_dir):
     return found.select("doc_id", labelled_part().alias("held_out"), F.col("__lang").alias("lang_pred"), F.col("__score").alias("score"))
 
 
+def q_substring_dedup(spark, sf_dir):
+    docs = numbered(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    ids = docs.select("__row", "doc_id")
+    found = repeated_passages(docs).join(ids.withColumnRenamed("__row", "row"), "row").drop("row")
+    found = found.join(ids.select(F.col("__row").alias("of"), F.col("doc_id").alias("of_doc_id")), "of")
+    return found.select("doc_id", F.col("first").alias("first_word"), (F.col("last") - F.col("first") + 1).alias("n_words"), "of_doc_id", F.col("of_first").alias("of_first_word"))
+
+
 def packed(docs):
     return pack(pieces(docs, public_tokenizers.path("byte_bpe_50k.json"), "kept", 0))
 
@@ -113,6 +122,7 @@ from s qualify rank <= 20
 """
 
 QUERIES = {
+    "op1_substring_dedup": (q_substring_dedup, None),
     "op2_token_files": (q_tokens, None),
     "op3_language_id": (q_language, None),
     "op5_ngram_join": (q_ngram_join, NGRAM_JOIN_SQL),

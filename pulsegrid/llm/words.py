@@ -43,6 +43,7 @@ class Words:
     end: np.ndarray
     first: np.ndarray
     hash: np.ndarray
+    origin: np.ndarray  # first byte of each text
 
     def text(self, a: int, b: int) -> bytes:
         """Words a to b, joined by one blank."""
@@ -89,7 +90,7 @@ def split_words(texts: pa.Array, kind: np.ndarray = ALNUM) -> Words:
     after[bounds] = False
     start = np.flatnonzero(inside & ~before[:-1])
     end = np.flatnonzero(inside & ~after[1:]) + 1
-    return Words(data, start, end, np.searchsorted(start, bounds), _hashes(data, start, end))
+    return Words(data, start, end, np.searchsorted(start, bounds), _hashes(data, start, end), bounds)
 
 
 def shingles(words: Words, width: int) -> tuple[np.ndarray, np.ndarray]:
