@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from pulsegrid.llm.decontaminate import contaminated_spans, judged
 from pulsegrid.llm.hmm_lm import score_documents
+from pulsegrid.llm.html_text import main_text, weights
 from pulsegrid.llm.language_id import identified, labelled_part
 from pulsegrid.llm.ngram_join import numbered, similar_documents
 from pulsegrid.llm.packing import pack, pieces
@@ -55,6 +56,11 @@ def q_substring_dedup(spark, sf_dir):
     return found.select("doc_id", F.col("first").alias("first_word"), (F.col("last") - F.col("first") + 1).alias("n_words"), "of_doc_id", F.col("of_first").alias("of_first_word"))
 
 
+def q_html_text(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return main_text(pages, weights(pages)).select("page_id", "url", F.col("__text").alias("text"), F.char_length("__text").cast("long").alias("n_chars"))
+
+
 def packed(docs):
     return pack(pieces(docs, public_tokenizers.path("byte_bpe_50k.json"), "kept", 0))
 
@@ -127,6 +133,7 @@ QUERIES = {
     "op3_language_id": (q_language, None),
     "op5_ngram_join": (q_ngram_join, NGRAM_JOIN_SQL),
     "op6_packing": (q_packing, None),
+    "op7_html_text": (q_html_text, None),
     "op8_decontaminate": (q_decontaminate, DECONTAMINATE_SQL),
     "op9_vp_search": (q_nearest, NEAREST_SQL),
     "op10_hmm_lm": (q_hmm, None),
