@@ -9,6 +9,7 @@ from pulsegrid.llm.decontaminate import contaminated_spans, judged
 from pulsegrid.llm.hmm_lm import score_documents
 from pulsegrid.llm.html_text import main_text, weights
 from pulsegrid.llm.language_id import identified, labelled_part
+from pulsegrid.llm.license_scan import LEAST, LICENSE_FILE, STOP, TEMPLATES, license_scan
 from pulsegrid.llm.ngram_join import numbered, similar_documents
 from pulsegrid.llm.packing import pack, pieces
 from pulsegrid.llm.substring_dedup import repeated_passages
@@ -61,6 +62,15 @@ def q_html_text(spark, sf_dir):
     return main_text(pages, weights(pages)).select("page_id", "url", F.col("__text").alias("text"), F.char_length("__text").cast("long").alias("n_chars"))
 
 
+def q_license_scan(spark, sf_dir):
+    """The documents as a file tree: sources hold directories of 1,000 and of 100 documents, each hundredth document is a licence file."""
+    i = F.col("doc_id")
+    name = F.when(i % 100 == 0, "LICENSE").otherwise(F.concat(F.lit("doc"), i.cast("string"), F.lit(".txt")))
+    path = F.concat_ws("/", "source", F.floor(i / 1000).cast("string"), F.floor(i % 1000 / 100).cast("string"), name)
+    files = table(spark, sf_dir, "documents").select(i.alias("__file"), path.alias("path"), "text")
+    return license_scan(files).withColumnRenamed("__file", "doc_id")
+
+
 def packed(docs):
     return pack(pieces(docs, public_tokenizers.path("byte_bpe_50k.json"), "kept", 0))
 
@@ -98,6 +108,48 @@ select d.doc_id, cast(len(w) as bigint) as n_words, coalesce(n_hit, 0) as n_hit,
 from d left join hit using (doc_id) left join items using (doc_id)
 """
 
+
+def sql_license_words(text: str) -> str:
+    stop = ", ".join(f"'{w}'" for w in STOP)
+    return f"list_filter(string_split_regex(lower({text}), '[^a-z0-9]+'), lambda w: w <> '' and w not in ({stop}))"
+
+
+LICENSE_SQL = f"""
+with recursive t as (select * from (values {', '.join(f"('{k}', '{v}')" for k, v in TEMPLATES)}) as v(license, template)),
+tw as (select license, word, count(*) as tf from (select license, unnest({sql_license_words('template')}) as word from t) group by all),
+f as (
+  select doc_id, text, source || '/' || (doc_id // 1000) || '/' || (doc_id % 1000 // 100) || '/' || (case when doc_id % 100 = 0 then 'LICENSE' else 'doc' || doc_id || '.txt' end) as path from documents
+),
+fw as (select distinct doc_id, word from (select doc_id, unnest({sql_license_words('text')}) as word from f)),
+df as (select word, count(*) as df from fw group by word),
+total as (select count(*) as n from f),
+tv as (select license, word, tf * (ln((n + 1.0) / (coalesce(df, 0) + 1)) + 1) as w, ln((n + 1.0) / (coalesce(df, 0) + 1)) + 1 as idf from tw left join df using (word), total),
+unit as (select license, word, w / sqrt(sum(w * w) over (partition by license)) as weight from tv),
+units as (
+  select doc_id, path, i - 1 as line, lines[i] as x from (
+    select doc_id, path, lines, unnest(range(1, len(lines) + 1)) as i from (
+      select doc_id, path, case when regexp_matches(lower(regexp_extract(path, '[^/]*$')), '{LICENSE_FILE}') then [text] else string_split(text, chr(10)) end as lines from f
+    )
+  )
+),
+uw as (select doc_id, line, word, count(*) as tf from (select doc_id, line, unnest({sql_license_words('x')}) as word from units) group by all),
+uv as (select doc_id, line, uw.word, uw.tf * coalesce(idf, ln(n + 1.0) + 1) as w from uw left join (select distinct word, idf from tv) k on k.word = uw.word, total),
+len as (select doc_id, line, sqrt(sum(w * w)) as l from uv group by all),
+sc as (select doc_id, line, license, round(sum(w * weight) / any_value(l), 6) as score from uv join unit using (word) join len using (doc_id, line) group by all having score >= {LEAST}),
+own as (select doc_id, license as own_license, score as own_score from sc qualify row_number() over (partition by doc_id order by score desc, line, license) = 1),
+grant_ as (
+  select dir, own_license as license from (select regexp_extract(path, '^(.*)/[^/]*$', 1) as dir, own_license, own_score from own join f using (doc_id) where path like '%/LICENSE')
+  qualify row_number() over (partition by dir order by own_score desc, own_license) = 1
+),
+up as (
+  select doc_id, regexp_extract(path, '^(.*)/[^/]*$', 1) as dir, 0 as step from f
+  union all select doc_id, case when dir like '%/%' then regexp_extract(dir, '^(.*)/[^/]*$', 1) else '' end, step + 1 from up where dir <> ''
+),
+given as (select doc_id, license, dir from up join grant_ using (dir) qualify row_number() over (partition by doc_id order by step) = 1)
+select f.doc_id, path, own_license, own_score, coalesce(own_license, given.license) as license, case when own_license is null then given.dir end as license_dir
+from f left join own using (doc_id) left join given using (doc_id)
+"""
+
 NGRAM_JOIN_SQL = f"""
 with recursive d as (select doc_id, {sql_words('text')} as w from documents),
 sh as (
@@ -131,6 +183,7 @@ QUERIES = {
     "op1_substring_dedup": (q_substring_dedup, None),
     "op2_token_files": (q_tokens, None),
     "op3_language_id": (q_language, None),
+    "op4_license_scan": (q_license_scan, LICENSE_SQL),
     "op5_ngram_join": (q_ngram_join, NGRAM_JOIN_SQL),
     "op6_packing": (q_packing, None),
     "op7_html_text": (q_html_text, None),
