@@ -106,7 +106,7 @@ def shingles(words: Words, width: int) -> tuple[np.ndarray, np.ndarray]:
     padded = np.concatenate([words.hash, np.zeros(width, np.uint64)])
     total = length.astype(np.uint64)
     for j in range(width):
-        total = total * _STEP + np.where(j < length, padded[at + j], np.uint64(0))
+        total = np.where(j < length, total * _STEP + padded[at + j], total)
     return mix(total), first
 
 
