@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pulsegrid.llm.components import component_labels
+from pulsegrid.llm.numbered import numbered
 from pulsegrid.llm.runs import by_key, whole_groups
 from pulsegrid.llm.words import mix, shingles, split_words, text_blocks
 from pulsegrid.session import cut_lineage
@@ -356,11 +357,6 @@ def similar_documents(docs: DataFrame) -> DataFrame:
     return found.join(first, "label").select(F.col("row").alias("__row"), "doc_id", F.col("f.row").alias("class_row"), F.col("f.doc_id").alias("class_id"), "n_links")
 
 
-def numbered(docs: DataFrame) -> DataFrame:
-    """``docs`` with ``__row``, stored: the number of a row stays when its task runs again."""
-    return cut_lineage(docs.withColumn("__row", F.monotonically_increasing_id()))
-
-
 def one_of_each_class(docs: DataFrame) -> DataFrame:
     """The first document of each class, with all its columns."""
     rows = numbered(docs)

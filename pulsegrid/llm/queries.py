@@ -10,7 +10,8 @@ from pulsegrid.llm.hmm_lm import score_documents
 from pulsegrid.llm.html_text import main_text, weights
 from pulsegrid.llm.language_id import identified, labelled_part
 from pulsegrid.llm.license_scan import LEAST, LICENSE_FILE, STOP, TEMPLATES, license_scan
-from pulsegrid.llm.ngram_join import numbered, similar_documents
+from pulsegrid.llm.ngram_join import similar_documents
+from pulsegrid.llm.numbered import numbered
 from pulsegrid.llm.packing import pack, pieces
 from pulsegrid.llm.substring_dedup import repeated_passages
 from pulsegrid.llm.token_files import read_token_files, write_token_files
