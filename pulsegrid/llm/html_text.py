@@ -27,7 +27,7 @@ from pyspark.sql.types import StructType
 
 LABELLED_PAGES = 5_000  # about so many labelled pages are learnt from, chosen by hash
 FEATURES = 10_000  # the commonest names among them have weights
-TAG_COST = 0.02
+TAG_COST = 0.004
 BIAS = 0.1
 
 # fixed values: HTML element names by role
@@ -147,16 +147,19 @@ class Extractor:
         self.weight = weight
         self.known: dict[frozenset, float] = {}
 
-    def chance(self, around: frozenset) -> float:
-        """How likely words inside these elements are content."""
-        p = self.known.get(around)
-        if p is None:
+    def chance(self, around: frozenset) -> tuple[float, float]:
+        """How likely words inside these elements are content, and the score of each."""
+        found = self.known.get(around)
+        if found is None:
             # names that speak for content go together, so the best counts; each one against it counts
             each = [self.weight.get(n, 0.0) for n in around]
-            p = self.known[around] = 1 / (1 + math.exp(-BIAS - max(0.0, *each, 0.0) - sum(w for w in each if w < 0)))
+            most = max([0.0, *each])
+            p = 1 / (1 + math.exp(-BIAS - most - sum(w for w in each if w < 0)))
+            # an advert in the middle of an article is left out of the text, it doesn't end the region
+            found = self.known[around] = (p, 0.0 if p < 0.5 and most > 0 else p - 0.5)
             if len(self.known) > 100_000:
-                self.known = {around: p}
-        return p
+                self.known = {around: found}
+        return found
 
     def text(self, page: str) -> str:
         sequence, total, best = [], 0.0, (0.0, 0, 0)
@@ -167,7 +170,7 @@ class Extractor:
                 chance = 1 / (1 + math.exp(-self.weight.get(what, 0.0)))
                 total -= TAG_COST + 0.5 * (1 - chance) * TAG_COST
             elif not what.isspace():
-                total += len(what.split()) * (self.chance(around) - 0.5)
+                total += len(what.split()) * self.chance(around)[1]
             if total - low > best[0]:
                 best = (total - low, start, k + 1)
             if total < low:
@@ -178,7 +181,7 @@ class Extractor:
                 if what in BLOCK:
                     blocks.append("".join(now))
                     now = []
-            elif self.chance(around) >= 0.5:
+            elif self.chance(around)[0] >= 0.5:
                 now.append(what)
         blocks.append("".join(now))
         clean = (" ".join(entities.unescape(b).split()) for b in blocks)
