@@ -152,7 +152,7 @@ REDACTED = "[REDACTED]"
 SECRET_FRAGMENTS = ("password", "secret", "token", "auth", "cookie", "credential", "email", "serial")
 RAW_FRAGMENTS = ("payload", "body", "headers", "glucose", "insulin", "heart_rate", "steps", "values")
 SAFE_SUFFIXES = ("_rows", "_count", "_counts", "_seconds", "_minutes", "_hours", "_days")
-EMAIL_PATTERN = r"^[^@\s]+@[^@\s]+\.[^@\s]+$"
+EMAIL_PATTERN = r"^[\w.%+-]+@[\w-]+(\.[\w-]+)+$"
 
 
 def _named_like(name: str, fragments: Sequence[str]) -> bool:
@@ -173,10 +173,7 @@ def _redacted(name: str, value: Column, kind: T.DataType) -> Column:
         fields = [_redacted(f.name, value[f.name], f.dataType).alias(f.name) for f in kind.fields]
         return F.when(value.isNotNull(), F.struct(*fields))
     if isinstance(kind, T.ArrayType):
-        kept = F.transform(value, lambda x: _redacted(name, x, kind.elementType))
-        if isinstance(kind.elementType, T.StringType):
-            return F.when(F.size(value) > 20, F.array(F.lit(REDACTED))).otherwise(kept)
-        return kept
+        return F.transform(value, lambda x: _redacted(name, x, kind.elementType))
     if isinstance(kind, T.MapType) and isinstance(kind.valueType, T.StringType):
         secret = "|".join(SECRET_FRAGMENTS + RAW_FRAGMENTS)
         return F.transform_values(

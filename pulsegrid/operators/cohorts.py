@@ -163,8 +163,8 @@ def subjects_without_candidates(subjects: DataFrame, windows: DataFrame) -> Data
     return subjects.select(KEY).distinct().join(windows, KEY, "left_anti").select(KEY, F.lit("no_candidates").alias("reason"), F.lit(0).cast("bigint").alias("count"))
 
 
-def window_metrics(research: DataFrame, events: DataFrame, windows: DataFrame, rules: CleanWindowRules = CleanWindowRules()) -> DataFrame:
-    """Response after each accepted window: peak, delta, area, mean, evidence, context."""
+def window_metrics(research: DataFrame, events: DataFrame, windows: DataFrame, rules: CleanWindowRules = CleanWindowRules(), step_seconds: int = 300) -> DataFrame:
+    """Response after each accepted window: peak, delta, area (value × hours of a bin), mean, evidence, context."""
     kept = windows.filter(F.col("included") > 0)
     context = [c for c in ("sleep_deficit_flag", "recent_exercise_context", "post_workout_meal_context", "meal_proxy_confidence") if c in research.columns]
     rows = research.select(KEY, "ts", F.col("glucose").alias("w_glucose"), *context)
@@ -173,7 +173,7 @@ def window_metrics(research: DataFrame, events: DataFrame, windows: DataFrame, r
     )
     at = minutes_between("ts", "anchor_ts")
     post, near = at >= 0, F.abs(at) <= 5
-    above = F.greatest(F.col("w_glucose") - F.col("premeal_glucose"), F.lit(0.0)) * (5.0 / 60.0)
+    above = F.greatest(F.col("w_glucose") - F.col("premeal_glucose"), F.lit(0.0)) * (step_seconds / 3600.0)
     facts = hit.groupBy(KEY, "candidate_id").agg(
         F.max(F.when(post, F.col("w_glucose"))).alias("observed_peak_glucose"), F.sum(F.when(post, above)).alias("observed_auc_above_baseline"),
         F.avg(F.when(post, F.col("w_glucose"))).alias("observed_mean_glucose_180m"), F.count(F.when(post, F.col("w_glucose"))).alias("observed_cgm_points"),

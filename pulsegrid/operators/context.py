@@ -154,14 +154,6 @@ def health_windows(w, health: Mapping[str, DataFrame], step_seconds: int) -> dic
     return cols
 
 
-def long_totals(health: Mapping[str, DataFrame], step_seconds: int) -> list[str]:
-    """Columns whose 24-hour frames are wide enough for running totals."""
-    if G.steps_of(DAY_MINUTES, step_seconds) <= G.LONG_ROWS:
-        return []
-    out = ["workout_event_count", "workout_duration_event", "workout_energy_event"] if "workouts" in health else []
-    return out + ([f"{n}_latest" for n, _, _ in SPARSE_METRICS.values()] if "measurements" in health else [])
-
-
 def finish_health(df: DataFrame, health: Mapping[str, DataFrame]) -> DataFrame:
     """Plausibility flag and nightly values; helper columns go."""
     if "workouts" in health:
@@ -193,7 +185,6 @@ def health_context(
     out = scan(cut_lineage(out), last=health_carries(health), chunk_seconds=chunk_seconds)
     out = out.filter("_grid").drop("_grid").withColumns(health_values(health))
     back = G.steps_of(DAY_MINUTES, step_seconds) * step_seconds
-    out = G.bounded(out, lambda w: health_windows(w, health, step_seconds), back_seconds=back, chunk_seconds=chunk_seconds,
-                    totals=long_totals(health, step_seconds))
+    out = G.bounded(out, lambda w: health_windows(w, health, step_seconds), back_seconds=back, chunk_seconds=chunk_seconds)
     out = finish_health(out, health)
     return out, health_names(out.columns)

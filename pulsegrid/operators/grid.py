@@ -123,21 +123,14 @@ def lag_columns(w: Window, minutes: Sequence[int], step_seconds: int, col: str =
     }
 
 
-# A sliding frame costs its width per row; wider ones use running totals.
-LONG_ROWS = 64
-
-
 def rolling(w: Window, col: str, minutes: int, step_seconds: int, how: str = "sum") -> Column:
     """Mean or sum over the last n rows, the current one included; one row is enough.
 
-    Frames above ``LONG_ROWS`` are the difference of two running totals, which
-    :func:`bounded` adds for the columns named in ``totals``.
+    The frame is summed afresh for each row at any width, so a sum of values
+    that are not negative never is, and an infinity leaves with its row.
     """
     n = steps_of(minutes, step_seconds)
-    if n <= LONG_ROWS:
-        return {"sum": F.sum, "mean": F.avg}[how](col).over(w.rowsBetween(1 - n, 0))
-    total, count = (F.col(f"_{k}_{col}") - F.coalesce(F.lag(f"_{k}_{col}", n).over(w), F.lit(0)) for k in ("sum", "cnt"))
-    return F.when(count > 0, total if how == "sum" else total / count)
+    return {"sum": F.sum, "mean": F.avg}[how](col).over(w.rowsBetween(1 - n, 0))
 
 
 def rolling_columns(w: Window, col: str, prefix: str, minutes: Sequence[int], step_seconds: int, how: str) -> dict[str, Column]:
@@ -152,23 +145,10 @@ def lead_target(w: Window, horizon_minutes: int, step_seconds: int, *, imputed:
 
 def bounded(
     df: DataFrame, make, *, back_seconds: int = 0, ahead_seconds: int = 0, chunk_seconds: int = WEEK, key: str = KEY,
-    totals: Sequence[str] = (),
 ) -> DataFrame:
-    """Add window columns of bounded reach: ``make(window)`` returns name → column.
-
-    ``totals`` names the columns that wide rolling frames need running totals of.
-    """
+    """Add window columns of bounded reach: ``make(window)`` returns name → column."""
     halo = with_halo(df, back_seconds=back_seconds, ahead_seconds=ahead_seconds, chunk_seconds=chunk_seconds)
-    w = chunk_window((key,))
-    if totals:
-        run = w.rowsBetween(Window.unboundedPreceding, 0)
-        halo = halo.withColumns(
-            {
-                **{f"_sum_{c}": F.coalesce(F.sum(c).over(run), F.lit(0.0)) for c in totals},
-                **{f"_cnt_{c}": F.count(c).over(run) for c in totals},
-            }
-        )
-    return drop_halo(halo.withColumns(make(w))).drop(*[f"_{k}_{c}" for c in totals for k in ("sum", "cnt")])
+    return drop_halo(halo.withColumns(make(chunk_window((key,)))))
 
 
 def add_calendar(df: DataFrame, ts: str = "ts") -> DataFrame:

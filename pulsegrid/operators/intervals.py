@@ -24,7 +24,9 @@ def explode_bins(df: DataFrame, step_seconds: int, start: str = "start_ts", end:
         .withColumns({"_lo": lo, "_last": last})
         .withColumn("_day", F.explode(F.sequence(F.floor(F.col("_lo") / DAY), F.floor(F.col("_last") / DAY))))
     )
-    first = F.greatest(F.col("_lo"), F.col("_day") * DAY)
+    # the first bin of the grid at or after midnight; the step need not divide a day
+    midnight = F.greatest(F.col("_lo"), F.col("_day") * DAY)
+    first = midnight + F.pmod(F.col("_lo") - midnight, F.lit(step_seconds))
     to = F.least(F.col("_last"), (F.col("_day") + 1) * DAY - 1)
     bins = F.sequence(first, to, F.lit(step_seconds).cast("bigint"))
     return (

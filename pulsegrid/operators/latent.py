@@ -166,24 +166,27 @@ def latent_events(metrics: DataFrame, selected: DataFrame) -> DataFrame:
     ).withColumnRenamed("model", "selected_model").drop("_ratio", "_scale", "icr_prior", "peak_per_carb", "auc_per_carb")
 
 
-def cohort_gate(windows: DataFrame) -> DataFrame:
-    """Foundation gate: how many candidates became clean windows."""
-    out = windows.groupBy(KEY).agg(F.count(F.lit(1)).alias("evaluated_candidates"), F.sum("included").alias("accepted_windows"))
-    some = F.col("accepted_windows") > 0
-    return out.withColumns(
-        {
-            "accepted_fraction": F.col("accepted_windows") / F.col("evaluated_candidates"),
-            "source_quality_status": F.when(some, "good").otherwise("limited"),
-            "cohort_status": F.when(some, "ready_for_latent_fit").otherwise("no_clean_windows_identified"),
-        }
-    )
+def _window_counts(windows: DataFrame, subjects: DataFrame) -> DataFrame:
+    """Candidates and accepted windows of every subject, also of those without any."""
+    counts = windows.groupBy(KEY).agg(F.count(F.lit(1)).alias("evaluated_candidates"), F.sum("included").cast("bigint").alias("accepted_windows"))
+    return subjects.select(KEY).distinct().join(counts, KEY, "left").fillna(0, subset=["evaluated_candidates", "accepted_windows"])
+
+
+def _window_quality() -> Column:
+    return F.when(F.col("accepted_windows") > 0, "good").when(F.col("evaluated_candidates") > 0, "limited").otherwise("failed")
+
+
+def cohort_gate(windows: DataFrame, subjects: DataFrame) -> DataFrame:
+    """Foundation gate: how many candidates became clean windows, per subject of ``subjects``."""
+    status = F.when(F.col("accepted_windows") > 0, "ready_for_latent_fit").otherwise("no_clean_windows_identified")
+    share = F.when(F.col("evaluated_candidates") > 0, F.col("accepted_windows") / F.col("evaluated_candidates")).otherwise(0.0)
+    return _window_counts(windows, subjects).withColumns({"accepted_fraction": share, "source_quality_status": _window_quality(), "cohort_status": status})
 
 
-def full_gate(windows: DataFrame, events: DataFrame) -> DataFrame:
+def full_gate(windows: DataFrame, events: DataFrame, subjects: DataFrame) -> DataFrame:
     """Three gate rows per subject: exposure, entry confidence, morning ratio."""
-    facts = windows.groupBy(KEY).agg(F.sum("included").alias("accepted_windows"))
     shown = events.groupBy(KEY).agg(F.count("ic_mean").alias("reportable"))
-    out = facts.join(shown, KEY, "left").fillna(0, subset=["reportable"])
+    out = _window_counts(windows, subjects).join(shown, KEY, "left").fillna(0, subset=["reportable"])
     some, ic = F.col("accepted_windows") > 0, F.col("reportable") > 0
 
     def row(name: str, ok: Column, level: str) -> Column:
@@ -193,4 +196,4 @@ def full_gate(windows: DataFrame, events: DataFrame) -> DataFrame:
         )
 
     rows = F.array(row("latent_carbs", some, "proxy_supported"), row("carb_entry_confidence", some, "proxy_supported"), row("morning_icr", ic, "weakly_identified"))
-    return out.withColumn("_g", F.explode(rows)).select(KEY, "_g.*", "accepted_windows", "reportable", F.when(some, "good").otherwise("limited").alias("source_quality_status"))
+    return out.withColumn("_g", F.explode(rows)).select(KEY, "_g.*", "accepted_windows", "reportable", _window_quality().alias("source_quality_status"))

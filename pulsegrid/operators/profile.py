@@ -66,70 +66,60 @@ def report_card(df: DataFrame, features: Sequence[str], keys: Sequence[str] = ()
 # ---------------------------------------------------------- feature registry
 
 
-def _proxy(name: str) -> bool:
-    return name.startswith(("meal_proxy_", "correction_proxy_")) or name == "bolus_proxy_class"
-
-
-def source_family(name: str, health: Sequence[str]) -> str:
-    if _proxy(name):
-        return "meal_bolus_proxy"
-    if name.startswith("segment__") or name.endswith("_context") or name in (
-        "sleep_deficit_flag", "post_workout_meal_context", "overnight_hrv_interaction", "in_sleep_heart_rate_interaction"
-    ):
-        return "therapy_context"
-    if name in health:
-        table = (("sleep", "wearable_sleep"), ("workout", "wearable_workout"), ("heart_rate", "wearable_measurements"),
-                 ("hrv", "wearable_measurements"), ("respiratory", "wearable_measurements"), ("weight", "wearable_measurements"))
-        return next((fam for part, fam in table if part in name), "wearable_activity")
-    if name.startswith(("glucose", "cgm")) or name in ("missing_cgm", "minutes_since_last_cgm"):
-        return "pump_cgm"
-    table = (("basal", "pump_basal"), ("bolus", "pump_bolus"), ("iob", "pump_bolus"), ("insulin", "pump_bolus"), ("carb", "pump_carbs"),
-             ("meal", "pump_carbs"), ("activity", "activity"), ("hour_", "calendar"), ("dow_", "calendar"), ("weekend", "calendar"))
-    return next((fam for part, fam in table if part in name), "derived")
-
-
-def alignment_rule(name: str) -> str:
-    if name == "bolus_proxy_class":
-        return "proxy_label"
-    if _proxy(name):
-        return "event_proxy"
-    rules = (
-        (name.startswith("glucose_lag_"), "lagged_observation"), ("_roll_" in name, "rolling_summary"),
-        (name.startswith("prior_night_"), "projected_next_day"), (name == "in_sleep", "interval_overlay"),
-        # the bin's own value, not carried forward
-        (name.startswith("heart_rate_") and name.endswith("_latest"), "current_bin_or_direct_state"),
-        (name.endswith("_latest"), "carry_forward"),
-        (name.startswith("segment__") or name.endswith(("_context", "_flag")), "context_mask"),
-        (name.endswith("_interaction"), "interaction_term"),
-    )
-    return next((rule for hit, rule in rules if hit), "current_bin_or_direct_state")
+# Labels of features by name.  The first pattern found in a name gives its label.
+PROXY = r"^(meal|correction)_proxy_|^bolus_proxy_class$"
+CONTEXT = r"^segment__|_context$"
+ALL_USES = "basal,icr,sensitivity_factor"
+LABELS = {
+    "source_family": (
+        (PROXY, "meal_bolus_proxy"), (CONTEXT + r"|^(sleep_deficit_flag|overnight_hrv_interaction|in_sleep_heart_rate_interaction)$", "therapy_context"),
+        (r"^(glucose|cgm|missing_cgm$|minutes_since_last_cgm$)", "pump_cgm"), (r"basal", "pump_basal"), (r"bolus|iob|insulin", "pump_bolus"),
+        (r"carb|meal", "pump_carbs"), (r"activity", "activity"), (r"hour_|dow_|weekend", "calendar"), (r"", "derived"),
+    ),
+    # wearable features, unless one of the first two families has them
+    "wearable_family": ((r"sleep", "wearable_sleep"), (r"workout", "wearable_workout"), (r"heart_rate|hrv|respiratory|weight", "wearable_measurements"), (r"", "wearable_activity")),
+    "alignment_rule": (
+        (r"^bolus_proxy_class$", "proxy_label"), (PROXY, "event_proxy"), (r"^glucose_lag_", "lagged_observation"), (r"_roll_", "rolling_summary"),
+        (r"^prior_night_", "projected_next_day"), (r"^in_sleep$", "interval_overlay"), (r"^heart_rate_.*_latest$", "current_bin_or_direct_state"),
+        (r"_latest$", "carry_forward"), (r"^segment__|_(context|flag)$", "context_mask"), (r"_interaction$", "interaction_term"), (r"", "current_bin_or_direct_state"),
+    ),
+    "allowed_use_cases": (
+        (PROXY, "icr,sensitivity_factor"), (CONTEXT, ALL_USES), (r"meal|carb", "icr"), (r"basal", "basal"), (r"correction|glucose", ALL_USES),
+        (r"sleep|workout|heart_rate|hrv|respiratory", "basal,icr"), (r"", ALL_USES),
+    ),
+    "leakage_risk": ((PROXY, "moderate"), (r"^target_(glucose|delta)$", "high"), (r"", "low")),
+}
 
 
-def allowed_use_cases(name: str) -> str:
-    every = "basal,icr,sensitivity_factor"
-    if _proxy(name):
-        return "icr,sensitivity_factor"
-    if name.startswith("segment__") or name.endswith("_context"):
-        return every
-    if "meal" in name or "carb" in name:
-        return "icr"
-    if "basal" in name:
-        return "basal"
-    if "correction" in name or "glucose" in name:
-        return every
-    if any(t in name for t in ("sleep", "workout", "heart_rate", "hrv", "respiratory")):
-        return "basal,icr"
-    return every
+def feature_label(kind: str, feature: Column) -> Column:
+    """Label of a feature name, from the rules of ``kind``."""
+    out = F.lit(None).cast("string")
+    for pattern, label in reversed(LABELS[kind]):
+        out = F.when(feature.rlike(pattern), label).otherwise(out)
+    return out
 
 
-def leakage_risk(name: str) -> str:
-    return "moderate" if _proxy(name) else "high" if name in ("target_glucose", "target_delta") else "low"
+def feature_labels(names: DataFrame, health: Sequence[str] = ()) -> DataFrame:
+    """A table of feature names (``feature``) with all labels."""
+    name = F.col("feature")
+    family = feature_label("source_family", name)
+    worn = name.isin(*health) & ~family.isin("meal_bolus_proxy", "therapy_context") if health else F.lit(False)
+    return names.withColumns(
+        {
+            "source_family": F.when(worn, feature_label("wearable_family", name)).otherwise(family),
+            **{k: feature_label(k, name) for k in ("alignment_rule", "allowed_use_cases", "leakage_risk")},
+        }
+    )
 
 
-def feature_registry(df: DataFrame, health: Sequence[str] = (), skip: Sequence[str] = (KEY, "ts", "target_glucose", "target_delta")) -> DataFrame:
-    """Availability and non-zero share of every column, with its classification.
+def feature_registry(
+    df: DataFrame, health: Sequence[str] = (), skip: Sequence[str] = (KEY, "ts", "target_glucose", "target_delta"), unfilled: DataFrame | None = None,
+) -> DataFrame:
+    """Availability and non-zero share of every column, with its labels.
 
-    One aggregation over all columns; its single row is then unfolded.
+    ``unfilled`` is the frame before missing wearable values became 0: the
+    availability of the ``health`` columns is measured there.  One aggregation
+    over all columns per frame; its single row is then unfolded.
     """
     names = [c for c in df.columns if c not in skip]
     types = dict(df.dtypes)
@@ -139,19 +129,17 @@ def feature_registry(df: DataFrame, health: Sequence[str] = (), skip: Sequence[s
             return F.count_if(F.col(c) != "")
         return F.count_if(F.col(c).cast("double") != 0)
 
-    facts = df.agg(
-        F.count(F.lit(1)).alias("_n"),
-        *[F.struct(F.count(c).alias("have"), nonzero(c).alias("nonzero")).alias(c) for c in names],
-    )
-    rows = F.array(*[
-        F.struct(
-            F.lit(c).alias("feature"), F.lit(source_family(c, health)).alias("source_family"), F.lit(alignment_rule(c)).alias("alignment_rule"),
-            F.lit(allowed_use_cases(c)).alias("allowed_use_cases"), F.lit(leakage_risk(c)).alias("leakage_risk"),
-            (F.col(c)["have"] / F.col("_n")).alias("availability"), (F.col(c)["nonzero"] / F.col("_n")).alias("nonzero_fraction"),
-        )
-        for c in names
-    ])
-    return facts.select(F.explode(rows).alias("r")).select("r.*")
+    def unfolded(frame: DataFrame, columns: Sequence[str], share, name: str) -> DataFrame:
+        facts = frame.agg(F.count(F.lit(1)).alias("_n"), *[share(c).alias(c) for c in columns])
+        rows = F.array(*[F.struct(F.lit(c).alias("feature"), (F.col(c) / F.col("_n")).alias(name)) for c in columns])
+        return facts.select(F.explode(rows).alias("r")).select("r.*")
+
+    worn = [c for c in names if unfilled is not None and c in health]
+    rest = [c for c in names if c not in worn]
+    have = unfolded(df, rest, F.count, "availability")
+    if worn:
+        have = have.unionByName(unfolded(unfilled, worn, F.count, "availability"))
+    return feature_labels(have.join(unfolded(df, names, nonzero, "nonzero_fraction"), "feature"), health)
 
 
 def registry_rollup(registry: DataFrame) -> DataFrame:
@@ -243,16 +231,18 @@ def top_per_group(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k
 # --------------------------------------------------------------------- gates
 
 
-def research_gate(research: DataFrame, health: Sequence[str] = (), min_ts: str = "2024-01-01") -> DataFrame:
-    """Per subject and parameter: evidence counts, identifiability and gate."""
+def research_gate(research: DataFrame, health: Sequence[str] = (), min_ts: str = "2024-01-01", unfilled: DataFrame | None = None) -> DataFrame:
+    """Per subject and parameter: evidence counts, identifiability and gate.
+
+    Wearable availability is measured on ``unfilled``, the frame before missing values became 0.
+    """
     positive = lambda c: F.count_if(yes(F.col(c) > 0))
     available = reduce(lambda a, b: a + b, [F.count(c) for c in health]) / (F.count(F.lit(1)) * len(health)) if health else F.lit(0.0)
     facts = research.groupBy(KEY).agg(
         F.count_if(F.col("ts") < F.lit(min_ts).cast("timestamp_ntz")).alias("issues"), positive("explicit_meal_event").alias("direct_meal_rows"),
         positive("meal_proxy_event").alias("proxy_meal_rows"), positive("basal_context").alias("basal_context_rows"),
         positive("correction_context").alias("correction_context_rows"), F.count_if(F.col("bolus_proxy_class") == "ambiguous").alias("ambiguous"),
-        available.alias("wearable_availability"),
-    )
+    ).join((research if unfilled is None else unfilled).groupBy(KEY).agg(available.alias("wearable_availability")), KEY, "left")
     meal, proxy, basal = F.col("direct_meal_rows"), F.col("proxy_meal_rows"), F.col("basal_context_rows")
     wearable = F.lit(bool(health))
     none, weak, off = F.lit("not_identified"), F.lit("weakly_identified"), F.lit("diagnostics_only")

@@ -1,8 +1,8 @@
 """Walk-forward validation, model comparison, feature screening.
 
-A fold trains on all rows before its test block, less a purge of ``horizon``
-rows.  Row i first trains in fold ``f(i)``, so sums per (key, f) added up over
-f give every training set without copying rows.
+A fold trains on all rows before its test block, less those whose target lies
+in the block or after it.  Row i first trains in fold ``f(i)``, so sums per
+(key, f) added up over f give every training set without copying rows.
 """
 
 from __future__ import annotations
@@ -11,7 +11,9 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from pulsegrid.functions.times import shift
 from pulsegrid.operators import models as M
 from pulsegrid.operators.profile import correlation, forecast_scores
 from pulsegrid.operators.timeline import HOUR, row_windows, scan
@@ -32,8 +34,13 @@ def half_folds(n: Column, folds: int = 0) -> tuple[Column, Column]:
     return F.when(fits, first).otherwise(late), F.when(fits, test).otherwise(F.greatest(n - late, F.lit(8)))
 
 
-def fold_columns(df: DataFrame, keys: Sequence[str], *, order: Sequence[str] = (), horizon_rows: int = 1, folds: int = 4, rule=equal_folds, ts: str = "ts") -> DataFrame:
-    """Adds ``_i``, ``_n``, ``test_fold`` (0: none), ``train_from`` and ``n_folds``."""
+def fold_columns(df: DataFrame, keys: Sequence[str], *, order: Sequence[str] = (), horizon_rows: int = 0, horizon_seconds: int | None = None, folds: int = 4, rule=equal_folds, ts: str = "ts") -> DataFrame:
+    """Adds ``_i``, ``_n``, ``test_fold`` (0: none), ``train_from`` and ``n_folds``.
+
+    Purged by time (``horizon_seconds``): a row first trains in the fold whose
+    block begins at or after the row's target time.  Or by rows
+    (``horizon_rows``), for data without a regular step.
+    """
     out = scan(df, keys=keys, ts=ts, order=order, chunk_seconds=HOUR, row_index="_i", row_count="_n")
     first, test = rule(F.col("_n"), folds)
     out = out.withColumns({"_first": first.cast("bigint"), "_test": test.cast("bigint")})
@@ -51,6 +58,13 @@ def fold_columns(df: DataFrame, keys: Sequence[str], *, order: Sequence[str] = (
             "train_from": F.when(purged < 0, 1).otherwise(F.floor(purged / F.col("_test")) + 2).cast("int"),
         }
     ).drop("_first", "_test")
+    if horizon_seconds is not None:
+        # a few blocks per key
+        starts = out.filter("test_fold > 0").groupBy(*keys, "test_fold").agg(F.min(ts).alias("_t")).groupBy(*keys).agg(F.collect_list("_t").alias("_starts"))
+        out = M.lookup(cut_lineage(out), starts, keys, "_i", "left")
+        target = shift(ts, horizon_seconds)
+        passed = F.size(F.filter(F.coalesce("_starts", F.array().cast("array<timestamp_ntz>")), lambda s: s < target))
+        out = out.withColumn("train_from", F.greatest(F.lit(1), passed + 1).cast("int")).drop("_starts")
     # sums, training residuals and scoring each read the folds
     return cut_lineage(out)
 
@@ -67,9 +81,10 @@ def fold_sizes(folds: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 def fold_sums(folds: DataFrame, keys: Sequence[str], features: Sequence[str], target: str) -> DataFrame:
     """Sums of products of every fold's training rows."""
-    block = M.gram_sums(folds.filter(F.col("train_from") <= F.col("n_folds")), [*keys, "train_from", "n_folds"], features, target)
+    block = M.product_sums(folds.filter(F.col("train_from") <= F.col("n_folds")), [*keys, "train_from", "n_folds"], features, target)
     each = block.withColumn("fold", F.explode(F.sequence("train_from", "n_folds")))
-    return M.add_arrays(each.drop("train_from", "n_folds"), [*keys, "fold"], "g")
+    by, size = [*keys, "fold"], len(features) + 2
+    return M.as_matrix(M.added(each, by, size), by, size)
 
 
 def training_rows(folds: DataFrame) -> DataFrame:
@@ -126,22 +141,16 @@ def bayes_ar_walk(folds: DataFrame, keys: Sequence[str], features: Sequence[str]
     return out.withColumns({"lower": F.col("pred") - half, "upper": F.col("pred") + half}).drop("slope", "intercept", "_rho", "_sd", "_last", "_at")
 
 
-def stump_walk(folds: DataFrame, keys: Sequence[str], features: Sequence[str], target: str, max_folds: int, rounds: int = 18) -> DataFrame:
-    """Pooled boosted stumps, one fit per fold number over all keys."""
-    outs = []
-    for k in range(1, max_folds + 1):
-        train = folds.filter((F.col("train_from") <= k) & (F.col("n_folds") >= k))
-        test = folds.filter(F.col("test_fold") == k).withColumn("fold", F.lit(k))
-        if train.isEmpty():
-            continue
-        seen, scored, _ = M.boosted_stumps(train, test, features, target, rounds)
-        band = M.interval(seen.withColumn("fold", F.lit(k)), ["fold"], F.col(target) - F.col("pred"))
-        one = scored.join(F.broadcast(band), "fold")  # the band is one row by construction
-        outs.append(one.withColumns({"lower": F.col("pred") + F.col("q_lo"), "upper": F.col("pred") + F.col("q_hi")}).drop("q_lo", "q_hi"))
-    out = outs[0]
-    for o in outs[1:]:
-        out = out.unionByName(o)
-    return out
+def stump_walk(folds: DataFrame, keys: Sequence[str], features: Sequence[str], target: str, min_train: int = 1, rounds: int = 18) -> DataFrame:
+    """Test rows with ``pred``, ``lower``, ``upper`` of keyed boosted stumps, for every fold of every key."""
+    by = [*keys, "fold"]
+    sizes = fold_sizes(folds, keys).filter(F.col("n_train") >= min_train).select(*by)
+    train = M.lookup(training_rows(folds), sizes, by, "_i")
+    test = M.lookup(test_rows(folds), sizes, by, "_i")
+    scored = M.boosted_stumps(train, test, by, features, target, rounds)
+    band = M.interval(scored.filter(~F.col("_test")), by, F.col(target) - F.col("pred"))
+    out = M.lookup(scored.filter("_test").drop("_test"), band, by, "_i")
+    return out.withColumns({"lower": F.col("pred") + F.col("q_lo"), "upper": F.col("pred") + F.col("q_hi")}).drop("q_lo", "q_hi")
 
 
 def ensemble(members: Sequence[DataFrame], keys: Sequence[str]) -> DataFrame:
@@ -168,7 +177,7 @@ TASKS = (("basal", "basal", "basal_context", False), ("icr", "I/C ratio", "meal_
 FAMILIES = ("ridge", "elastic_net", "segmented_ridge", "tree_boost", "bayes_ar", "ensemble")
 
 
-def family_walk(name: str, folds: DataFrame, keys: Sequence[str], features: Sequence[str], target: str, max_folds: int, min_train: int) -> DataFrame:
+def family_walk(name: str, folds: DataFrame, keys: Sequence[str], features: Sequence[str], target: str, min_train: int) -> DataFrame:
     """Scored test rows of one model family."""
     args = (folds, keys, features, target)
     if name == "ridge":
@@ -178,18 +187,18 @@ def family_walk(name: str, folds: DataFrame, keys: Sequence[str], features: Sequ
     if name == "segmented_ridge":
         return segmented_walk(*args, min_train=min_train)
     if name == "tree_boost":
-        return stump_walk(*args, max_folds)
+        return stump_walk(*args, min_train=min_train)
     if name == "bayes_ar":
         return bayes_ar_walk(*args, min_train=min_train)
     if name == "ensemble":
-        members = [linear_walk(*args, min_train=min_train), segmented_walk(*args, min_train=min_train), stump_walk(*args, max_folds, rounds=12)]
+        members = [linear_walk(*args, min_train=min_train), segmented_walk(*args, min_train=min_train), stump_walk(*args, min_train=min_train, rounds=12)]
         return ensemble(members, keys)
     raise ValueError(f"unknown model family {name}")
 
 
 def model_comparison(
     research: DataFrame, features: Sequence[str], keys: Sequence[str], *, families: Sequence[str] = FAMILIES, order: Sequence[str] = (),
-    horizon_rows: int = 1, max_folds: int = 2, min_rows: int = 40,
+    horizon_seconds: int = 1800, min_rows: int = 40,
 ) -> DataFrame:
     """Families × tasks: fold scores, means, spread, rank and the selected model."""
     min_train, parts, scores = max(len(features) + 5, 20), [], []
@@ -201,11 +210,11 @@ def model_comparison(
         parts.append(sizes.withColumns(label))
         if staged:
             continue
-        folds = fold_columns(rows, keys, order=order, horizon_rows=horizon_rows, rule=half_folds).filter(F.col("_n") >= min_rows)
+        folds = fold_columns(rows, keys, order=order, horizon_seconds=horizon_seconds, rule=half_folds).filter(F.col("_n") >= min_rows)
         if folds.isEmpty():
             continue
         for name in families:
-            scored = family_walk(name, folds, keys, features, "target_delta", max_folds, min_train)
+            scored = family_walk(name, folds, keys, features, "target_delta", min_train)
             moved = scored.withColumns({c: F.col("glucose") + F.col(c) for c in ("pred", "lower", "upper")})
             one = forecast_scores(moved, [*keys, "fold"], "target_glucose").filter(F.col("n_test") >= 8)
             scores.append(cut_lineage(one.withColumns({"task": F.lit(task), "model_name": F.lit(name)})))
@@ -250,13 +259,13 @@ def rank_models(grid: DataFrame, fold_scores: DataFrame, keys: Sequence[str]) ->
 
 
 def screen_features(
-    frame: DataFrame, keys: Sequence[str], base: Sequence[str], extra: Sequence[str], *, target: str = "target_glucose", order: Sequence[str] = (), horizon_rows: int = 1,
+    frame: DataFrame, keys: Sequence[str], base: Sequence[str], extra: Sequence[str], *, target: str = "target_glucose", order: Sequence[str] = (), horizon_seconds: int = 1800,
 ) -> tuple[DataFrame, DataFrame]:
     """Do the extra features help a ridge?  (feature scores, error of both models).
 
     Availability is measured on the unfilled columns.
     """
-    folds = fold_columns(frame, keys, order=order, horizon_rows=horizon_rows, rule=half_folds)
+    folds = fold_columns(frame, keys, order=order, horizon_seconds=horizon_seconds, rule=half_folds)
     by = [*keys, "fold"]
     names = [*base, *extra]
     both = cut_lineage(M.solve(fold_sums(folds, keys, names, target), by))
@@ -269,6 +278,10 @@ def screen_features(
         errors.append(per.groupBy(*keys).agg(F.avg("rmse").alias(f"{label}_rmse"), F.avg("mae").alias(f"{label}_mae"), F.count(F.lit(1)).alias("split_count")))
     error = errors[0].drop("split_count").join(errors[1], list(keys))
 
+    if not extra:
+        none = "feature string, availability double, mean_abs_coefficient double, std_abs_coefficient double, split_count long, recommended boolean"
+        empty = frame.sparkSession.createDataFrame([], T.StructType([*[frame.schema[k] for k in keys], *T.StructType.fromDDL(none).fields]))
+        return empty, error
     pick = F.array(*[F.struct(F.lit(f).alias("feature"), F.abs(F.col("coef")[i]).alias("c")) for i, f in enumerate(names) if f in extra])
     coefs = both.select(*keys, F.explode(pick).alias("p")).groupBy(*keys, F.col("p.feature").alias("feature")).agg(
         F.avg("p.c").alias("mean_abs_coefficient"), F.stddev_pop("p.c").alias("std_abs_coefficient"), F.count(F.lit(1)).alias("split_count")

@@ -27,7 +27,8 @@ def ingest(spark: SparkSession, tables: Mapping[str, str], *, zone: str = "UTC")
             part = df.select(KEY, F.lit(kind).alias("kind"), "source_file", F.col(c).alias("ts"), F.lit(int(i == 0)).alias("row_weight"))
             times = part if times is None else times.unionByName(part)
     manifest = cut_lineage(audit.export_manifest(times, (KEY, "kind", "source_file")))
-    ordered = manifest.withColumn("source_order", F.xxhash64("source_file") * 0)
+    # files count as exported in the order in which they were named
+    ordered = manifest.withColumn("source_order", F.array_position(F.array(*[F.lit(t) for t in tables]), "source_file"))
     return {**kinds, "manifest": manifest, "manifest_summary": audit.manifest_summary(ordered), "quality": audit.quality_from_manifest(manifest)}
 
 
@@ -41,8 +42,7 @@ def prepare(data: Mapping[str, DataFrame], health: Mapping[str, DataFrame], conf
 def forecast(dataset: PreparedDataset, policy_facts: DataFrame, *, folds: int = 4) -> dict[str, DataFrame]:
     """Walk-forward report, scenario losses, policy and ranked recommendations per subject."""
     config, frame, features = dataset.config, dataset.frame, dataset.feature_columns
-    horizon = max(config.horizon_minutes * 60 // config.step_seconds, 1)
-    blocks = validate.fold_columns(frame, [KEY], horizon_rows=horizon, folds=folds)
+    blocks = validate.fold_columns(frame, [KEY], horizon_seconds=config.horizon_minutes * 60, folds=folds)
     scored = validate.linear_walk(blocks, [KEY], features, dataset.target_column)
     report = cut_lineage(validate.walk_forward_report(scored, [KEY]))
     total = report.filter(F.col("fold") == 0).select(KEY, "coverage", "mae", "persistence_mae")
@@ -59,25 +59,26 @@ def forecast(dataset: PreparedDataset, policy_facts: DataFrame, *, folds: int =
 def research(dataset: PreparedDataset, features: Sequence[str], *, mode: str = "strict", keys: Sequence[str] = (KEY,)) -> dict[str, DataFrame]:
     """Research frame, gate, registry, audit, report card and model comparison."""
     frame = cut_lineage(research_frame(fill_health(dataset), mode=mode))
-    registry = profile.feature_registry(frame, dataset.health_columns)
+    registry = profile.feature_registry(frame, dataset.health_columns, unfilled=dataset.frame)
+    horizon = dataset.config.horizon_minutes * 60
     return {
-        "research_frame": frame, "research_gate": profile.research_gate(frame, dataset.health_columns), "feature_registry": registry,
+        "research_frame": frame, "research_gate": profile.research_gate(frame, dataset.health_columns, unfilled=dataset.frame), "feature_registry": registry,
         "feature_families": profile.registry_rollup(registry), "proxy_audit": profile.proxy_audit(frame), "overnight": profile.overnight_evidence(frame),
-        "report_card": profile.report_card(dataset.frame, dataset.feature_columns), "model_comparison": validate.model_comparison(frame, features, keys),
+        "report_card": profile.report_card(dataset.frame, dataset.feature_columns), "model_comparison": validate.model_comparison(frame, features, keys, horizon_seconds=horizon),
     }
 
 
-def latent_exposure(research: DataFrame, rules: cohorts.CleanWindowRules = cohorts.CleanWindowRules(), *, scope: str = "full") -> dict[str, DataFrame]:
+def latent_exposure(research: DataFrame, rules: cohorts.CleanWindowRules = cohorts.CleanWindowRules(), *, scope: str = "full", step_seconds: int = 300) -> dict[str, DataFrame]:
     """Meal events, clean windows, exclusions and (scope ``full``) the latent estimates."""
     events = cut_lineage(cohorts.meal_events(research))
     windows = cut_lineage(cohorts.clean_windows(research, rules))
     out = {
-        "meal_events": events, "windows": windows, "gate": latent.cohort_gate(windows),
+        "meal_events": events, "windows": windows, "gate": latent.cohort_gate(windows, research),
         "exclusions": cohorts.exclusion_summary(windows).unionByName(cohorts.subjects_without_candidates(research, windows)),
     }
     if scope == "foundation":
         return out
-    metrics = cut_lineage(cohorts.window_metrics(research, events, windows, rules).withColumn("meal_id", F.col("candidate_id")))
+    metrics = cut_lineage(cohorts.window_metrics(research, events, windows, rules, step_seconds).withColumn("meal_id", F.col("candidate_id")))
     comparison = cut_lineage(latent.compare_estimators(metrics))
     estimates = cut_lineage(latent.latent_events(metrics, comparison.filter("selected")))
-    return {**out, "metrics": metrics, "comparison": comparison, "latent_events": estimates, "full_gate": latent.full_gate(windows, estimates)}
+    return {**out, "metrics": metrics, "comparison": comparison, "latent_events": estimates, "full_gate": latent.full_gate(windows, estimates, research)}

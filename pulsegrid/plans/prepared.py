@@ -63,8 +63,11 @@ def fill_health(dataset: PreparedDataset) -> DataFrame:
     return dataset.frame.fillna(0, subset=dataset.health_columns) if dataset.health_columns else dataset.frame
 
 
-def health_spans(health: Mapping[str, DataFrame]) -> DataFrame:
+def health_spans(health: Mapping[str, DataFrame], pump: DataFrame) -> DataFrame:
+    """First and last wearable time per subject; without wearables no row (``pump`` gives the columns)."""
     names = [n for n in HEALTH_TIMES if n in health]
+    if not names:
+        return pump.filter(F.lit(False))
     return G.span([health[n] for n in names], [HEALTH_TIMES[n] for n in names])
 
 
@@ -72,7 +75,8 @@ def preparation_report(
     data: Mapping[str, DataFrame], health: Mapping[str, DataFrame], frame: DataFrame, *, history_days: int = 365, min_history_days: int = 180
 ) -> DataFrame:
     """One row per subject: spans, overlap, backfill need, final span and warnings."""
-    pump, wear = kind_spans(data), health_spans(health)
+    pump = kind_spans(data)
+    wear = health_spans(health, pump)
     final = frame.groupBy(KEY).agg(
         F.min("ts").alias("final_start"), F.max("ts").alias("final_end"), F.count(F.lit(1)).alias("final_row_count")
     )

@@ -376,26 +376,28 @@ SQL_EVENTS = with_(
 
 
 def q_cohort_gate(spark, sf_dir):
-    return rounded(L.cohort_gate(clean_windows(research(spark, sf_dir), RULES)), "accepted_fraction")
+    rows = research(spark, sf_dir)
+    return rounded(L.cohort_gate(clean_windows(rows, RULES), rows), "accepted_fraction")
 
 
 SQL_COHORT = with_(
-    "win",
-    f"select subject_id, count(*) as evaluated_candidates, count(*) filter (why = '') as accepted_windows, {rs('count(*) filter (why = $$$$) / count(*)')} as accepted_fraction, ".replace("$$$$", "''")
-    + "case when count(*) filter (why = '') > 0 then 'good' else 'limited' end as source_quality_status, case when count(*) filter (why = '') > 0 then 'ready_for_latent_fit' else 'no_clean_windows_identified' end as cohort_status from win group by 1",
+    "win research",
+    f"select subject_id, n as evaluated_candidates, ok as accepted_windows, {rs('case when n > 0 then ok / n else 0.0 end')} as accepted_fraction, "
+    "case when ok > 0 then 'good' when n > 0 then 'limited' else 'failed' end as source_quality_status, case when ok > 0 then 'ready_for_latent_fit' else 'no_clean_windows_identified' end as cohort_status from "
+    "(select r.subject_id, count(w.subject_id) as n, count(*) filter (w.why = '') as ok from (select distinct subject_id from research) r left join win w on w.subject_id = r.subject_id group by 1)",
 )
 
 
 def q_latent_gate(spark, sf_dir):
     windows = latent_metrics(spark, sf_dir).withColumn("included", (F.col("source_quality_grade") == "good").cast("int"))
-    return L.full_gate(windows, events_of(spark, sf_dir))
+    return L.full_gate(windows, events_of(spark, sf_dir), research(spark, sf_dir))
 
 
 SQL_LATENT_GATE = with_(
-    "lev",
+    "lev research",
     "select subject_id, p as parameter, case when p = 'morning_icr' then case when rep > 0 then 'weakly_identified' else 'not_identified' end when acc > 0 then 'proxy_supported' else 'not_identified' end as identifiability, "
-    "case when (p = 'morning_icr' and rep > 0) or (p <> 'morning_icr' and acc > 0) then 'research_enabled' else 'diagnostics_only' end as gate_status, acc as accepted_windows, rep as reportable, case when acc > 0 then 'good' else 'limited' end as source_quality_status from "
-    "(select subject_id, count(*) filter (grade = 'good') as acc, count(*) filter (why = '') as rep from lev group by 1), (select unnest(['latent_carbs', 'carb_entry_confidence', 'morning_icr']) as p)",
+    "case when (p = 'morning_icr' and rep > 0) or (p <> 'morning_icr' and acc > 0) then 'research_enabled' else 'diagnostics_only' end as gate_status, acc as accepted_windows, rep as reportable, case when acc > 0 then 'good' when n > 0 then 'limited' else 'failed' end as source_quality_status from "
+    "(select r.subject_id, count(lev.subject_id) as n, count(*) filter (grade = 'good') as acc, count(*) filter (why = '') as rep from (select distinct subject_id from research) r left join lev on lev.subject_id = r.subject_id group by 1), (select unnest(['latent_carbs', 'carb_entry_confidence', 'morning_icr']) as p)",
 )
 
 

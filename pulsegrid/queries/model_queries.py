@@ -86,12 +86,12 @@ def q_ridge_one(spark, sf_dir):
     sums = M.gram_sums(lines(spark, sf_dir), [KEY], ["l_quantity"], "y")
     fit = M.solve(sums, [KEY], alpha=1.0)
     out = fit.select(KEY, F.col("n").cast("bigint").alias("n"), F.col("coef")[0].alias("coef"), F.col("slope")[0].alias("slope"), "intercept", (F.col("sse") / F.col("n")).alias("mse"))
-    return rounded(out, "coef", "slope", "intercept", "mse", digits=3)
+    return rounded(rounded(out, "coef", "slope", "intercept", digits=3), "mse", digits=0)
 
 
 SQL_RIDGE_ONE = with_(
     "lines",
-    f"select subject_id, n, {rs('b * sx', 3)} as coef, {rs('b', 3)} as slope, {rs('my - b * mx', 3)} as intercept, {rs('vy - 2 * b * c + b * b * vx', 3)} as mse from (select subject_id, count(*) as n, avg(y) as my, avg(l_quantity) as mx, var_pop(y) as vy, "
+    f"select subject_id, n, {rs('b * sx', 3)} as coef, {rs('b', 3)} as slope, {rs('my - b * mx', 3)} as intercept, {rs('vy - 2 * b * c + b * b * vx', 0)} as mse from (select subject_id, count(*) as n, avg(y) as my, avg(l_quantity) as mx, var_pop(y) as vy, "
     "covar_pop(y, l_quantity) as c, var_pop(l_quantity) as vx, stddev_pop(l_quantity) as sx, covar_pop(y, l_quantity) * count(*) / (count(*) + 1.0) / var_pop(l_quantity) as b from lines group by 1)",
 )
 
@@ -121,7 +121,108 @@ def q_segmented(spark, sf_dir):
 
 
 def q_stumps(spark, sf_dir):
-    return _scores(V.stump_walk(line_folds(spark, sf_dir), [KEY], MANY, "y", max_folds=2, rounds=6))
+    return _scores(V.stump_walk(line_folds(spark, sf_dir), [KEY], MANY, "y"))
+
+
+STUMP_FEATURES = ("l_quantity", "l_tax")
+
+
+def q_stumps_two(spark, sf_dir):
+    """Two rounds on two features: every step of the booster, in reach of SQL."""
+    return _scores(V.stump_walk(line_folds(spark, sf_dir), [KEY], STUMP_FEATURES, "y", rounds=2))
+
+
+def _stump_round(k: int) -> str:
+    """CTEs of round k: bins with residuals, the best split of each fit, moved predictions."""
+    bins = " union all ".join(
+        f"select subject_id, fold, {i} as f, len(list_filter(t{i}, lambda t: t < {c})) as b, y - pred as r from p{k - 1} join cuts using (subject_id, fold) where not test" for i, c in enumerate(STUMP_FEATURES)
+    )
+    value = " ".join(f"when s.f = {i} then len(list_filter(t{i}, lambda t: t < p.{c}))" for i, c in enumerate(STUMP_FEATURES))
+    return (
+        f"h{k} as (select subject_id, fold, f, b, count(*) as c, sum(r) as s from ({bins}) group by all), "
+        f"q{k} as (select *, sum(c) over r as cl, sum(s) over r as sl, sum(c) over w as ca, sum(s) over w as sa from h{k} window w as (partition by subject_id, fold, f), r as (partition by subject_id, fold, f order by b rows unbounded preceding)), "
+        f"s{k} as (select * from q{k} where cl < ca qualify row_number() over (partition by subject_id, fold order by round(sl * sl / cl + (sa - sl) * (sa - sl) / (ca - cl) - sa * sa / ca, 6) desc, f, b) = 1), "
+        f"p{k} as (select p.* exclude (pred), p.pred + coalesce(0.1 * case when (case {value} end) <= s.b then s.sl / s.cl else (s.sa - s.sl) / (s.ca - s.cl) end, 0.0) as pred "
+        f"from p{k - 1} p join cuts using (subject_id, fold) left join s{k} s on s.subject_id = p.subject_id and s.fold = p.fold)"
+    )
+
+
+SQL_STUMPS = with_(
+    "folds train",
+    "select * from (with cuts as (select subject_id, fold, " + ", ".join(f"list_sort(list_distinct([{', '.join(f'quantile_cont({c}, {d / 10})' for d in range(1, 10))}])) as t{i}" for i, c in enumerate(STUMP_FEATURES))
+    + " from train group by 1, 2), m as (select subject_id, fold, avg(y) as mean from train group by 1, 2), "
+    "p0 as (select t.subject_id, t.fold, i, l_quantity, l_tax, y, false as test, mean as pred from train t join m using (subject_id, fold) "
+    "union all select f.subject_id, m.fold, i, l_quantity, l_tax, y, true, mean from folds f join m on m.subject_id = f.subject_id and m.fold = f.block), "
+    + _stump_round(1) + ", " + _stump_round(2)
+    + ", band as (select subject_id, fold, quantile_cont(y - pred, 0.1) as lo, quantile_cont(y - pred, 0.9) as hi from p2 where not test group by 1, 2), "
+    f"done as (select p2.*, pred + lo as lower, pred + hi as upper from p2 join band using (subject_id, fold) where test) select subject_id, fold, {score_sql('y')} from done group by 1, 2)",
+)
+
+
+def q_elastic_one(spark, sf_dir):
+    return _scores(V.linear_walk(line_folds(spark, sf_dir), [KEY], ["l_quantity"], "y", method="elastic_net", alpha=0.05, l1=0.5))
+
+
+def _walk_sql(fit: str, by: str = "subject_id, fold") -> str:
+    """Scores of a one-feature fit (slope, intercept per ``by``) with its training band."""
+    return (
+        f"select * from (with fit as ({fit}), band as (select {by}, quantile_cont(y - intercept - slope * l_quantity, 0.1) as lo, quantile_cont(y - intercept - slope * l_quantity, 0.9) as hi from train join fit using ({by}) group by all), "
+        f"done as (select t.*, intercept + slope * l_quantity as pred, intercept + slope * l_quantity + lo as lower, intercept + slope * l_quantity + hi as upper from (select *, block as fold from folds where block > 0) t join fit using ({by}) join band using ({by})) "
+        f"select subject_id, cast(fold as integer) as fold, {score_sql('y')} from done group by 1, 2)"
+    )
+
+
+# soft threshold 0.025 on the covariance with the scaled feature, then shrunk by 1.025
+SQL_ELASTIC_ONE = with_(
+    "folds train",
+    _walk_sql(
+        "select subject_id, fold, b as slope, my - b * mx as intercept from (select subject_id, fold, avg(y) as my, avg(l_quantity) as mx, "
+        "sign(covar_pop(y, l_quantity)) * greatest(abs(covar_pop(y, l_quantity) / stddev_pop(l_quantity)) - 0.025, 0.0) / 1.025 / stddev_pop(l_quantity) as b from train group by 1, 2)"
+    ),
+)
+
+
+def q_segmented_one(spark, sf_dir):
+    return _scores(V.segmented_walk(line_folds(spark, sf_dir), [KEY], ["l_quantity"], "y"))
+
+
+_RIDGE = "(covar_pop(y, l_quantity) * count(*) / (count(*) + 1.0)) / var_pop(l_quantity)"
+SQL_SEGMENTED_ONE = with_(
+    "folds train scored1",
+    "select * from (with fit as (select * from (select subject_id, therapy_segment, fold, count(*) as n, " + f"{_RIDGE} as slope, avg(y) - {_RIDGE} * avg(l_quantity) as intercept from train group by 1, 2, 3) where n >= 20), "
+    "band as (select subject_id, therapy_segment, fold, quantile_cont(y - intercept - slope * l_quantity, 0.1) as lo, quantile_cont(y - intercept - slope * l_quantity, 0.9) as hi from train join fit using (subject_id, therapy_segment, fold) group by all), "
+    "done as (select s.subject_id, s.fold, s.y, coalesce(intercept + slope * l_quantity, pred) as pred, coalesce(intercept + slope * l_quantity + lo, lower) as lower, coalesce(intercept + slope * l_quantity + hi, upper) as upper "
+    "from scored1 s left join fit f on f.subject_id = s.subject_id and f.therapy_segment = s.therapy_segment and f.fold = s.fold left join band b on b.subject_id = s.subject_id and b.therapy_segment = s.therapy_segment and b.fold = s.fold) "
+    f"select subject_id, fold, {score_sql('y')} from done group by 1, 2)",
+)
+
+
+def q_ridge_two(spark, sf_dir):
+    fit = M.solve(M.gram_sums(lines(spark, sf_dir), [KEY], ["l_quantity", "l_tax"], "y"), [KEY], alpha=1.0)
+    return rounded(fit.select(KEY, F.col("coef")[0].alias("coef_quantity"), F.col("coef")[1].alias("coef_tax"), "intercept"), "coef_quantity", "coef_tax", "intercept", digits=3)
+
+
+SQL_RIDGE_TWO = with_(
+    "lines",
+    f"select subject_id, {rs('u', 3)} as coef_quantity, {rs('v', 3)} as coef_tax, {rs('my - u / s1 * m1 - v / s2 * m2', 3)} as intercept from (select *, ((n + 1) * n * c1 - n * r * n * c2) / ((n + 1) * (n + 1) - n * r * n * r) as u, ((n + 1) * n * c2 - n * r * n * c1) / ((n + 1) * (n + 1) - n * r * n * r) as v "
+    "from (select subject_id, count(*) as n, avg(y) as my, avg(l_quantity) as m1, avg(l_tax) as m2, stddev_pop(l_quantity) as s1, stddev_pop(l_tax) as s2, corr(l_quantity, l_tax) as r, covar_pop(y, l_quantity) / stddev_pop(l_quantity) as c1, "
+    "covar_pop(y, l_tax) / stddev_pop(l_tax) as c2 from lines group by 1))",
+)
+
+
+def q_bayes_one(spark, sf_dir):
+    return _scores(V.bayes_ar_walk(line_folds(spark, sf_dir), [KEY], ["l_quantity"], "y"))
+
+
+SQL_BAYES_ONE = with_(
+    "folds train fit1",
+    "select * from (with res as (select subject_id, fold, i, y - intercept - slope * l_quantity as r from train join fit1 using (subject_id, fold)), "
+    "pair as (select *, lag(r) over (partition by subject_id, fold order by i) as b from res), "
+    "fact as (select subject_id, fold, coalesce(corr(r, b), 0.0) as rho, stddev_pop(r) as sd, arg_max(r, i) as last, max(i) as i_last from pair group by 1, 2), "
+    "done as (select f.subject_id, t.fold, y, intercept + slope * l_quantity + pow(rho, i - i_last) * last as pred, 1.2815515655446004 * sd * sqrt(greatest(1 - pow(rho, i - i_last) * pow(rho, i - i_last), 0.0)) as half "
+    "from folds f join fit1 t on t.subject_id = f.subject_id and t.fold = f.block join fact using (subject_id, fold)), full_ as (select *, pred - half as lower, pred + half as upper from done) "
+    f"select subject_id, fold, {score_sql('y')} from full_ group by 1, 2)",
+)
 
 
 def q_bayes(spark, sf_dir):
@@ -129,18 +230,20 @@ def q_bayes(spark, sf_dir):
 
 
 def q_ensemble(spark, sf_dir):
-    folds = line_folds(spark, sf_dir)
-    members = [V.linear_walk(folds, [KEY], MANY, "y"), V.linear_walk(folds, [KEY], MANY, "y", method="elastic_net", alpha=0.05, l1=0.5)]
-    return _scores(V.ensemble(members, [KEY]))
+    """The product's ensemble: ridge, segmented ridge and boosted stumps."""
+    return _scores(V.family_walk("ensemble", line_folds(spark, sf_dir), [KEY], MANY, "y", 1))
 
 
 def q_report(spark, sf_dir):
     scored = V.linear_walk(line_folds(spark, sf_dir), [KEY], ["l_quantity"], "y").withColumn("naive", F.col("l_quantity") * 1500.0)
-    out = V.walk_forward_report(scored, [KEY], "y", "naive").filter(F.col("fold") == 0)
+    out = V.walk_forward_report(scored, [KEY], "y", "naive")
     return rounded(out, *SCORES, "persistence_mae")
 
 
-SQL_REPORT = with_("scored1", f"select subject_id, 0 as fold, {score_sql('y')}, {rs('avg(abs(y - l_quantity * 1500.0))')} as persistence_mae from scored1 group by 1")
+SQL_REPORT = with_(
+    "scored1",
+    f"select subject_id, cast(f as integer) as fold, {score_sql('y')}, {rs('avg(abs(y - l_quantity * 1500.0))')} as persistence_mae from (select *, unnest([fold, 0]) as f from scored1) group by 1, 2",
+)
 
 
 def q_standardize(spark, sf_dir):
@@ -217,15 +320,13 @@ def q_top_parts(spark, sf_dir):
 
 
 def q_model_comparison(spark, sf_dir):
-    rows = research(spark, sf_dir).withColumn("cohort", F.lit("all"))
-    out = V.model_comparison(rows, COHORT, ["cohort"], order=[KEY])
-    return out.select("cohort", "task", "parameter", "model_name", "status", "n_rows", "n_features", "fold_count", "mae", "safety_weighted_mae", "selected")
+    out = V.model_comparison(research(spark, sf_dir), COHORT, [KEY], horizon_seconds=3600)
+    return out.select(KEY, "task", "parameter", "model_name", "status", "n_rows", "n_features", "fold_count", "mae", "safety_weighted_mae", "selected")
 
 
 def q_screening(spark, sf_dir):
-    data = prepared(spark, sf_dir)
-    rows = data.frame.withColumn("cohort", F.lit("all"))
-    scores, _ = V.screen_features(rows, ["cohort"], COHORT, ["health_activity_value", "prior_night_total_sleep_hours", "hrv_latest", "workout_count_24h"], order=[KEY])
+    extra = ["health_activity_value", "prior_night_total_sleep_hours", "hrv_latest", "workout_count_24h"]
+    scores, _ = V.screen_features(prepared(spark, sf_dir).frame, [KEY], COHORT, extra, horizon_seconds=3600)
     return scores
 
 
@@ -238,6 +339,11 @@ QUERIES = {
     "elastic_net": (q_elastic, None),
     "segmented_ridge": (q_segmented, None),
     "boosted_stumps": (q_stumps, None),
+    "boosted_stumps_two_rounds": (q_stumps_two, SQL_STUMPS),
+    "elastic_net_one_feature": (q_elastic_one, SQL_ELASTIC_ONE),
+    "segmented_ridge_one_feature": (q_segmented_one, SQL_SEGMENTED_ONE),
+    "ridge_two_features": (q_ridge_two, SQL_RIDGE_TWO),
+    "bayes_ar_one_feature": (q_bayes_one, SQL_BAYES_ONE),
     "bayes_ar": (q_bayes, None),
     "ensemble": (q_ensemble, None),
     "standardize": (q_standardize, SQL_STANDARDIZE),

@@ -256,8 +256,15 @@ def q_report_card(spark, sf_dir):
     return rounded(out, "missing_fraction", "mean", "median", "iqr", "min", "max", digits=3)
 
 
+# the limits that the report card must apply
+CARD_LIMITS = {
+    "glucose": (40, 450), "bolus_units": (0, 40), "basal_units_per_hour": (0, 10), "heart_rate_avg_latest": (25, 220), "hrv_latest": (0, 250), "respiratory_rate_latest": (5, 40),
+    "workout_count_24h": (0, 12), "minutes_since_last_workout": (0, None),
+}
+
+
 def _limit_sql(f: str) -> str:
-    lo, hi = P.plausible_range(f)
+    lo, hi = CARD_LIMITS.get(f, (None, None))
     parts = ([f"{f} < {lo}"] if lo is not None else []) + ([f"{f} > {hi}"] if hi is not None else [])
     return f"count(*) filter ({' or '.join(parts)})" if parts else "cast(0 as bigint)"
 
@@ -276,23 +283,38 @@ REG = ("glucose", "glucose_lag_30m", "bolus_proxy_class", "meal_proxy_event", "b
 
 def registry(spark, sf_dir):
     rows = research(spark, sf_dir).select(*REG)
-    return P.feature_registry(rows, health=("hrv_latest", "heart_rate_avg_latest", "in_sleep"))
+    return P.feature_registry(rows, health=("hrv_latest", "heart_rate_avg_latest", "in_sleep"), unfilled=prepared(spark, sf_dir).frame)
 
 
 def q_feature_registry(spark, sf_dir):
     return rounded(registry(spark, sf_dir), "availability", "nonzero_fraction")
 
 
-_HEALTH = ("hrv_latest", "heart_rate_avg_latest")
+# the labels that the registry must give: family, alignment, uses, risk
+REG_LABELS = {
+    "glucose": ("pump_cgm", "current_bin_or_direct_state", "basal,icr,sensitivity_factor", "low"),
+    "glucose_lag_30m": ("pump_cgm", "lagged_observation", "basal,icr,sensitivity_factor", "low"),
+    "bolus_proxy_class": ("meal_bolus_proxy", "proxy_label", "icr,sensitivity_factor", "moderate"),
+    "meal_proxy_event": ("meal_bolus_proxy", "event_proxy", "icr,sensitivity_factor", "moderate"),
+    "basal_units_per_hour": ("pump_basal", "current_bin_or_direct_state", "basal", "low"),
+    "recent_meal_120m": ("pump_carbs", "current_bin_or_direct_state", "icr", "low"),
+    "basal_context": ("therapy_context", "context_mask", "basal,icr,sensitivity_factor", "low"),
+    "hrv_latest": ("wearable_measurements", "carry_forward", "basal,icr", "low"),
+    "heart_rate_avg_latest": ("wearable_measurements", "current_bin_or_direct_state", "basal,icr", "low"),
+    "in_sleep": ("wearable_sleep", "interval_overlay", "basal,icr", "low"),
+    "explicit_carb_grams": ("pump_carbs", "current_bin_or_direct_state", "icr", "low"),
+    "is_weekend": ("calendar", "current_bin_or_direct_state", "basal,icr,sensitivity_factor", "low"),
+    "iob_roll_sum_60m": ("pump_bolus", "rolling_summary", "basal,icr,sensitivity_factor", "low"),
+    "therapy_segment": ("derived", "current_bin_or_direct_state", "basal,icr,sensitivity_factor", "low"),
+}
 
 
 def _reg_sql(f: str) -> str:
-    col = f"coalesce({f}, 0.0)" if f in _HEALTH else f
-    nz = f"{col} <> ''" if f in ("bolus_proxy_class", "therapy_segment") else f"{col} <> 0"
-    fam = P.source_family(f, ("hrv_latest", "heart_rate_avg_latest", "in_sleep"))
+    nz = f"{f} <> ''" if f in ("bolus_proxy_class", "therapy_segment") else f"{f} <> 0"
+    family, rule, uses, risk = REG_LABELS[f]
     return (
-        f"select '{f}' as feature, '{fam}' as source_family, '{P.alignment_rule(f)}' as alignment_rule, '{P.allowed_use_cases(f)}' as allowed_use_cases, '{P.leakage_risk(f)}' as leakage_risk, "
-        f"{rs(f'count({col}) / count(*)')} as availability, {rs(f'count(*) filter ({nz}) / count(*)')} as nonzero_fraction from research"
+        f"select '{f}' as feature, '{family}' as source_family, '{rule}' as alignment_rule, '{uses}' as allowed_use_cases, '{risk}' as leakage_risk, "
+        f"{rs(f'count({f}) / count(*)')} as availability, {rs(f'count(*) filter ({nz}) / count(*)')} as nonzero_fraction from research"
     )
 
 
@@ -304,17 +326,18 @@ def q_registry_rollup(spark, sf_dir):
 
 
 def q_research_gate(spark, sf_dir):
-    return P.research_gate(research(spark, sf_dir), health=("hrv_latest", "in_sleep"))
+    """With a first good day inside the data, so that both quality grades occur."""
+    return P.research_gate(research(spark, sf_dir), health=("hrv_latest", "in_sleep"), min_ts="2024-01-04", unfilled=prepared(spark, sf_dir).frame)
 
 
 SQL_GATE = with_(
     "research",
-    "select subject_id, p as parameter, case when p = 'basal' then case when b >= 96 then 'directly_observed' when b >= 48 then 'weakly_identified' else 'not_identified' end "
+    "select subject_id, p as parameter, case when p = 'basal' then case when b >= 96 and i = 0 then 'directly_observed' when b >= 48 then 'weakly_identified' else 'not_identified' end "
     "when p = 'I/C ratio' then case when d >= 48 then 'directly_observed' when x >= 48 then 'proxy_supported' else 'not_identified' end when c >= 48 then 'weakly_identified' else 'not_identified' end as identifiability, "
-    "case when (p = 'basal' and b >= 96) or (p = 'I/C ratio' and d >= 48) then 'research_enabled' else 'diagnostics_only' end as gate_status, 'good' as source_quality_status, d as direct_meal_rows, x as proxy_meal_rows, "
-    "b as basal_context_rows, c as correction_context_rows, case when d > 0 then 'moderate' when x > 0 or a > 0 then 'high' else 'moderate' end as closed_loop_confounding_risk, 'credible' as wearable_alignment_status from "
+    "case when (p = 'basal' and b >= 96 and i = 0) or (p = 'I/C ratio' and d >= 48) then 'research_enabled' else 'diagnostics_only' end as gate_status, case when i > 0 then 'degraded' else 'good' end as source_quality_status, d as direct_meal_rows, x as proxy_meal_rows, "
+    "b as basal_context_rows, c as correction_context_rows, case when d > 0 then 'moderate' when x > 0 or a > 0 then 'high' else 'moderate' end as closed_loop_confounding_risk, case when h >= 0.1 then 'credible' else 'limited' end as wearable_alignment_status from "
     "(select subject_id, count(*) filter (explicit_meal_event > 0) as d, count(*) filter (meal_proxy_event > 0) as x, count(*) filter (basal_context > 0) as b, count(*) filter (correction_context > 0) as c, "
-    "count(*) filter (bolus_proxy_class = 'ambiguous') as a from research group by 1), (select unnest(['basal', 'I/C ratio', 'sensitivity factor']) as p)",
+    "count(*) filter (bolus_proxy_class = 'ambiguous') as a, count(*) filter (ts < timestamp '2024-01-04') as i, (count(hrv_latest) + count(in_sleep)) / (2.0 * count(*)) as h from research group by 1), (select unnest(['basal', 'I/C ratio', 'sensitivity factor']) as p)",
 )
 
 
@@ -357,7 +380,7 @@ def q_recent_rows(spark, sf_dir):
 def q_window_metrics(spark, sf_dir):
     rows = stored_research(spark, sf_dir)
     windows = K.clean_windows(rows, RULES).withColumn("included", F.lit(1))
-    out = K.window_metrics(rows, K.meal_events(rows), windows, RULES)
+    out = K.window_metrics(rows, K.meal_events(rows), windows, RULES, step_seconds=3600)
     out = out.select(KEY, "candidate_id", "evidence_source", "observed_cgm_points", "observed_peak_glucose", "observed_peak_delta", "observed_auc_above_baseline",
                      "observed_mean_glucose_180m", "sleep_deficit_flag", "recent_exercise_context")
     return rounded(out, "observed_peak_glucose", "observed_peak_delta", "observed_auc_above_baseline", "observed_mean_glucose_180m", digits=3)
@@ -367,7 +390,7 @@ SQL_METRICS = with_(
     "win hits meal_ev",
     "select h.subject_id, h.candidate_id, case when coalesce(any_value(e.src), 'proxy_only') = 'proxy_only' and any_value(w.explicit_carb_grams) > 0 then 'explicit_logged' else coalesce(any_value(e.src), 'proxy_only') end as evidence_source, "
     f"count(*) as observed_cgm_points, {rs('max(h.glucose)', 3)} as observed_peak_glucose, {rs('max(h.glucose) - any_value(w.premeal_glucose)', 3)} as observed_peak_delta, "
-    f"{rs('sum(greatest(h.glucose - w.premeal_glucose, 0.0) * (5.0 / 60.0))', 3)} as observed_auc_above_baseline, {rs('avg(h.glucose)', 3)} as observed_mean_glucose_180m, "
+    f"{rs('sum(greatest(h.glucose - w.premeal_glucose, 0.0))', 3)} as observed_auc_above_baseline, {rs('avg(h.glucose)', 3)} as observed_mean_glucose_180m, "
     "any_value(w.sleep_deficit_flag) as sleep_deficit_flag, any_value(w.recent_exercise_context) as recent_exercise_context from hits h join win w on w.subject_id = h.subject_id and w.candidate_id = h.candidate_id left join "
     "(select w.subject_id, w.candidate_id, arg_min(m.evidence_source, (abs(epoch_us(m.ts) - epoch_us(w.ts)), m.ts)) as src from win w join meal_ev m on w.subject_id = m.subject_id and cast(m.ts as date) = w.date "
     "and abs(epoch_us(m.ts) - epoch_us(w.ts)) <= 5400000000 group by 1, 2) e on e.subject_id = h.subject_id and e.candidate_id = h.candidate_id where h.rel >= 0 and h.rel <= 360 group by 1, 2",

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -30,14 +31,22 @@ def build_session(app_name: str = "pulsegrid", master: str | None = None, **conf
 
 # application id → folder made for it, where the cluster names none
 _OWN_FOLDER: dict[str, str] = {}
+_STORED: list[str] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder the cluster names in ``spark.checkpoint.dir``; only where
-    that is unset (tests), a fresh folder under /tmp, kept for the application."""
+    """The folder the cluster names in ``spark.checkpoint.dir``.
+
+    Only a local master may do without it: tests then get a fresh folder under
+    /tmp.  On a cluster every executor would write to its own disk and the
+    tables would read back short, so there a missing setting is an error.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named
+    master = spark.sparkContext.master
+    if not re.fullmatch(r"local(\[[^\]]*\])?", master):
+        raise ValueError(f"spark.checkpoint.dir must name a folder that all executors share (master {master})")
     app = spark.sparkContext.applicationId
     if app not in _OWN_FOLDER:
         _OWN_FOLDER[app] = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
@@ -48,9 +57,19 @@ def store(df: DataFrame) -> str:
     """Write ``df`` as a parquet table in the shared folder; returns its path."""
     path = f"{shared_folder(df.sparkSession)}/stored-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _STORED.append(path)
     return path
 
 
+def delete_stored(spark: SparkSession) -> int:
+    """Delete the tables this application has stored, once their results are written; returns their number."""
+    paths, _STORED[:] = list(_STORED), []
+    for path in paths:
+        target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+    return len(paths)
+
+
 def stored_frame(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
