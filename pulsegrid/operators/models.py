@@ -194,7 +194,8 @@ def boosted_stumps(train: DataFrame, test: DataFrame, keys: Sequence[str], featu
     mean = train.groupBy(*keys).agg(F.avg(target).alias("pred"))
     rows = lookup(lookup(rows, cuts, keys, "_i"), mean, keys, "_i")
     # bin b: the value is above b of the thresholds, so a split at threshold k sends bins up to k left
-    bins = [F.size(F.filter(f"t{i}", lambda t, f=f: t < F.coalesce(F.col(f).cast("double"), F.lit(0.0)))).alias(f"b{i}") for i, f in enumerate(features)]
+    below = lambda value: lambda t: t < value
+    bins = [F.size(F.filter(f"t{i}", below(F.coalesce(F.col(f).cast("double"), F.lit(0.0))))).alias(f"b{i}") for i, f in enumerate(features)]
     rows = cut_lineage(rows.select(*[c for c in rows.columns if c not in {f"t{i}" for i in range(n)}], *bins))
     for _ in range(rounds):
         seen = rows.filter(~F.col("_test")).select(*keys, (F.col(target) - F.col("pred")).alias("r"), F.posexplode(F.array(*[F.col(f"b{i}") for i in range(n)])).alias("feature", "bin"))

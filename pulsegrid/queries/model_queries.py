@@ -220,7 +220,7 @@ SQL_BAYES_ONE = with_(
     "pair as (select *, lag(r) over (partition by subject_id, fold order by i) as b from res), "
     "fact as (select subject_id, fold, coalesce(corr(r, b), 0.0) as rho, stddev_pop(r) as sd, arg_max(r, i) as last, max(i) as i_last from pair group by 1, 2), "
     "done as (select f.subject_id, t.fold, y, intercept + slope * l_quantity + pow(rho, i - i_last) * last as pred, 1.2815515655446004 * sd * sqrt(greatest(1 - pow(rho, i - i_last) * pow(rho, i - i_last), 0.0)) as half "
-    "from folds f join fit1 t on t.subject_id = f.subject_id and t.fold = f.block join fact using (subject_id, fold)), full_ as (select *, pred - half as lower, pred + half as upper from done) "
+    "from folds f join fit1 t on t.subject_id = f.subject_id and t.fold = f.block join fact on fact.subject_id = f.subject_id and fact.fold = t.fold), full_ as (select *, pred - half as lower, pred + half as upper from done) "
     f"select subject_id, fold, {score_sql('y')} from full_ group by 1, 2)",
 )
 
