@@ -167,14 +167,12 @@ def standardize(df: DataFrame, keys: Sequence[str], features: Sequence[str], spr
 
 def stump_thresholds(train: DataFrame, keys: Sequence[str], features: Sequence[str]) -> DataFrame:
     """Per key the inner deciles of each feature (exact), as an array ``t<i>`` of distinct values."""
-    out = None
-    for i, f in enumerate(features):
-        value = F.coalesce(F.col(f).cast("double"), F.lit(0.0))
-        cuts = exact_quantiles(train, keys, value, {f"_d{k}": k / 10 for k in range(1, 10)}).select(
-            *keys, F.array_sort(F.array_distinct(F.array(*[F.col(f"_d{k}") for k in range(1, 10)]))).alias(f"t{i}")
-        )
-        out = cuts if out is None else out.join(cuts, list(keys))
-    return out
+    values = F.array(*[F.coalesce(F.col(f).cast("double"), F.lit(0.0)) for f in features])
+    long = train.select(*keys, F.posexplode(values).alias("_feature", "_value"))
+    cuts = exact_quantiles(long, [*keys, "_feature"], "_value", {f"_d{k}": k / 10 for k in range(1, 10)})
+    cut = F.array_sort(F.array_distinct(F.array(*[F.col(f"_d{k}") for k in range(1, 10)])))
+    # one array per feature
+    return cuts.groupBy(*keys).agg(*[F.max(F.when(F.col("_feature") == i, cut)).alias(f"t{i}") for i in range(len(features))])
 
 
 def boosted_stumps(train: DataFrame, test: DataFrame, keys: Sequence[str], features: Sequence[str], target: str, rounds: int = 18, rate: float = 0.1) -> DataFrame:

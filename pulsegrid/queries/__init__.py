@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("grid_queries", "audit_queries", "context_queries", "research_queries", "model_queries", "decision_queries", "source_queries")
+MODULES = ("grid_queries", "audit_queries", "context_queries", "research_queries", "model_queries", "decision_queries", "source_queries", "roundtrip_queries")
 
 REGISTRY = {}
 for _name in MODULES:

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import os
 import re
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
@@ -20,18 +22,39 @@ RECOMMENDED = {
 }
 
 
+# application id → folder made for it, where the cluster names none
+_OWN_FOLDER: dict[str, str] = {}
+_STORED: list[str] = []
+_SHIPPED: set[str] = set()
+
+
 def build_session(app_name: str = "pulsegrid", master: str | None = None, **conf: str) -> SparkSession:
     builder = SparkSession.builder.appName(app_name)
     if master:
         builder = builder.master(master)
     for key, value in {**RECOMMENDED, **conf}.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    spark = builder.getOrCreate()
+    if not spark.sparkContext.master.startswith("local["):
+        ship_package(spark)
+    return spark
 
 
-# application id → folder made for it, where the cluster names none
-_OWN_FOLDER: dict[str, str] = {}
-_STORED: list[str] = []
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers of a cluster, once per application."""
+    app = spark.sparkContext.applicationId
+    if app in _SHIPPED:
+        return
+    here = os.path.dirname(os.path.abspath(__file__))
+    with tempfile.TemporaryDirectory() as folder:
+        path = f"{folder}/{os.path.basename(here)}.zip"
+        with zipfile.ZipFile(path, "w") as out:
+            for top, _, names in os.walk(here):
+                for name in names:
+                    if name.endswith(".py"):
+                        out.write(f"{top}/{name}", os.path.relpath(f"{top}/{name}", os.path.dirname(here)))
+        spark.sparkContext.addPyFile(path)
+    _SHIPPED.add(app)
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -57,12 +80,21 @@ def store(df: DataFrame) -> str:
     """Write ``df`` as a parquet table in the shared folder; returns its path."""
     path = f"{shared_folder(df.sparkSession)}/stored-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    _STORED.append(path)
+    track(path)
     return path
 
 
+def track(path: str) -> None:
+    """Remember a stored table for :func:`delete_stored`."""
+    _STORED.append(path)
+
+
 def delete_stored(spark: SparkSession) -> int:
-    """Delete the tables this application has stored, once their results are written; returns their number."""
+    """Delete the tables this application has stored so far; returns their number.
+
+    For use between the steps of a flow: what was read from the tables must be
+    written elsewhere by then.
+    """
     paths, _STORED[:] = list(_STORED), []
     for path in paths:
         target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)

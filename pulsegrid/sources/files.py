@@ -101,6 +101,22 @@ def manifest_paths(manifest: DataFrame) -> DataFrame:
     return union_all(parts).select(F.trim("path").alias("path")).filter(F.col("path") != "").distinct()
 
 
+def load_manifest(spark: SparkSession, manifest: DataFrame, kinds: Sequence[str] = tuple(CANONICAL), fmt: str = "csv") -> dict[str, DataFrame]:
+    """Canonical tables of all files that a manifest lists, united by kind.
+
+    A path belongs to the kind that one of its folders is named after
+    (``kind=cgm`` or ``cgm``).  The list of paths, not their content, comes to
+    the driver.
+    """
+    paths = [r["path"] for r in manifest_paths(manifest).orderBy("path").collect()]
+    out = {}
+    for kind in kinds:
+        own = [p for p in paths if {kind, f"kind={kind}"} & set(p.split("/"))]
+        if own:
+            out[kind] = read_canonical(spark, kind, own, fmt)
+    return out
+
+
 def load_exports(spark: SparkSession, tables: Mapping[str, str], *, zone: str = "UTC", bin_seconds: int = 300) -> dict[str, DataFrame]:
     """Standardise raw tables and union them by kind.
 
@@ -125,7 +141,11 @@ def write_table(df: DataFrame, path: str, *, fmt: str = "parquet", partition_by:
     writer = df.write.mode(mode)
     if partition_by:
         writer = writer.partitionBy(*partition_by)
-    writer.option("header", True).csv(path) if fmt == "csv" else writer.format(fmt).save(path)
+    if fmt == "csv":
+        # the default formats cut times to milliseconds
+        writer.options(header=True, timestampFormat="yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", timestampNTZFormat="yyyy-MM-dd'T'HH:mm:ss.SSSSSS").csv(path)
+    else:
+        writer.format(fmt).save(path)
 
 
 def write_windows(kinds: Mapping[str, DataFrame], root: str) -> None:
@@ -134,6 +154,20 @@ def write_windows(kinds: Mapping[str, DataFrame], root: str) -> None:
         df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("window_id").parquet(f"{root}/kind={kind}")
 
 
+def window_manifest(kinds: Mapping[str, DataFrame], root: str) -> DataFrame:
+    """One row per window: rows of each kind, first and last time, and the paths of its tables."""
+    rows = None
+    for kind, df in kinds.items():
+        time = "start_ts" if kind == "basal" else "ts"
+        each = df.groupBy("window_id").agg(F.count(F.lit(1)).alias("n"), F.min(time).alias("first_ts"), F.max(time).alias("last_ts")).withColumn("kind", F.lit(kind))
+        rows = each if rows is None else rows.unionByName(each)
+    path = F.concat(F.lit(f"{root}/kind="), F.col("kind"), F.lit("/window_id="), F.col("window_id"))
+    count = {f"{kind}_rows": F.coalesce(F.max(F.when(F.col("kind") == kind, F.col("n"))), F.lit(0)) for kind in kinds}
+    return rows.groupBy("window_id").agg(
+        *[c.alias(n) for n, c in count.items()], F.min("first_ts").alias("first_ts"), F.max("last_ts").alias("last_ts"), F.array_sort(F.collect_list(path)).alias("normalized_paths"),
+    )
+
+
 # Columns of a prepared table that are no features, and name parts of wearable features.
 NOT_FEATURES = ("subject_id", "ts", "target_glucose", "target_delta", "explicit_carb_grams", "explicit_meal_event", "minutes_since_last_explicit_meal",
                 "explicit_carb_source_available", "meal_truth_status", "glucose_observed")
