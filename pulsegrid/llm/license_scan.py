@@ -41,12 +41,17 @@ STOP = ("a", "an", "and", "are", "as", "for", "has", "in", "is", "of", "or", "th
 LICENSE_FILE = "^(licen[cs]e|copying|notice)([.-].*)?$"
 
 
+def pieces_of(text: Column) -> Column:
+    return F.split(F.lower(text), "[^a-z0-9]+")
+
+
 def words_of(text: Column) -> Column:
-    return F.filter(F.split(F.lower(text), "[^a-z0-9]+"), lambda w: (w != "") & ~w.isin(*STOP))
+    return F.filter(pieces_of(text), lambda w: (w != "") & ~w.isin(*STOP))
 
 
 def template_rows(spark, templates=TEMPLATES) -> DataFrame:
-    rows = spark.createDataFrame(list(templates), "license string, template string")
+    each = F.array(*[F.struct(F.lit(k).alias("license"), F.lit(t).alias("template")) for k, t in templates])
+    rows = spark.range(1).select(F.explode(each).alias("t")).select("t.*")
     words = rows.select("license", F.explode(words_of(F.col("template"))).alias("word"))
     return words.groupBy("license", "word").agg(F.count("*").alias("tf"))
 
@@ -63,7 +68,7 @@ def license_scan(files: DataFrame, templates=TEMPLATES, least: float = LEAST) ->
     n = files.count()
 
     # one pass: document frequencies of the templates' words
-    held = files.select(F.explode(F.array_intersect(words_of(F.col("text")), listed)).alias("word")).groupBy("word").agg(F.count("*").alias("df"))
+    held = files.select(F.explode(F.array_intersect(pieces_of(F.col("text")), listed)).alias("word")).groupBy("word").agg(F.count("*").alias("df"))
     idf = F.log(F.lit(n + 1.0) / (F.coalesce("df", F.lit(0)) + 1)) + 1
     unseen = F.log(F.lit(n + 1.0)) + 1
     weighted = cut_lineage(terms.join(held, "word", "left").select("license", "word", "tf", idf.alias("idf")))
@@ -75,8 +80,9 @@ def license_scan(files: DataFrame, templates=TEMPLATES, least: float = LEAST) ->
     name = F.lower(F.element_at(F.split("path", "/"), -1))
     whole = F.coalesce(name.rlike(LICENSE_FILE), F.lit(False))
     lines = F.when(whole, F.array("text")).otherwise(F.split("text", "\n"))
-    marked = F.filter(F.transform(lines, lambda x, i: F.struct(i.alias("line"), words_of(x).alias("words"))), lambda x: F.size(F.array_intersect(x["words"], listed)) >= 2)
-    notices = cut_lineage(files.select("__file", "path", whole.alias("whole"), F.explode(marked).alias("n")).select("__file", "path", "whole", "n.line", "n.words"))
+    placed = F.transform(lines, lambda x, i: F.struct(i.alias("line"), x.alias("x")))
+    marked = F.filter(placed, lambda p: F.size(F.array_intersect(pieces_of(p["x"]), listed)) >= 2)
+    notices = cut_lineage(files.select("__file", "path", whole.alias("whole"), F.explode(marked).alias("n")).select("__file", "path", "whole", "n.line", words_of(F.col("n.x")).alias("words")))
 
     counted = notices.select("__file", "line", F.explode("words").alias("word")).groupBy("__file", "line", "word").agg(F.count("*").alias("tf"))
     vectors = counted.join(F.broadcast(known), "word", "left").withColumn("w", F.col("tf") * F.coalesce("idf", unseen))
