@@ -7,6 +7,7 @@ import re
 import tempfile
 import uuid
 import zipfile
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
@@ -24,7 +25,8 @@ RECOMMENDED = {
 
 # application id → folder made for it, where the cluster names none
 _OWN_FOLDER: dict[str, str] = {}
-_STORED: list[str] = []
+# lists that collect the tables being stored
+_COLLECTORS: list[list[str]] = []
 _SHIPPED: set[str] = set()
 
 
@@ -86,20 +88,26 @@ def store(df: DataFrame) -> str:
 
 def track(path: str) -> None:
     """Remember a stored table for :func:`delete_stored`."""
-    _STORED.append(path)
+    for paths in _COLLECTORS:
+        paths.append(path)
 
 
-def delete_stored(spark: SparkSession) -> int:
-    """Delete the tables this application has stored so far; returns their number.
+@contextmanager
+def stored_into(paths: list[str]):
+    """The tables stored inside the block are added to ``paths``."""
+    _COLLECTORS.append(paths)
+    try:
+        yield paths
+    finally:
+        _COLLECTORS.remove(paths)
 
-    For use between the steps of a flow: what was read from the tables must be
-    written elsewhere by then.
-    """
-    paths, _STORED[:] = list(_STORED), []
+
+def delete_stored(spark: SparkSession, paths: list[str]) -> None:
+    """Delete stored tables and empty the list; what was read from them must be written elsewhere by then."""
     for path in paths:
         target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
         target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-    return len(paths)
+    paths.clear()
 
 
 def stored_frame(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
