@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from pulsegrid.llm.memory import released
 from pulsegrid.llm.words import shingles, split_words, text_blocks
 from pulsegrid.session import cut_lineage
 
@@ -48,7 +49,7 @@ def benchmark_windows(bench: DataFrame, width: int = WIDTH) -> DataFrame:
                             "words": pa.array([words.text(j, j + n) for j in range(a, a + k)], pa.binary()), "item_id": pa.array([item[i]] * k, pa.int64()),
                         })
 
-    rows = bench.select("item_id", "text").mapInArrow(cut, WINDOWS)
+    rows = bench.select("item_id", "text").mapInArrow(released(cut), WINDOWS)
     return rows.groupBy("hash", "n_words", "words").agg(F.array_sort(F.collect_set("item_id")).alias("item_ids"))
 
 
@@ -126,7 +127,7 @@ def contaminated_spans(docs: DataFrame, bench: DataFrame, width: int = WIDTH, bl
                     found = [pa.array(v, t) for v, t in zip(values, found_types, strict=True)]
                     yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), *found], [*keep, "__words", "__hits", "__items"])
 
-        frame, started = frame.mapInArrow(scan, schema), True
+        frame, started = frame.mapInArrow(released(scan), schema), True
         if block < blocks - 1:
             frame = cut_lineage(frame)
     return frame

@@ -23,6 +23,8 @@ import re
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+
+from pulsegrid.llm.memory import released
 from pyspark.sql.types import StructType
 
 LABELLED_PAGES = 5_000  # about so many labelled pages are learnt from, chosen by hash
@@ -128,7 +130,7 @@ def weights(pages: DataFrame, labelled_pages: int = LABELLED_PAGES) -> dict[str,
             "name": pa.array(list(total), pa.string()), "inside": pa.array([v[0] for v in total.values()], pa.int64()), "outside": pa.array([v[1] for v in total.values()], pa.int64()),
         })
 
-    rows = sample.mapInArrow(count, "name string, inside long, outside long").groupBy("name").agg(F.sum("inside").alias("inside"), F.sum("outside").alias("outside"))
+    rows = sample.mapInArrow(released(count), "name string, inside long, outside long").groupBy("name").agg(F.sum("inside").alias("inside"), F.sum("outside").alias("outside"))
     learnt = {r["name"]: (r["inside"], r["outside"]) for r in rows.orderBy(F.desc(F.col("inside") + F.col("outside")), "name").limit(FEATURES).collect()}
     sides = [max(1, sum(v[k] for v in learnt.values())) for k in (0, 1)]
     # both sides count alike, so that long articles do not make every name likely
@@ -202,4 +204,4 @@ def main_text(pages: DataFrame, weight: dict[str, float]) -> DataFrame:
             found = [extractor.text(page or "") for page in batch.column("html").to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.string())], [*keep, "__text"])
 
-    return pages.mapInArrow(extract, schema)
+    return pages.mapInArrow(released(extract), schema)

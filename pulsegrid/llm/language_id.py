@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from pulsegrid.llm.memory import released
 from pulsegrid.llm.words import ALNUM, split_words, text_blocks
 from pulsegrid.session import cut_lineage
 
@@ -27,8 +28,8 @@ PASSES = 4
 LEARNT_BYTES = 60  # longer words are scored, not learnt from
 UNKNOWN = 1e-10  # of one character that is no piece
 SMOOTH = 1e-3
-WORD_BLOCK = 8 << 20
-REMEMBERED_WORDS = 1_000_000
+WORD_BLOCK = 4 << 20
+REMEMBERED_WORDS = 600_000
 CHUNK = 20_000
 LETTERS = ALNUM.copy()
 LETTERS[48:58] = False
@@ -177,7 +178,7 @@ def train(docs: DataFrame, path: str, train_docs: int = TRAIN_DOCS, passes: int
                     texts = [words.data[words.start[i] : words.end[i]].tobytes().decode("utf-8", "replace") for i in own[at]]
                     yield pa.RecordBatch.from_pydict({"word": texts, "k": pa.array([int(k)] * len(texts), pa.int32()), "n": n})
 
-    counts = sample.mapInArrow(count, "word string, k int, n long")
+    counts = sample.mapInArrow(released(count), "word string, k int, n long")
     sums = [F.sum(F.when(F.col("k") == k, F.col("n")).otherwise(0)).cast("double").alias(f"n{k}") for k in range(len(langs))]
     counts = cut_lineage(counts.groupBy("word").agg(*sums))
     names = [f"n{k}" for k in range(len(langs))]
@@ -197,7 +198,7 @@ def train(docs: DataFrame, path: str, train_docs: int = TRAIN_DOCS, passes: int
                 some = np.flatnonzero(total.any(1))
                 yield pa.RecordBatch.from_arrays([pa.array(some), *(pa.array(total[some, k]) for k in range(len(names)))], ["piece", *names])
 
-        rows = counts.mapInArrow(expect, f"piece long, {', '.join(f'{n} double' for n in names)}")
+        rows = counts.mapInArrow(released(expect), f"piece long, {', '.join(f'{n} double' for n in names)}")
         table = np.full((size + 1, len(langs)), SMOOTH)
         # at most one row for each piece of the vocabulary
         for r in rows.groupBy("piece").agg(*(F.sum(n).alias(n) for n in names)).collect():
@@ -268,7 +269,7 @@ def predict(docs: DataFrame, path: str, langs: list[str], table) -> DataFrame:
                             name[i], score[i] = langs[k], s
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), pa.array(name), pa.array(score)], [*keep, "__lang", "__score"])
 
-    return docs.mapInArrow(judge, schema)
+    return docs.mapInArrow(released(judge), schema)
 
 
 def identified(docs: DataFrame, path: str) -> DataFrame:

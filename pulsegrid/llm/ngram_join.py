@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pulsegrid.llm.components import component_labels
+from pulsegrid.llm.memory import released
 from pulsegrid.llm.numbered import numbered
 from pulsegrid.llm.runs import by_key, whole_groups
 from pulsegrid.llm.words import mix, shingles, split_words, text_blocks
@@ -105,7 +106,7 @@ def features(docs: DataFrame) -> DataFrame:
                     ["row", "doc_id", "size", "sig1", "sig2", "sketch1", "sketch2", "buckets"],
                 )
 
-    return docs.select("__row", "doc_id", "text").mapInArrow(describe, FEATURES)
+    return docs.select("__row", "doc_id", "text").mapInArrow(released(describe), FEATURES)
 
 
 def _split(docs: DataFrame, large: DataFrame) -> DataFrame:
@@ -126,7 +127,7 @@ def _split(docs: DataFrame, large: DataFrame) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(reps)), pa.array(np.concatenate(chosen).view(np.int64))], ["rep", "bucket"])
 
     paths = large.groupBy("rep").agg(F.collect_list("bucket").alias("paths"))
-    return docs.select(F.col("__row").alias("rep"), "text").join(paths, "rep").mapInArrow(choose, "rep long, bucket long")
+    return docs.select(F.col("__row").alias("rep"), "text").join(paths, "rep").mapInArrow(released(choose), "rep long, bucket long")
 
 
 def _agreement(n: str = "members"):
@@ -277,7 +278,7 @@ def candidates(units: DataFrame) -> DataFrame:
                 some[a:b] = near.any(1)
             yield from table.select([*KEYS, "own", "rep"]).filter(some).to_batches()
 
-    return by_key(units, *KEYS).mapInArrow(screen, "bucket long, low int, high int, own int, rep long")
+    return by_key(units, *KEYS).mapInArrow(released(screen), "bucket long, low int, high int, own int, rep long")
 
 
 def verified(docs: DataFrame, members: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -295,7 +296,7 @@ def verified(docs: DataFrame, members: DataFrame, wanted: DataFrame) -> DataFram
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), pa.array(sets, pa.binary())], [*kept, "hashes"])
 
     schema = "rep long, copies long, lists array<long>, units array<struct<bucket:long,low:int,high:int,own:int>>, hashes binary"
-    sets = texts.select(*kept, "text").mapInArrow(attach, schema)
+    sets = texts.select(*kept, "text").mapInArrow(released(attach), schema)
     dealt = sets.withColumn("u", F.explode("units")).select("rep", "copies", "lists", "hashes", "u.*")
 
     def compare(batches):
@@ -327,7 +328,7 @@ def verified(docs: DataFrame, members: DataFrame, wanted: DataFrame) -> DataFram
             if out[0]:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], ["rep", "label", "links"])
 
-    return by_key(dealt, *KEYS).mapInArrow(compare, "rep long, label long, links long")
+    return by_key(dealt, *KEYS).mapInArrow(released(compare), "rep long, label long, links long")
 
 
 def similar_documents(docs: DataFrame) -> DataFrame:

@@ -20,6 +20,7 @@ import zlib
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pulsegrid.llm.memory import released
 from pulsegrid.llm.tokens import encoder
 from pulsegrid.session import cut_lineage
 
@@ -52,7 +53,7 @@ def pieces(docs: DataFrame, tokenizer: str, spaces: str, end_id: int, limit: int
             types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
             yield pa.RecordBatch.from_pydict({name: pa.array(v, t) for (name, v), t in zip(list(out.items())[: 5 + with_ids], types, strict=False)})
 
-    return docs.select("doc_id", "text").mapInArrow(cut, PIECES + ", ids binary" * with_ids)
+    return docs.select("doc_id", "text").mapInArrow(released(cut), PIECES + ", ids binary" * with_ids)
 
 
 def sum_of_squares(lengths, limit: int):

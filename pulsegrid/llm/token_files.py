@@ -21,6 +21,7 @@ from array import array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from pulsegrid.llm.memory import released
 from pulsegrid.llm.shared_files import new_folder, open_read, open_write
 from pulsegrid.llm.tokens import encoder
 from pulsegrid.session import cut_lineage
@@ -69,7 +70,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, spaces: str, end_id: int,
         })
 
     ranged = docs.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    files = cut_lineage(ranged.mapInArrow(write, MANIFEST))
+    files = cut_lineage(ranged.mapInArrow(released(write), MANIFEST))
     before = Window.orderBy(F.asc_nulls_first("first_id")).rowsBetween(Window.unboundedPreceding, -1)
     return files.withColumn("base", F.coalesce(F.sum("n_tokens").over(before), F.lit(0).cast("long")))
 
@@ -106,4 +107,4 @@ def read_token_files(manifest: DataFrame) -> DataFrame:
                         a = b
 
     # one file for each task
-    return manifest.repartition(max(1, manifest.count())).mapInArrow(read, SPANS)
+    return manifest.repartition(max(1, manifest.count())).mapInArrow(released(read), SPANS)

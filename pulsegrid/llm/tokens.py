@@ -14,7 +14,7 @@ from array import array
 
 import numpy as np
 
-REMEMBERED_BYTES = 160 << 20
+REMEMBERED_BYTES = 112 << 20
 
 # dropped: the tokenizer drops white space. kept: one blank or line feed before a chunk belongs to it.
 CUTS = {
