@@ -4,7 +4,7 @@ Encoding a text as a whole costs about one CPU second a megabyte.  Its white
 space cuts it into chunks that the tokenizer's pre-tokenizer separates anyway,
 so the ids of a text are the joined ids of its chunks, and each chunk is
 encoded once and remembered.  Texts with other white space than the cutting
-rule knows are encoded whole.
+rule knows, or with the name of an added token, are encoded whole.
 """
 
 from __future__ import annotations
@@ -26,15 +26,19 @@ PLAIN = re.compile(r"([ \n]?)([A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+)([.,!]*)")
 
 
 class ChunkEncoder(dict):
-    """Texts to the bytes of their ids (little-endian, ``dtype``).  As a dict, the known chunks."""
+    """Texts to the bytes of their ids (little-endian, ``dtype``).  As a dict, the known chunks.
 
-    def __init__(self, path: str, spaces: str):
+    ``split_special``: the names of special tokens in a text are ordinary words; otherwise, as the library does by default, they are those tokens.
+    """
+
+    def __init__(self, path: str, spaces: str, split_special: bool = True):
         from tokenizers import Tokenizer
         from tokenizers.pre_tokenizers import ByteLevel
 
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = split_special
+        self.names = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.model = self.tokenizer.model
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.code = self.dtype.char
@@ -80,7 +84,7 @@ class ChunkEncoder(dict):
         for text in texts:
             if self.size > REMEMBERED_BYTES:
                 self._forget()
-            out.append(self.whole(text) if self.odd.search(text) else b"".join(map(self.__getitem__, self.split(text))))
+            out.append(self.whole(text) if self.odd.search(text) or any(n in text for n in self.names) else b"".join(map(self.__getitem__, self.split(text))))
         return out
 
 
@@ -88,8 +92,8 @@ _ENCODERS: dict[tuple[str, str], ChunkEncoder] = {}
 
 
 def encoder(path: str, spaces: str) -> ChunkEncoder:
-    """One encoder for each Python worker."""
+    """One encoder for each Python worker, with the library's default for special tokens."""
     key = (path, spaces)
     if key not in _ENCODERS:
-        _ENCODERS[key] = ChunkEncoder(path, spaces)
+        _ENCODERS[key] = ChunkEncoder(path, spaces, split_special=False)
     return _ENCODERS[key]
