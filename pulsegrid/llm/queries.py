@@ -5,6 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
+from pulsegrid.llm.cutting_stock import pack_patterns
 from pulsegrid.llm.decontaminate import contaminated_spans, judged
 from pulsegrid.llm.hmm_lm import score_documents
 from pulsegrid.llm.html_text import main_text, weights
@@ -80,6 +81,10 @@ def q_packing(spark, sf_dir):
     return packed(table(spark, sf_dir, "documents"))
 
 
+def q_pattern_packing(spark, sf_dir):
+    return pack_patterns(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), "kept", 1).drop("ids")
+
+
 def q_decontaminate(spark, sf_dir):
     return judged(contaminated_spans(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
@@ -191,4 +196,5 @@ QUERIES = {
     "op8_decontaminate": (q_decontaminate, DECONTAMINATE_SQL),
     "op9_vp_search": (q_nearest, NEAREST_SQL),
     "op10_hmm_lm": (q_hmm, None),
+    "op11_cutting_stock": (q_pattern_packing, None),
 }
