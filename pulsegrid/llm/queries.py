@@ -14,6 +14,7 @@ from pulsegrid.llm.license_scan import LEAST, LICENSE_FILE, STOP, TEMPLATES, lic
 from pulsegrid.llm.ngram_join import similar_documents
 from pulsegrid.llm.numbered import numbered
 from pulsegrid.llm.packing import pack, pieces
+from pulsegrid.llm.prefix_trie import trie
 from pulsegrid.llm.substring_dedup import repeated_passages
 from pulsegrid.llm.token_files import read_token_files, write_token_files
 from pulsegrid.llm.vp_search import nearest, usable
@@ -85,6 +86,10 @@ def q_pattern_packing(spark, sf_dir):
     return pack_patterns(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), "kept", 1).drop("ids")
 
 
+def q_trie(spark, sf_dir):
+    return trie(table(spark, sf_dir, "conversations"))
+
+
 def q_decontaminate(spark, sf_dir):
     return judged(contaminated_spans(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
@@ -185,6 +190,33 @@ select query_id, cast(row_number() over (partition by query_id order by score de
 from s qualify rank <= 20
 """
 
+# unsigned crc32 of a decimal number, bit by bit
+SQL_CRC = """xor(list_reduce(list_prepend(4294967295::bigint, list_transform(range(1, len(c::varchar) + 1), lambda i: ascii((c::varchar)[i])::bigint)),
+  lambda a, b: list_reduce(list_prepend(xor(a, b), [0, 0, 0, 0, 0, 0, 0, 0]::bigint[]), lambda x, z: xor(x >> 1, (x & 1) * 3988292384))), 4294967295)"""
+
+TRIE_SQL = f"""
+with t as (select conv_id as c, turn, coalesce(role, '') as r, coalesce(text, '') as x from conversations where conv_id is not null),
+o as (select c, list({{'r': r, 'x': x}} order by turn nulls first, md5(concat(md5(r), x))) as ts from t group by c),
+oh as (select c, ts, {SQL_CRC} % 4 as h from o),
+rb as (
+  select oh.c, list_concat(coalesce(list_slice(b.ts, 1, h), []), list_slice(oh.ts, h + 1, len(oh.ts))) as ts
+  from oh left join o b on b.c = oh.c - oh.c % 20
+),
+mem as (select c, d, list_slice(ts, 1, d) as k, d = len(ts) as is_end from (select c, ts, unnest(range(0, len(ts) + 1)) as d from rb)),
+node as (
+  select d, k, min(c) as conv_id, count(*) as n_convs, sha256(coalesce(string_agg(c::varchar, ',' order by c) filter (is_end), '')) as ends_sha256,
+    case when d = 0 then 0 else len(regexp_extract_all(k[d].x, '[^\\x20\\x09-\\x0D]+')) end as words
+  from mem group by d, k
+),
+kid as (select list_slice(k, 1, d - 1) as k, d - 1 as d, count(*) as n from node where d > 0 group by all),
+tot as (
+  select list_slice(k, 1, e) as k, e as d, sum((n_convs - 1) * words) as saved_tokens, count(*) filter (n = 0) as n_leaves
+  from (select node.d, node.k, n_convs, words, coalesce(n, 0) as n, unnest(range(0, node.d + 1)) as e from node left join kid using (d, k)) group by all
+)
+select node.conv_id, node.d as depth, p.conv_id as parent_conv_id, node.n_convs, coalesce(kid.n, 0) as n_children, n_leaves, cast(saved_tokens as bigint) as saved_tokens, node.ends_sha256
+from node left join node p on p.d = node.d - 1 and p.k = list_slice(node.k, 1, node.d - 1) left join kid on kid.d = node.d and kid.k = node.k join tot on tot.d = node.d and tot.k = node.k
+"""
+
 QUERIES = {
     "op1_substring_dedup": (q_substring_dedup, None),
     "op2_token_files": (q_tokens, None),
@@ -197,4 +229,5 @@ QUERIES = {
     "op9_vp_search": (q_nearest, NEAREST_SQL),
     "op10_hmm_lm": (q_hmm, None),
     "op11_cutting_stock": (q_pattern_packing, None),
+    "op13_prefix_trie": (q_trie, TRIE_SQL),
 }
