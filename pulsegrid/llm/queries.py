@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from pulsegrid.llm.cutting_stock import pack_patterns
 from pulsegrid.llm.decontaminate import contaminated_spans, judged
+from pulsegrid.llm.hard_negatives import mine
+from pulsegrid.llm.hard_negatives import usable as labelled_vectors
 from pulsegrid.llm.hmm_lm import score_documents
 from pulsegrid.llm.html_text import main_text, weights
 from pulsegrid.llm.language_id import identified, labelled_part
@@ -18,6 +20,7 @@ from pulsegrid.llm.prefix_trie import trie
 from pulsegrid.llm.substring_dedup import repeated_passages
 from pulsegrid.llm.token_files import read_token_files, write_token_files
 from pulsegrid.llm.vp_search import nearest, usable
+from pulsegrid.session import cut_lineage
 
 
 def table(spark, sf_dir, name):
@@ -86,6 +89,12 @@ def q_pattern_packing(spark, sf_dir):
     return pack_patterns(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), "kept", 1).drop("ids")
 
 
+def q_hard_negatives(spark, sf_dir):
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = cut_lineage(labelled_vectors(table(spark, sf_dir, "embeddings"), label))
+    return mine(rows, rows.filter(F.col("vec_id") % 50 == 0))
+
+
 def q_trie(spark, sf_dir):
     return trie(table(spark, sf_dir, "conversations"))
 
@@ -190,6 +199,23 @@ select query_id, cast(row_number() over (partition by query_id order by score de
 from s qualify rank <= 20
 """
 
+HARD_NEGATIVES_SQL = """
+with e as (
+  select row_number() over () as r, vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label, [cast(floor(256 * x::double) as double) for x in embedding] as v
+  from embeddings
+  where vec_id is not null and label is not null and len(embedding) > 0 and len(list_filter(embedding, lambda x: x is not null and isfinite(x))) = len(embedding)
+),
+s as (
+  select a.r as ar, a.vec_id as anchor_id, b.vec_id, a.label = b.label as same, cast(list_inner_product(a.v, b.v) as bigint) as score
+  from e a join e b on a.vec_id % 50 = 0 and a.r <> b.r and len(a.v) = len(b.v)
+),
+p as (select *, row_number() over (partition by ar order by score desc, vec_id) as place from s where same qualify place <= 5)
+select p.anchor_id, p.vec_id as positive_id, cast(row_number() over (partition by p.ar, place order by n.score desc, n.vec_id) as integer) as rank,
+  n.vec_id as negative_id, p.score as positive_score, n.score as negative_score
+from p join s n on n.ar = p.ar and not n.same and 50 * p.score <= 100 * n.score and 100 * n.score <= 95 * p.score
+qualify rank <= 3
+"""
+
 # unsigned crc32 of a decimal number, bit by bit
 SQL_CRC = """xor(list_reduce(list_prepend(4294967295::bigint, list_transform(range(1, len(c::varchar) + 1), lambda i: ascii((c::varchar)[i])::bigint)),
   lambda a, b: list_reduce(list_prepend(xor(a, b), [0, 0, 0, 0, 0, 0, 0, 0]::bigint[]), lambda x, z: xor(x >> 1, (x & 1) * 3988292384))), 4294967295)"""
@@ -229,5 +255,6 @@ QUERIES = {
     "op9_vp_search": (q_nearest, NEAREST_SQL),
     "op10_hmm_lm": (q_hmm, None),
     "op11_cutting_stock": (q_pattern_packing, None),
+    "op12_hard_negatives": (q_hard_negatives, HARD_NEGATIVES_SQL),
     "op13_prefix_trie": (q_trie, TRIE_SQL),
 }
