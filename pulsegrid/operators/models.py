@@ -175,40 +175,90 @@ def stump_thresholds(train: DataFrame, keys: Sequence[str], features: Sequence[s
     return cuts.groupBy(*keys).agg(*[F.max(F.when(F.col("_feature") == i, cut)).alias(f"t{i}") for i in range(len(features))])
 
 
-def boosted_stumps(train: DataFrame, test: DataFrame, keys: Sequence[str], features: Sequence[str], target: str, rounds: int = 18, rate: float = 0.1) -> DataFrame:
-    """Boosting with depth-1 trees, one model per key: ``train`` and ``test`` rows with ``pred``, told apart by ``_test``.
-
-    Candidate thresholds are the deciles of the key's training rows; a row goes
-    left where its value is at most the threshold.  Each round sums count and
-    residual per (key, feature, decile bin), which a few hundred rows per key
-    hold, and takes the split with the largest fall of squared error (ties: the
-    earlier feature, then the smaller threshold).  The first prediction is the
-    mean; every stump is shrunk by ``rate``.  A key without a split stops.
+STUMPS = "array<struct<feature:int,cut:double,low:double,high:double>>"
+BINS = 16  # at most ten are used
+
+
+def _boost(count: np.ndarray, total: np.ndarray, rounds: int, rate: float) -> tuple[float, list[tuple[int, int, float, float]]]:
+    """First prediction and stumps (feature, bin, left, right) from bin co-occurrence.
+
+    ``count[f, b, g, c]``: rows in bin b of feature f and bin c of g; ``total[f, b]``: their target sum.
+    A stump moves predictions by its own bins only, so the residual sums of all
+    other bins follow from the counts: no round looks at rows again.
+    """
+    n = len(total)
+    size = np.stack([np.diag(count[f, :, f, :]) for f in range(n)])
+    rows = size[0].sum()
+    base = float(total[0].sum() / rows)
+    residual = total - base * size
+    left_rows = size.cumsum(1)
+    splits = (size > 0) & (left_rows < rows)
+    steps = []
+    for _ in range(rounds if splits.any() else 0):
+        left, whole = residual.cumsum(1), residual.sum(1, keepdims=True)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            gain = left**2 / left_rows + (whole - left) ** 2 / (rows - left_rows) - whole**2 / rows
+        # equal gains up to rounding noise are ties: the earlier feature, then the smaller threshold
+        gain = np.where(splits, np.floor(gain * 1e6 + 0.5), -np.inf)
+        f, b = np.unravel_index(int(gain.argmax()), gain.shape)
+        low = rate * left[f, b] / left_rows[f, b]
+        high = rate * (whole[f, 0] - left[f, b]) / (rows - left_rows[f, b])
+        residual = residual - np.tensordot(np.where(np.arange(BINS) <= b, low, high), count[f], 1)
+        steps.append((int(f), int(b), float(low), float(high)))
+    return base, steps
+
+
+def fit_stumps(train: DataFrame, keys: Sequence[str], features: Sequence[str], target: str, rounds: int = 18, rate: float = 0.1) -> DataFrame:
+    """Boosted depth-1 trees, one model per key: ``base`` and ``stumps`` (see :func:`stump_prediction`).
+
+    Candidate thresholds are the deciles of the key's rows (``_i`` numbers them); a row goes
+    left where its value is at most the threshold.  The split with the largest
+    fall of squared error is taken, shrunk by ``rate``; the first prediction is
+    the mean.  All rounds come from one sum per key and pair of bins, at most
+    ``100 * n * (n + 1) / 2`` rows a key for n features.
     """
     keys, n = list(keys), len(features)
-    mark = lambda df, flag: df.withColumn("_test", F.lit(flag))
-    rows = mark(train.filter(F.col(target).isNotNull()), False).unionByName(mark(test, True))
-    cuts = cut_lineage(stump_thresholds(train.filter(F.col(target).isNotNull()), keys, features))
-    mean = train.groupBy(*keys).agg(F.avg(target).alias("pred"))
-    rows = lookup(lookup(rows, cuts, keys, "_i"), mean, keys, "_i")
+    rows = train.filter(F.col(target).isNotNull())
+    cuts = cut_lineage(stump_thresholds(rows, keys, features))
     # bin b: the value is above b of the thresholds, so a split at threshold k sends bins up to k left
     below = lambda value: lambda t: t < value
     bins = [F.size(F.filter(f"t{i}", below(F.coalesce(F.col(f).cast("double"), F.lit(0.0))))).alias(f"b{i}") for i, f in enumerate(features)]
-    rows = cut_lineage(rows.select(*[c for c in rows.columns if c not in {f"t{i}" for i in range(n)}], *bins))
-    for _ in range(rounds):
-        seen = rows.filter(~F.col("_test")).select(*keys, (F.col(target) - F.col("pred")).alias("r"), F.posexplode(F.array(*[F.col(f"b{i}") for i in range(n)])).alias("feature", "bin"))
-        each = seen.groupBy(*keys, "feature", "bin").agg(F.count(F.lit(1)).alias("c"), F.sum("r").alias("s"))
-        # at most ten bins per key and feature
-        w = Window.partitionBy(*keys, "feature")
-        run = w.orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
-        split = each.select(*keys, "feature", "bin", F.sum("c").over(run).alias("cl"), F.sum("s").over(run).alias("sl"), F.sum("c").over(w).alias("ca"), F.sum("s").over(w).alias("sa"))
-        split = split.filter("cl < ca").withColumn("gain", F.col("sl") ** 2 / F.col("cl") + (F.col("sa") - F.col("sl")) ** 2 / (F.col("ca") - F.col("cl")) - F.col("sa") ** 2 / F.col("ca"))
-        # equal gains up to rounding noise are ties
-        best = split.groupBy(*keys).agg(F.min(F.struct((-F.round("gain", 6)).alias("g"), "feature", "bin", "cl", "sl", "ca", "sa")).alias("b"))
-        left, right = F.col("b.sl") / F.col("b.cl"), (F.col("b.sa") - F.col("b.sl")) / (F.col("b.ca") - F.col("b.cl"))
-        step = best.select(*keys, F.col("b.feature").alias("_f"), F.col("b.bin").alias("_b"), (left * rate).alias("_l"), (right * rate).alias("_r"))
-        moved = lookup(rows, step, keys, "_i", "left")
-        value = F.array(*[F.col(f"b{i}") for i in range(n)])[F.col("_f")]
-        gain = F.coalesce(F.when(value <= F.col("_b"), F.col("_l")).otherwise(F.col("_r")), F.lit(0.0))
-        rows = cut_lineage(moved.withColumn("pred", F.col("pred") + gain).drop("_f", "_b", "_l", "_r"))
-    return rows.drop(*[f"b{i}" for i in range(n)])
+    binned = lookup(rows, cuts, keys, "_i").select(*keys, F.col(target).cast("double").alias("_y"), *bins)
+    cells = F.array(*[F.lit((i * n + j) * BINS * BINS) + F.col(f"b{i}") * BINS + F.col(f"b{j}") for i in range(n) for j in range(i, n)])
+    seen = binned.select(*keys, "_y", F.explode(cells).alias("_cell")).groupBy(*keys, "_cell").agg(F.count(F.lit(1)).alias("_c"), F.sum("_y").alias("_s"))
+
+    def solve_one(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        pair, at = np.divmod(pdf["_cell"].to_numpy(), BINS * BINS)
+        f, g = np.divmod(pair, n)
+        b, c = np.divmod(at, BINS)
+        count, total = np.zeros((n, BINS, n, BINS)), np.zeros((n, BINS))
+        count[f, b, g, c] = count[g, c, f, b] = pdf["_c"].to_numpy()
+        own = f == g
+        total[f[own], b[own]] = pdf["_s"].to_numpy()[own]
+        base, steps = _boost(count, total, rounds, rate)
+        found = [{"feature": i, "bin": k, "low": low, "high": high} for i, k, low, high in steps]
+        return pd.DataFrame([[*key, base, found]], columns=[*keys, "base", "_steps"])
+
+    schema = T.StructType([*_key_schema(train, keys), *T.StructType.fromDDL("base double, _steps array<struct<feature:int,bin:int,low:double,high:double>>").fields])
+    models = seen.groupBy(*keys).applyInPandas(solve_one, schema)
+    at = F.array(*[F.col(f"t{i}") for i in range(n)])
+    stumps = F.transform("_steps", lambda s: F.struct(s["feature"].alias("feature"), at[s["feature"]][s["bin"]].alias("cut"), s["low"].alias("low"), s["high"].alias("high")))
+    return models.join(cuts, keys).select(*keys, "base", stumps.alias("stumps"))
+
+
+def stump_sum(stumps: Column, values: Column, base: Column) -> Column:
+    """``base`` and what each stump adds for an array of feature values."""
+    return F.aggregate(stumps, base, lambda total, s: total + F.when(values[s["feature"]] <= s["cut"], s["low"]).otherwise(s["high"]))
+
+
+def feature_values(features: Sequence[str]) -> Column:
+    return F.array(*[F.coalesce(F.col(f).cast("double"), F.lit(0.0)) for f in features])
+
+
+def boosted_stumps(train: DataFrame, test: DataFrame, keys: Sequence[str], features: Sequence[str], target: str, rounds: int = 18, rate: float = 0.1) -> DataFrame:
+    """``train`` and ``test`` rows with ``pred`` of the key's boosted stumps, told apart by ``_test``."""
+    models = cut_lineage(fit_stumps(train, keys, features, target, rounds, rate))
+    mark = lambda df, flag: df.withColumn("_test", F.lit(flag))
+    rows = mark(train.filter(F.col(target).isNotNull()), False).unionByName(mark(test, True))
+    scored = lookup(rows, models, keys, "_i")
+    return scored.withColumn("pred", stump_sum(F.col("stumps"), feature_values(features), F.col("base"))).drop("base", "stumps")

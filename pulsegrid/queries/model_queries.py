@@ -132,6 +132,11 @@ def q_stumps_two(spark, sf_dir):
     return _scores(V.stump_walk(line_folds(spark, sf_dir), [KEY], STUMP_FEATURES, "y", rounds=2))
 
 
+def q_stumps_all(spark, sf_dir):
+    """All rounds of the product's booster."""
+    return _scores(V.stump_walk(line_folds(spark, sf_dir), [KEY], STUMP_FEATURES, "y"))
+
+
 def _stump_round(k: int) -> str:
     """CTEs of round k: bins with residuals, the best split of each fit, moved predictions."""
     bins = " union all ".join(
@@ -142,21 +147,22 @@ def _stump_round(k: int) -> str:
         f"h{k} as (select subject_id, fold, f, b, count(*) as c, sum(r) as s from ({bins}) group by all), "
         f"q{k} as (select *, sum(c) over r as cl, sum(s) over r as sl, sum(c) over w as ca, sum(s) over w as sa from h{k} window w as (partition by subject_id, fold, f), r as (partition by subject_id, fold, f order by b rows unbounded preceding)), "
         f"s{k} as (select * from q{k} where cl < ca qualify row_number() over (partition by subject_id, fold order by round(sl * sl / cl + (sa - sl) * (sa - sl) / (ca - cl) - sa * sa / ca, 6) desc, f, b) = 1), "
-        f"p{k} as (select p.* exclude (pred), p.pred + coalesce(0.1 * case when (case {value} end) <= s.b then s.sl / s.cl else (s.sa - s.sl) / (s.ca - s.cl) end, 0.0) as pred "
+        f"p{k} as materialized (select p.* exclude (pred), p.pred + coalesce(0.1 * case when (case {value} end) <= s.b then s.sl / s.cl else (s.sa - s.sl) / (s.ca - s.cl) end, 0.0) as pred "
         f"from p{k - 1} p join cuts using (subject_id, fold) left join s{k} s on s.subject_id = p.subject_id and s.fold = p.fold)"
     )
 
 
-SQL_STUMPS = with_(
-    "folds train",
-    "select * from (with cuts as (select subject_id, fold, " + ", ".join(f"list_sort(list_distinct([{', '.join(f'quantile_cont({c}, {d / 10})' for d in range(1, 10))}])) as t{i}" for i, c in enumerate(STUMP_FEATURES))
-    + " from train group by 1, 2), m as (select subject_id, fold, avg(y) as mean from train group by 1, 2), "
-    "p0 as (select t.subject_id, t.fold, i, l_quantity, l_tax, y, false as test, mean as pred from train t join m using (subject_id, fold) "
-    "union all select f.subject_id, m.fold, i, l_quantity, l_tax, y, true, mean from folds f join m on m.subject_id = f.subject_id and m.fold = f.block), "
-    + _stump_round(1) + ", " + _stump_round(2)
-    + ", band as (select subject_id, fold, quantile_cont(y - pred, 0.1) as lo, quantile_cont(y - pred, 0.9) as hi from p2 where not test group by 1, 2), "
-    f"done as (select p2.*, pred + lo as lower, pred + hi as upper from p2 join band using (subject_id, fold) where test) select subject_id, fold, {score_sql('y')} from done group by 1, 2)",
-)
+def _stump_sql(rounds: int) -> str:
+    return with_(
+        "folds train",
+        "select * from (with cuts as (select subject_id, fold, " + ", ".join(f"list_sort(list_distinct([{', '.join(f'quantile_cont({c}, {d / 10})' for d in range(1, 10))}])) as t{i}" for i, c in enumerate(STUMP_FEATURES))
+        + " from train group by 1, 2), m as (select subject_id, fold, avg(y) as mean from train group by 1, 2), "
+        "p0 as (select t.subject_id, t.fold, i, l_quantity, l_tax, y, false as test, mean as pred from train t join m using (subject_id, fold) "
+        "union all select f.subject_id, m.fold, i, l_quantity, l_tax, y, true, mean from folds f join m on m.subject_id = f.subject_id and m.fold = f.block), "
+        + ", ".join(_stump_round(k) for k in range(1, rounds + 1))
+        + f", band as (select subject_id, fold, quantile_cont(y - pred, 0.1) as lo, quantile_cont(y - pred, 0.9) as hi from p{rounds} where not test group by 1, 2), "
+        f"done as (select p{rounds}.*, pred + lo as lower, pred + hi as upper from p{rounds} join band using (subject_id, fold) where test) select subject_id, fold, {score_sql('y')} from done group by 1, 2)",
+    )
 
 
 def q_elastic_one(spark, sf_dir):
@@ -339,7 +345,8 @@ QUERIES = {
     "elastic_net": (q_elastic, None),
     "segmented_ridge": (q_segmented, None),
     "boosted_stumps": (q_stumps, None),
-    "boosted_stumps_two_rounds": (q_stumps_two, SQL_STUMPS),
+    "boosted_stumps_two_rounds": (q_stumps_two, _stump_sql(2)),
+    "boosted_stumps_all_rounds": (q_stumps_all, _stump_sql(18)),
     "elastic_net_one_feature": (q_elastic_one, SQL_ELASTIC_ONE),
     "segmented_ridge_one_feature": (q_segmented_one, SQL_SEGMENTED_ONE),
     "ridge_two_features": (q_ridge_two, SQL_RIDGE_TWO),
