@@ -174,7 +174,8 @@ def segment_recommendations(gains: DataFrame, keys: Sequence[str], gate: DataFra
     out = best.join(gate, list(keys), "left").join(model, list(keys), "left")
     against = reasons(
         ("model_safety_error_too_high", F.col("safety_weighted_mae") > 25), ("coverage_too_low", F.col("coverage") < 0.65),
-        ("gate_diagnostics_only", F.coalesce(F.col("gate_status") != "research_enabled", F.lit(False))), ("too_few_folds", F.col("fold_count") < 2),
+        ("gate_diagnostics_only", F.coalesce(F.col("gate_status") != "research_enabled", F.lit(False))),
+        ("too_few_folds", F.col("fold_count") < 2),
         ("expected_gain_too_small", F.col("mean_expected_gain") < 1), ("inconsistent_fold_direction", F.col("fold_better_fraction") < 0.6),
     )
     out = out.withColumn("reasons_against", against)

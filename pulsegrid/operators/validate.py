@@ -118,6 +118,19 @@ def segmented_walk(folds: DataFrame, keys: Sequence[str], features: Sequence[str
     return out.withColumns({c: F.coalesce(f"_s_{c}", c) for c in ("pred", "lower", "upper")}).drop("_s_pred", "_s_lower", "_s_upper")
 
 
+def bayes_ar_fits(folds: DataFrame, keys: Sequence[str], features: Sequence[str], target: str, min_train: int = 1, alpha: float = 1.0) -> DataFrame:
+    """Per key and fold ``slope``, ``intercept`` and the residual's lag-1 correlation, deviation, last value and its row."""
+    by = [*keys, "fold"]
+    fits = cut_lineage(M.solve(fold_sums(folds, keys, features, target), by, "ridge", alpha=alpha).filter(F.col("n") >= min_train))
+    model, pred = fits.select(*by, "slope", "intercept"), M.linear_prediction(features)
+    train = M.lookup(training_rows(folds), model, by, "_i").select(*by, "_i", (F.col(target) - pred).alias("_r"))
+    pairs = row_windows(train, lambda w: {"_b": F.lag("_r").over(w)}, back_rows=1, index="_i", keys=by)
+    facts = pairs.groupBy(*by).agg(
+        F.coalesce(correlation(F.col("_r"), F.col("_b")), F.lit(0.0)).alias("_rho"), F.stddev_pop("_r").alias("_sd"), F.max_by("_r", "_i").alias("_last"), F.max("_i").alias("_at")
+    )
+    return model.join(facts, by)
+
+
 def bayes_ar_walk(folds: DataFrame, keys: Sequence[str], features: Sequence[str], target: str, min_train: int = 1, alpha: float = 1.0, z: float = 1.2815515655446004) -> DataFrame:
     """Conjugate normal regression with a lag-1 residual.
 
@@ -127,14 +140,8 @@ def bayes_ar_walk(folds: DataFrame, keys: Sequence[str], features: Sequence[str]
     sampled state-space model, not the same estimator.
     """
     by = [*keys, "fold"]
-    fits = cut_lineage(M.solve(fold_sums(folds, keys, features, target), by, "ridge", alpha=alpha).filter(F.col("n") >= min_train))
-    model, pred = fits.select(*by, "slope", "intercept"), M.linear_prediction(features)
-    train = M.lookup(training_rows(folds), model, by, "_i").select(*by, "_i", (F.col(target) - pred).alias("_r"))
-    pairs = row_windows(train, lambda w: {"_b": F.lag("_r").over(w)}, back_rows=1, index="_i", keys=by)
-    facts = pairs.groupBy(*by).agg(
-        F.coalesce(correlation(F.col("_r"), F.col("_b")), F.lit(0.0)).alias("_rho"), F.stddev_pop("_r").alias("_sd"), F.max_by("_r", "_i").alias("_last"), F.max("_i").alias("_at")
-    )
-    scored = M.lookup(test_rows(folds), model.join(facts, by), by, "_i")
+    pred = M.linear_prediction(features)
+    scored = M.lookup(test_rows(folds), bayes_ar_fits(folds, keys, features, target, min_train, alpha), by, "_i")
     carry = F.pow(F.col("_rho"), F.col("_i") - F.col("_at"))
     out = scored.withColumn("pred", pred + carry * F.col("_last"))
     half = F.lit(z) * F.col("_sd") * F.sqrt(F.greatest(1 - carry * carry, F.lit(0.0)))
@@ -163,6 +170,76 @@ def ensemble(members: Sequence[DataFrame], keys: Sequence[str]) -> DataFrame:
     return members[0].drop(*cols).join(mean.drop("_m"), [*keys, "_i"])
 
 
+LINE = "struct<slope:array<double>,intercept:double>"
+PART = f"struct<slope:array<double>,intercept:double,segments:map<string,{LINE}>,stumps:{M.STUMPS},rho:double,last:double,at:bigint>"
+
+
+def _part(slope: Column, intercept: Column, segments: Column | None = None, stumps: Column | None = None, carry: Sequence[str] = ()) -> Column:
+    null = F.lit(None)
+    extra = [F.col(c) for c in carry] or [null] * 3
+    fields = zip(("slope", "intercept", "segments", "stumps", "rho", "last", "at"), (slope, intercept, null if segments is None else segments, null if stumps is None else stumps, *extra), strict=True)
+    return F.struct(*[c.alias(n) for n, c in fields]).cast(PART)
+
+
+def fitted_models(family: str, folds: DataFrame, keys: Sequence[str], features: Sequence[str], target: str, min_train: int = 1, segment: str = "therapy_segment", alpha: float = 1.0) -> DataFrame:
+    """The models of a family as rows: keys, ``fold``, ``model_name`` and ``parts``, whose mean prediction is the model's.
+
+    A part is a line, lines of segments that replace it there, stumps, and a
+    residual carried forward; :func:`model_prediction` evaluates it on any
+    rows, changed ones included.
+    """
+    by, args = [*keys, "fold"], (folds, keys, features, target)
+    line = F.col("slope"), F.col("intercept")
+
+    def ridge() -> DataFrame:
+        return M.solve(fold_sums(*args), by, "ridge", alpha=alpha).filter(F.col("n") >= min_train).select(*by, "slope", "intercept")
+
+    def segmented() -> DataFrame:
+        enough = max(len(features) + 5, 20)
+        each = M.solve(fold_sums(folds, [*keys, segment], features, target), [*keys, segment, "fold"], "ridge", alpha=alpha).filter((F.col("n") >= enough) & F.col(segment).isNotNull())
+        # one line per segment, of which there are a few
+        lines = each.groupBy(*by).agg(F.map_from_entries(F.collect_list(F.struct(F.col(segment).cast("string"), F.struct("slope", "intercept")))).alias("segments"))
+        return ridge().join(lines, by, "left").select(*by, _part(*line, segments=F.col("segments")).alias("part"))
+
+    def stumps(rounds: int) -> DataFrame:
+        sizes = fold_sizes(folds, keys).filter(F.col("n_train") >= min_train).select(*by)
+        found = M.fit_stumps(M.lookup(training_rows(folds), sizes, by, "_i"), by, features, target, rounds)
+        return found.select(*by, _part(F.array_repeat(F.lit(0.0), len(features)), F.col("base"), stumps=F.col("stumps")).alias("part"))
+
+    if family == "ridge":
+        parts = ridge().select(*by, _part(*line).alias("part"))
+    elif family == "elastic_net":
+        fits = M.solve(fold_sums(*args), by, "elastic_net", alpha=0.05, l1=0.5).filter(F.col("n") >= min_train)
+        parts = fits.select(*by, _part(*line).alias("part"))
+    elif family == "segmented_ridge":
+        parts = segmented()
+    elif family == "tree_boost":
+        parts = stumps(18)
+    elif family == "bayes_ar":
+        parts = bayes_ar_fits(*args, min_train, alpha).select(*by, _part(*line, carry=("_rho", "_last", "_at")).alias("part"))
+    elif family == "ensemble":
+        members = [ridge().select(*by, _part(*line).alias("part")), segmented(), stumps(12)]
+        parts = members[0].unionByName(members[1]).unionByName(members[2])
+    else:
+        raise ValueError(f"unknown model family {family}")
+    size = 3 if family == "ensemble" else 1
+    out = parts.groupBy(*by).agg(F.collect_list("part").alias("parts")).filter(F.size("parts") == size)
+    return out.withColumn("model_name", F.lit(family))
+
+
+def model_prediction(features: Sequence[str], segment: str = "therapy_segment") -> Column:
+    """What ``parts`` of :func:`fitted_models` predict for a row with ``_i``."""
+    values = M.feature_values(features)
+    on = lambda x: F.aggregate(F.zip_with(x["slope"], values, lambda a, b: a * b), x["intercept"], lambda s, t: s + t)
+
+    def one(p: Column) -> Column:
+        here = on(F.when(F.col(segment).isNotNull(), p["segments"][F.col(segment).cast("string")]))
+        carried = F.coalesce(F.pow(p["rho"], F.col("_i") - p["at"]) * p["last"], F.lit(0.0))
+        return M.stump_sum(F.coalesce(p["stumps"], F.array().cast(M.STUMPS)), values, F.coalesce(here, on(p))) + carried
+
+    return F.aggregate(F.transform("parts", one), F.lit(0.0), lambda s, x: s + x) / F.size("parts")
+
+
 def walk_forward_report(scored: DataFrame, keys: Sequence[str], target: str = "target_glucose", current: str = "glucose") -> DataFrame:
     """Scores per fold and over all folds (fold 0), with the persistence error."""
     rows = scored.withColumn("_p", F.abs(F.col(target) - F.col(current)))
@@ -200,35 +277,41 @@ def model_comparison(
     research: DataFrame, features: Sequence[str], keys: Sequence[str], *, families: Sequence[str] = FAMILIES, order: Sequence[str] = (),
     horizon_seconds: int = 1800, min_rows: int = 40,
 ) -> DataFrame:
-    """Families × tasks: fold scores, means, spread, rank and the selected model."""
-    min_train, parts, scores = max(len(features) + 5, 20), [], []
+    """Families × tasks: fold scores, means, spread, rank and the selected model.
+
+    Tasks without enough rows have rows of status ``insufficient_data``.  A
+    family without a scored fold, where another family has one, is ``failed``.
+    """
+    min_train = max(len(features) + 5, 20)
     names = F.array(*[F.lit(f) for f in families])
+    none = T.StructType([*[research.schema[k] for k in keys], *T.StructType.fromDDL(SCORES).fields])
+    grid, scores = None, research.sparkSession.createDataFrame([], none)
     for task, parameter, context, staged in TASKS:
-        rows = research.filter(F.col(context) == 1)
         sizes = research.groupBy(*keys).agg(F.count_if(F.col(context) == 1).alias("n_rows"))
         label = {"task": F.lit(task), "parameter": F.lit(parameter), "staged": F.lit(staged), "n_features": F.lit(len(features)), "model_name": F.explode(names)}
-        parts.append(sizes.withColumns(label))
+        part = sizes.withColumns(label)
+        grid = part if grid is None else grid.unionByName(part)
         if staged:
             continue
-        folds = fold_columns(rows, keys, order=order, horizon_seconds=horizon_seconds, rule=half_folds).filter(F.col("_n") >= min_rows)
+        folds = task_folds(research, context, keys, order=order, horizon_seconds=horizon_seconds, min_rows=min_rows)
         if folds.isEmpty():
             continue
         for name in families:
             scored = family_walk(name, folds, keys, features, "target_delta", min_train)
             moved = scored.withColumns({c: F.col("glucose") + F.col(c) for c in ("pred", "lower", "upper")})
-            one = forecast_scores(moved, [*keys, "fold"], "target_glucose").filter(F.col("n_test") >= 8)
-            scores.append(cut_lineage(one.withColumns({"task": F.lit(task), "model_name": F.lit(name)})))
-    grid = parts[0]
-    for p in parts[1:]:
-        grid = grid.unionByName(p)
-    if not scores:
-        return grid.withColumn("status", F.when(F.col("staged"), "staged").otherwise("insufficient_data"))
-    all_scores = scores[0]
-    for s in scores[1:]:
-        all_scores = all_scores.unionByName(s)
-    return rank_models(grid, all_scores, keys)
+            one = forecast_scores(moved, [*keys, "fold"], "target_glucose").filter(F.col("n_test") >= MIN_TEST)
+            kept = one.withColumns({"task": F.lit(task), "model_name": F.lit(name)}).select(*none.names)
+            scores = scores.unionByName(cut_lineage(kept))
+    return rank_models(grid, scores, keys)
+
+
+def task_folds(research: DataFrame, context: str, keys: Sequence[str], *, order: Sequence[str] = (), horizon_seconds: int = 1800, min_rows: int = 40) -> DataFrame:
+    """Folds of the rows of a task, for keys that have enough of them."""
+    return fold_columns(research.filter(F.col(context) == 1), keys, order=order, horizon_seconds=horizon_seconds, rule=half_folds).filter(F.col("_n") >= min_rows)
 
 
+MIN_TEST = 8
+SCORES = "fold int, task string, model_name string, mae double, rmse double, coverage double, interval_width double, low_bg_mae double, safety_weighted_mae double"
 METRICS = ("mae", "rmse", "coverage", "interval_width", "low_bg_mae", "safety_weighted_mae")
 
 
@@ -243,12 +326,15 @@ def rank_models(grid: DataFrame, fold_scores: DataFrame, keys: Sequence[str]) ->
     # a handful of rows per (key, task)
     w = Window.partitionBy(*keys, "task")
     rank = F.struct("safety_weighted_mae", "low_bg_mae", "fold_safety_std", "mae", "model_name")
-    single = F.when(F.col("model_name") != "ensemble", rank)
+    # a family without scores is no rival: its nulls would come first
+    single = F.when((F.col("model_name") != "ensemble") & F.col("fold_count").isNotNull(), rank)
     out = grid.join(means, by, "left").withColumn("_best", F.min(single).over(w))
     better = (F.col("safety_weighted_mae") < F.col("_best.safety_weighted_mae") * 0.995) & (F.col("fold_safety_std") <= F.col("_best.fold_safety_std"))
     rejected = (F.col("model_name") == "ensemble") & F.col("_best").isNotNull() & ~F.coalesce(better, F.lit(False))
+    others = F.max("fold_count").over(w).isNotNull()
     status = (
-        F.when(F.col("staged"), "staged").when(F.col("fold_count").isNull(), "insufficient_data").when(rejected, "rejected").otherwise("completed")
+        F.when(F.col("staged"), "staged").when(F.col("fold_count").isNull() & others, "failed")
+        .when(F.col("fold_count").isNull(), "insufficient_data").when(rejected, "rejected").otherwise("completed")
     )
     out = out.withColumn("status", status)
     first = F.min(F.when(F.col("status") == "completed", rank)).over(w)

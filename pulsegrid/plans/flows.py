@@ -7,10 +7,12 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pulsegrid.functions.scalars import parse_segments
 from pulsegrid.operators import audit, cohorts, gates, latent, profile, scenarios, validate
 from pulsegrid.operators.proxies import research_frame
 from pulsegrid.plans.feature_frame import FeatureConfig
 from pulsegrid.plans.prepared import PreparedDataset, build_prepared_dataset, fill_health, preparation_report
+from pulsegrid.plans.segments import segment_results
 from pulsegrid.session import cut_lineage
 from pulsegrid.sources.files import load_exports
 
@@ -56,15 +58,24 @@ def forecast(dataset: PreparedDataset, policy_facts: DataFrame, *, folds: int =
     }
 
 
-def research(dataset: PreparedDataset, features: Sequence[str], *, mode: str = "strict", keys: Sequence[str] = (KEY,)) -> dict[str, DataFrame]:
-    """Research frame, gate, registry, audit, report card and model comparison."""
+def research(dataset: PreparedDataset, features: Sequence[str], *, mode: str = "strict", keys: Sequence[str] = (KEY,), families: Sequence[str] = validate.FAMILIES) -> dict[str, DataFrame]:
+    """Research frame, gate, registry, audit, report card, model comparison, segment evidence and recommendations."""
     frame = cut_lineage(research_frame(fill_health(dataset), mode=mode))
     registry = profile.feature_registry(frame, dataset.health_columns, unfilled=dataset.frame)
     horizon = dataset.config.horizon_minutes * 60
+    gate = cut_lineage(profile.research_gate(frame, dataset.health_columns, unfilled=dataset.frame))
+    comparison = cut_lineage(validate.model_comparison(frame, features, keys, families=families, horizon_seconds=horizon))
+    segments = [name for name, _, _ in parse_segments()]
+    doses = frame
+    if dataset.full_grid is not None:
+        parts = scenarios.segment_kernels(dataset.full_grid, dataset.config.step_seconds, segments)
+        doses = cut_lineage(frame.join(parts, [KEY, "ts"], "left"))
+    evidence, advice = segment_results(doses, gate, comparison, features, keys, segments=segments, horizon_seconds=horizon)
     return {
-        "research_frame": frame, "research_gate": profile.research_gate(frame, dataset.health_columns, unfilled=dataset.frame), "feature_registry": registry,
+        "research_frame": frame, "research_gate": gate, "feature_registry": registry,
         "feature_families": profile.registry_rollup(registry), "proxy_audit": profile.proxy_audit(frame), "overnight": profile.overnight_evidence(frame),
-        "report_card": profile.report_card(dataset.frame, dataset.feature_columns), "model_comparison": validate.model_comparison(frame, features, keys, horizon_seconds=horizon),
+        "report_card": profile.report_card(dataset.frame, dataset.feature_columns), "model_comparison": comparison,
+        "segment_evidence": evidence, "segment_recommendations": advice,
     }
 
 

@@ -14,7 +14,8 @@ from pulsegrid.operators.asof import nearest_within
 from pulsegrid.operators.cohorts import clean_windows
 from pulsegrid.operators.quantiles import exact_quantiles, leave_one_out_median
 from pulsegrid.queries.context_queries import bolus_anchors, prepared, q_event_metrics, SQL_EVENT_METRICS
-from pulsegrid.queries.model_queries import COHORT
+from pulsegrid.plans.segments import segment_results
+from pulsegrid.queries.model_queries import therapy_lines
 from pulsegrid.queries.research_queries import RULES, research
 from pulsegrid.queries.sqlparts import PARTS, r, rounded, rs, with_
 from pulsegrid.sources import adapters as A
@@ -84,31 +85,55 @@ SQL_RECOMMEND = with_(
 )
 
 
-def segment_tables(spark, sf_dir, task):
-    """Walk-forward of the pooled cohort under every segment change."""
-    rows = research(spark, sf_dir).withColumn("cohort", F.lit("all"))
-    grid = prepared(spark, sf_dir).full_grid
-    segs = ["overnight", "morning", "afternoon", "evening"]
-    parts = S.segment_kernels(grid, 3600, segs)
-    context = rows.filter(F.col("basal_context" if task == "basal" else "meal_context") == 1).join(parts, [KEY, "ts"], "left")
-    folds = V.fold_columns(context, ["cohort"], order=[KEY], rule=V.half_folds)
-    by = ["cohort", "fold"]
-    fits = M.solve(V.fold_sums(folds, ["cohort"], COHORT, "target_delta"), by)
-    test = M.lookup(V.test_rows(folds), fits.select(*by, "slope", "intercept"), by, "_i")
-    test = test.withColumn("base_pred", F.col("glucose") + M.linear_prediction(COHORT))
-    changed = S.segment_scenarios(test, task, segs).withColumn("pred", F.col("glucose") + M.linear_prediction(COHORT))
-    return test, S.segment_gains(changed, ["cohort"])
-
-
 def q_segment_recommendations(spark, sf_dir):
-    outs = []
-    for task in ("basal", "icr"):
-        _, gains = segment_tables(spark, sf_dir, task)
-        spot = gains.select("cohort").distinct()
-        gate = spot.withColumns({"gate_status": F.lit("research_enabled"), "identifiability": F.lit("directly_observed")})
-        model = spot.withColumns({"safety_weighted_mae": F.lit(20.0), "coverage": F.lit(0.8)})
-        outs.append(S.segment_recommendations(gains, ["cohort"], gate, model, task=task, exploratory=task == "icr"))
-    return outs[0].unionByName(outs[1]).withColumn("reasons_against", F.array_join("reasons_against", ","))
+    """Every subject, segment and task with all reasons: gate, model and gains differ by subject."""
+    rows = therapy_lines(spark, sf_dir)
+    k = F.col(KEY)
+    subjects = rows.select(KEY).distinct()
+    off = F.when(k % 5 == 0, "diagnostics_only").otherwise("research_enabled")
+    gate = subjects.select(KEY, F.lit("basal").alias("parameter"), off.alias("gate_status"), F.lit("directly_observed").alias("identifiability")).unionByName(
+        subjects.filter(k % 4 != 0).select(KEY, F.lit("I/C ratio").alias("parameter"), off.alias("gate_status"), F.lit("proxy_supported").alias("identifiability"))
+    )
+    facts = {"model_name": F.lit("ridge"), "selected": F.lit(True), "safety_weighted_mae": (k % 30).cast("double"), "coverage": 0.6 + k % 10 / 25}
+    comparison = subjects.filter(k % 3 != 0).withColumns({"task": F.lit("basal"), **facts}).unionByName(subjects.filter(k % 2 == 0).withColumns({"task": F.lit("icr"), **facts}))
+    _, out = segment_results(rows, gate, comparison, ["basal_units_per_hour"], [KEY], segments=["A", "N", "R", "Z"], order=["l_orderkey", "l_linenumber"])
+    return rounded(out, "mean_expected_gain", "fold_better_fraction")
+
+
+def _risk(g: str) -> str:
+    return f"(abs({g} - 110) + 2.0 * greatest(80 - ({g}), 0) + 4.0 * greatest(70 - ({g}), 0) + 0.5 * greatest({g} - 180, 0))"
+
+
+SQL_SEGMENT_RECOMMENDATIONS = with_(
+    "tl",
+    f"""select * from (with task as (select * from (values ('basal', 'basal', 0), ('icr', 'I/C ratio', 0), ('sensitivity_factor', 'sensitivity factor', 1)) t(task, parameter, staged)),
+model as (select distinct subject_id, task from tl, task where (task = 'basal' and subject_id % 3 <> 0) or (task = 'icr' and subject_id % 2 = 0)),
+f as (select task, tl.*, row_number() over (partition by task, subject_id order by ts, l_orderkey, l_linenumber) - 1 as i, count(*) over (partition by task, subject_id) as n from tl, task where (task = 'basal' and basal) or (task = 'icr' and icr)),
+g as (select *, case when greatest(n // 2, 24) + greatest(cast(floor(n * 0.2) as bigint), 12) <= n then greatest(n // 2, 24) else greatest(cast(floor(n * 0.6) as bigint), 12) end as first,
+  case when greatest(n // 2, 24) + greatest(cast(floor(n * 0.2) as bigint), 12) <= n then greatest(cast(floor(n * 0.2) as bigint), 12) else greatest(n - greatest(cast(floor(n * 0.6) as bigint), 12), 8) end as test from f where n >= 40),
+b as (select *, case when i < first then 0 when (i - first) // test + 1 <= (n - first) // test then (i - first) // test + 1 else 0 end as fold from g),
+st as (select task, subject_id, fold, min(ts) as start, count(*) as n_test from b where fold > 0 group by all),
+tr as (select b.task, b.subject_id, st.fold, x, target_delta as y from b join st on b.task = st.task and b.subject_id = st.subject_id and st.start >= b.ts + interval 1800 second),
+fit as (select task, subject_id, fold, covar_pop(y, x) * count(*) / (count(*) + 1.0) / var_pop(x) as slope, avg(y) - covar_pop(y, x) * count(*) / (count(*) + 1.0) / var_pop(x) * avg(x) as intercept from tr group by all having count(*) >= 20),
+sc as (select b.task, b.subject_id, b.fold, segment, c, glucose + intercept + slope * x as base, glucose + intercept + slope * x * case when b.task = 'basal' then 1 + c / 100 else 1 end as pred
+  from b join fit using (task, subject_id, fold) join st using (task, subject_id, fold) join model using (task, subject_id), (select unnest([-10.0, -5.0, 5.0, 10.0])::double as c) where n_test >= 8),
+ga as (select task, subject_id, fold, segment, c, avg({_risk('base')} - {_risk('pred')}) as gain from sc group by all having count(*) >= 3),
+gr as (select task, subject_id, segment, c, avg(gain) as gain, avg(case when gain > 0 then 1.0 else 0.0 end) as better, count(*) as folds from ga group by all),
+be as (select * from gr qualify row_number() over (partition by task, subject_id, segment order by gain desc, better desc, c) = 1),
+gate as (select distinct subject_id, 'basal' as parameter, 'directly_observed' as identifiability from tl union all select distinct subject_id, 'I/C ratio', 'proxy_supported' from tl where subject_id % 4 <> 0),
+sp as (select * from (select distinct subject_id from tl), (select unnest(['A', 'N', 'R', 'Z']) as segment), task),
+j as (select sp.*, be.c, gain, better, coalesce(identifiability, 'weakly_identified') as identifiability, model.task is not null as has_model, gain is not null as has,
+  concat_ws(',', case when subject_id % 30 > 25 then 'model_safety_error_too_high' end, case when 0.6 + subject_id % 10 / 25 < 0.65 then 'coverage_too_low' end,
+  case when subject_id % 5 = 0 and identifiability is not null then 'gate_diagnostics_only' end, case when folds < 2 then 'too_few_folds' end, case when gain < 1 then 'expected_gain_too_small' end, case when better < 0.6 then 'inconsistent_fold_direction' end) as against
+  from sp left join be using (task, subject_id, segment) left join gate using (subject_id, parameter) left join model using (subject_id, task))
+select subject_id, task, parameter, segment, case when not has or against <> '' then 'suppressed' when task = 'icr' then 'exploratory' else 'candidate' end as status,
+  case when has and against = '' and task <> 'icr' then c end as proposed_change_percent, case when not has then '' when c > 0 then 'increase' else 'decrease' end as expected_direction,
+  {rs('gain')} as mean_expected_gain, {rs('better')} as fold_better_fraction,
+  case when staged = 1 then 'staged' when not has or against <> '' or task = 'icr' then 'low' when better >= 0.8 and gain >= 5 then 'high' else 'moderate' end as confidence,
+  case when has then 'predicted safety-weighted loss improved on held-out folds' else '' end as reasons_for,
+  case when has and task = 'icr' then concat_ws(',', nullif(against, ''), 'exploratory_only_policy') when has then against when staged = 1 then 'staged_parameter' when not has_model then 'insufficient_data_or_model' else 'insufficient_segment_evidence' end as reasons_against,
+  identifiability, case when has_model then 'ridge' end as selected_model from j)""",
+)
 
 
 def q_segment_evidence(spark, sf_dir):
@@ -418,7 +443,7 @@ QUERIES = {
     "scenarios": (q_scenarios, SQL_SCENARIOS),
     "scenario_loss": (q_scenario_loss, with_("fc", f"select therapy_segment, scenario, setting, multiplier, {rs('avg(abs(pred - target_glucose))')} as expected_loss, count(*) as rows from fc group by 1, 2, 3, 4")),
     "recommendations": (q_recommend, SQL_RECOMMEND),
-    "segment_recommendations": (q_segment_recommendations, None),
+    "segment_recommendations": (q_segment_recommendations, SQL_SEGMENT_RECOMMENDATIONS),
     "segment_evidence": (q_segment_evidence, SQL_EVIDENCE),
     "segment_scaling": (q_segment_scaling, SQL_SCALING),
     "segment_kernels": (q_segment_kernels, None),

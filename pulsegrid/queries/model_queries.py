@@ -325,11 +325,87 @@ def q_top_parts(spark, sf_dir):
     return P.top_per_group(A.cgm(spark, sf_dir).select(KEY, "event_id", "glucose"), [KEY], [F.desc("glucose"), F.asc("event_id")], 3)
 
 
+def therapy_lines(spark, sf_dir):
+    """Order lines as a research frame whose subjects (suppliers) have enough rows for every task."""
+    basal = F.col("l_tax") * 10 + F.col("l_linenumber") * 0.1
+    delta = F.col("l_orderkey") % 61 + 30 - basal * 100
+    out = A.table(spark, sf_dir, "lineitem").select(
+        F.col("l_suppkey").alias(KEY), F.col("l_shipdate").alias("ts"), "l_orderkey", "l_linenumber", (F.col("l_quantity") + 90).alias("glucose"),
+        basal.alias("basal_units_per_hour"), (F.col("l_discount") * 10).alias("bolus_units"), F.col("l_returnflag").alias("therapy_segment"),
+        (F.col("l_linenumber") <= 5).cast("int").alias("basal_context"), F.col("l_linenumber").isin(2, 4).cast("int").alias("meal_context"),
+        (F.col("l_linenumber") == 1).cast("int").alias("correction_context"), delta.alias("target_delta"),
+    )
+    return out.withColumn("target_glucose", F.col("glucose") + F.col("target_delta"))
+
+
+PARTS["tl"] = (
+    "",
+    "select *, glucose + target_delta as target_glucose from (select l_suppkey as subject_id, l_shipdate as ts, l_orderkey, l_linenumber, l_quantity + 90 as glucose, l_tax * 10 + l_linenumber * 0.1 as x, "
+    "l_returnflag as segment, l_linenumber <= 5 as basal, l_linenumber in (2, 4) as icr, l_orderkey % 61 + 30 - (l_tax * 10 + l_linenumber * 0.1) * 100 as target_delta from lineitem)",
+)
+LINE_FEATURES = ("basal_units_per_hour", "glucose", "bolus_units")
+
+
 def q_model_comparison(spark, sf_dir):
-    out = V.model_comparison(research(spark, sf_dir), COHORT, [KEY], horizon_seconds=3600)
+    """All families and tasks on subjects with enough rows."""
+    out = V.model_comparison(therapy_lines(spark, sf_dir), LINE_FEATURES, [KEY], order=ORDER)
     return out.select(KEY, "task", "parameter", "model_name", "status", "n_rows", "n_features", "fold_count", "mae", "safety_weighted_mae", "selected")
 
 
+def q_model_comparison_sparse(spark, sf_dir):
+    """Subjects without enough rows for any task: the same columns, no scores."""
+    out = V.model_comparison(research(spark, sf_dir), COHORT, [KEY], horizon_seconds=3600)
+    return out.select(KEY, "task", "parameter", "model_name", "status", "n_rows", "n_features", "fold_count", "mae", "selected")
+
+
+SQL_COMPARISON_SPARSE = with_(
+    "research",
+    "select subject_id, task, parameter, model_name, case when staged then 'staged' else 'insufficient_data' end as status, cast(case task when 'basal' then b when 'icr' then m else c end as bigint) as n_rows, "
+    f"{len(COHORT)} as n_features, cast(null as bigint) as fold_count, cast(null as double) as mae, false as selected from "
+    "(select subject_id, count(*) filter (basal_context = 1) as b, count(*) filter (recent_meal_120m = 1) as m, count(*) filter (correction_context = 1) as c from research group by 1), "
+    "(values ('basal', 'basal', false), ('icr', 'I/C ratio', false), ('sensitivity_factor', 'sensitivity factor', true)) t(task, parameter, staged), "
+    f"(select unnest([{', '.join(repr(f) for f in V.FAMILIES)}]) as model_name)",
+)
+
+def q_rank_models(spark, sf_dir):
+    """Ranking, rejection and selection on fold scores from order lines: the part stands for the family, the line number for the fold."""
+    rows = A.table(spark, sf_dir, "lineitem")
+    name = F.array(*[F.lit(f) for f in V.FAMILIES])[(F.col("l_partkey") % len(V.FAMILIES)).cast("int")]
+    scores = rows.groupBy((F.col("l_suppkey") % 10 + F.col("l_orderkey") % 30 * 10).alias(KEY), F.col("l_linenumber").alias("fold"), F.when(F.col("l_tax") < 0.04, "basal").otherwise("icr").alias("task"), name.alias("model_name")).agg(
+        F.avg("l_quantity").alias("mae"), F.max("l_quantity").alias("rmse"), F.avg("l_discount").alias("coverage"), F.avg("l_tax").alias("interval_width"),
+        F.min("l_quantity").alias("low_bg_mae"), F.round(F.avg("l_quantity"), 0).alias("safety_weighted_mae"),
+    ).filter(F.col("low_bg_mae") > 20)
+    keys = scores.select(KEY).distinct()
+    label = F.array(*[F.struct(F.lit(t).alias("task"), F.lit(s).alias("staged")) for t, _, _, s in V.TASKS])
+    grid = keys.withColumn("t", F.explode(label)).select(KEY, "t.*").withColumn("model_name", F.explode(F.array(*[F.lit(f) for f in V.FAMILIES])))
+    out = V.rank_models(grid, scores, [KEY]).select(KEY, "task", "model_name", "status", "fold_count", "mae", "safety_weighted_mae", "fold_mae_std", "fold_safety_std", "selected")
+    return rounded(out, "mae", "safety_weighted_mae", "fold_mae_std", "fold_safety_std")
+
+
+SQL_RANK_MODELS = f"""
+with s as (
+  select l_suppkey % 10 + l_orderkey % 30 * 10 as subject_id, l_linenumber as fold, case when l_tax < 0.04 then 'basal' else 'icr' end as task,
+    case l_partkey % 6 {' '.join(f"when {k} then '{v}'" for k, v in enumerate(V.FAMILIES))} end as model_name,
+    avg(l_quantity) as mae, min(l_quantity) as low, round(avg(l_quantity), 0) as safe
+  from lineitem group by all having min(l_quantity) > 20
+),
+m as (select subject_id, task, model_name, count(*) as folds, avg(mae) as mae, avg(low) as low, avg(safe) as safe, stddev_pop(mae) as mae_std, stddev_pop(safe) as safe_std from s group by all),
+g as (
+  select * from (select distinct subject_id from s), (values ('basal', false), ('icr', false), ('sensitivity_factor', true)) t(task, staged), (select unnest([{', '.join(repr(f) for f in V.FAMILIES)}]) as model_name)
+),
+o as (select g.*, folds, mae, low, safe, mae_std, safe_std, row_number() over (partition by g.subject_id, g.task order by model_name = 'ensemble', folds is null, safe, low, safe_std, mae, model_name) as place from g left join m using (subject_id, task, model_name)),
+best as (select subject_id, task, safe as best_safe, safe_std as best_std from o where place = 1 and folds is not null and model_name <> 'ensemble'),
+st as (
+  select o.*, case when staged then 'staged' when folds is null and max(folds) over (partition by subject_id, task) is not null then 'failed' when folds is null then 'insufficient_data'
+    when model_name = 'ensemble' and best_safe is not null and not coalesce(safe < best_safe * 0.995 and safe_std <= best_std, false) then 'rejected' else 'completed' end as status
+  from o left join best using (subject_id, task)
+)
+select subject_id, task, model_name, status, folds as fold_count, {rs('mae')} as mae, {rs('safe')} as safety_weighted_mae, {rs('mae_std')} as fold_mae_std, {rs('safe_std')} as fold_safety_std,
+  status = 'completed' and row_number() over (partition by subject_id, task order by status <> 'completed', safe, low, safe_std, mae, model_name) = 1 as selected
+from st
+"""
+
+
 def q_screening(spark, sf_dir):
     extra = ["health_activity_value", "prior_night_total_sleep_hours", "hrv_latest", "workout_count_24h"]
     scores, _ = V.screen_features(prepared(spark, sf_dir).frame, [KEY], COHORT, extra, horizon_seconds=3600)
@@ -373,5 +449,7 @@ QUERIES = {
     ),
     "top_per_group": (q_top_parts, with_("cgm", "select subject_id, event_id, glucose from cgm qualify row_number() over (partition by subject_id order by glucose desc, event_id) <= 3")),
     "model_comparison": (q_model_comparison, None),
+    "model_comparison_sparse": (q_model_comparison_sparse, SQL_COMPARISON_SPARSE),
+    "rank_models": (q_rank_models, SQL_RANK_MODELS),
     "feature_screening": (q_screening, None),
 }
