@@ -3,9 +3,11 @@
 The built-in ``percentile`` keeps every distinct value of a group in one
 buffer, which fails for a hot group.  Here values are counted per (group,
 value bucket, value); the few buckets that hold the wanted ranks are found from
-bucket totals, and only their values are ordered.  The bucket rule is monotone
-and about 1 % wide, so a bucket is a small share of a group, and the result is
-exact for any data (linear interpolation, as ``percentile``).
+bucket totals, and only their values are ordered.  A first bucket is about 1 %
+wide.  A wanted bucket with more than ``LARGEST`` distinct values is cut into
+``PARTS`` equal parts of its own range, and the wanted part again, at most four
+times: that reaches single values of any distribution.  Every rule is monotone,
+so the result is exact (linear interpolation, as ``percentile``).
 """
 
 from __future__ import annotations
@@ -15,6 +17,11 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pulsegrid.operators.lookups import lookup
+from pulsegrid.session import cut_lineage
+
+LARGEST, PARTS, REFINEMENTS = 1 << 12, 1024, 4
+
 
 def value_bucket(value: Column) -> Column:
     """Monotone integer bucket: 64 buckets per power of two, sign kept."""
@@ -30,29 +37,33 @@ def order_statistics(
     outside the group gives null."""
     v = F.col(value) if isinstance(value, str) else value
     rows = df.select(*keys, v.cast("double").alias("_v")).filter(F.col("_v").isNotNull() & ~F.isnan("_v"))
-    counts = (
-        rows.withColumn("_bucket", value_bucket(F.col("_v")))
-        .groupBy(*keys, "_bucket", "_v")
-        .agg(F.count(F.lit(1)).alias("_c"))
-    )
+    counts = rows.withColumn("_bucket", value_bucket(F.col("_v")).cast("long")).groupBy(*keys, "_bucket", "_v").agg(F.count(F.lit(1)).alias("_c"))
+    counts = cut_lineage(counts)
     by_key = Window.partitionBy(*keys)
     before = by_key.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    wanted = (
-        counts.groupBy(*keys, "_bucket").agg(F.sum("_c").alias("_bc"))
-        .withColumn("_start", F.coalesce(F.sum("_bc").over(before), F.lit(0)))
-        .withColumn("_n", F.sum("_bc").over(by_key))
-        .withColumn(
-            "_ranks",
-            F.array(*[F.struct(F.lit(n).alias("name"), rank(F.col("_n")).cast("bigint").alias("rank")) for n, rank in ranks.items()]),
-        )
-        .withColumn(
-            "_here",
-            F.filter("_ranks", lambda r: (r["rank"] >= F.col("_start")) & (r["rank"] < F.col("_start") + F.col("_bc"))),
-        )
-        # the first bucket stays, so that every group keeps its size
-        .filter((F.size("_here") > 0) | (F.col("_start") == 0))
-        .select(*keys, "_bucket", "_start", "_n", "_here")
-    )
+    names = F.array(*[F.struct(F.lit(n).alias("name"), rank(F.col("_n")).cast("bigint").alias("rank")) for n, rank in ranks.items()])
+    here = lambda c: F.filter(c, lambda r: (r["rank"] >= F.col("_start")) & (r["rank"] < F.col("_start") + F.col("_bc")))
+    size = (F.sum("_c").alias("_bc"), F.count(F.lit(1)).alias("_distinct"), F.min("_v").alias("_low"), F.max("_v").alias("_high"))
+    # the first bucket stays, so that every group keeps its size
+    kept = (F.size("_here") > 0) | (F.col("_start") == 0)
+    wanted = counts.groupBy(*keys, "_bucket").agg(*size)
+    wanted = wanted.withColumn("_start", F.coalesce(F.sum("_bc").over(before), F.lit(0))).withColumn("_n", F.sum("_bc").over(by_key))
+    wanted = cut_lineage(wanted.withColumn("_here", here(names)).filter(kept))
+    large = (F.col("_distinct") > LARGEST) & (F.size("_here") > 0)
+    for _ in range(REFINEMENTS):
+        if wanted.filter(large).isEmpty():
+            break
+        # the wanted large buckets are cut into parts of their own range; rows of all others go
+        facts = wanted.select(*keys, "_bucket", "_start", "_n", "_here", "_low", "_high", large.alias("_large"))
+        inner = lookup(counts, facts, [*keys, "_bucket"], "_v")
+        part = F.when(F.col("_large"), F.floor((F.col("_v") - F.col("_low")) / (F.col("_high") - F.col("_low")) * (PARTS - 1))).otherwise(0)
+        inner = inner.withColumn("_part", (F.col("_bucket") * PARTS + part).cast("long"))
+        counts = cut_lineage(inner.select(*keys, F.col("_part").alias("_bucket"), "_v", "_c"))
+        parts = inner.groupBy(*keys, "_bucket", "_part").agg(*size, F.min("_start").alias("_start"), F.min("_n").alias("_n"), F.first("_here").alias("_all"))
+        inside = Window.partitionBy(*keys, "_bucket").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+        parts = parts.withColumn("_start", F.col("_start") + F.coalesce(F.sum("_bc").over(inside), F.lit(0))).withColumn("_here", here("_all"))
+        wanted = cut_lineage(parts.filter(kept).drop("_bucket", "_all").withColumnRenamed("_part", "_bucket"))
+    wanted = wanted.select(*keys, "_bucket", "_start", "_n", "_here")
     inside = Window.partitionBy(*keys, "_bucket").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
     picked = (
         counts.join(wanted, [*keys, "_bucket"])
