@@ -13,6 +13,8 @@ Names that such pages rarely show start from a fixed prior.
 Null html is empty.  Pages without words give an empty text.  Character
 references are decoded, white space inside a block becomes one blank, blocks
 are joined by a line feed in page order.  Repeated rows are treated alike.
+Of two equally good runs the first is taken.  Pages of any length, broken ones
+too, are read in one pass.
 """
 
 from __future__ import annotations
@@ -34,7 +36,7 @@ BIAS = 0.1
 
 # fixed values: HTML element names by role
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-SKIPPED = "script style noscript template svg iframe object"
+SKIPPED = frozenset("script style noscript template svg iframe object".split())
 BLOCK = frozenset(
     "address article aside blockquote body br caption center dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html "
     "legend li main nav ol p pre section summary table tbody td tfoot th thead title tr ul".split()
@@ -50,28 +52,66 @@ FURNITURE = frozenset(
 CONTENT = frozenset("article main content post entry story articlebody h1 h2 h3 p blockquote".split())
 PRIOR = 200.0
 
-TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<({SKIPPED.replace(' ', '|')})\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*(?<!/)>.*?(?:</\1\s*>|\Z)"
-    r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>|([^<]+|<)",
-    re.S | re.I,
-)
+# a quote opens a value only right after "="; an open value runs to the end of the page
+TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:[^>=]++|=\s*+(?:\"[^\"]*+(?:\"|\Z)|'[^']*+(?:'|\Z))|=)*+)(>|\Z)")
+BLIND = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)([^>]*+)(>)")
+ENDS = {name: re.compile(rf"</{name}\s*+>", re.I) for name in SKIPPED}
 NAMES = re.compile(r"\b(?:class|id|role|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 WORD = re.compile(r"[a-z]+")
 
 
+def tokens(page: str):
+    """Texts as (text, None, None) and tags as (name, attributes, closes), in one pass.
+
+    A tag ends at its first ``>`` outside attribute values.  A value that never
+    closes makes quotes mean nothing from there on, so no part of a page is
+    read twice more than once.  What no ``>`` follows is text, but for an open
+    comment, which ends with the page.
+    """
+    at, n, last, pattern = 0, len(page), page.rfind(">"), TAG
+    while at < n:
+        begin = page.find("<", at)
+        if begin < 0 or begin > last:
+            comment = page.find("<!--", at)
+            yield page[at : n if comment < 0 else comment], None, None
+            return
+        if begin > at:
+            yield page[at:begin], None, None
+            at = begin
+        if page.startswith("<!--", at) or page[at : at + 9].upper() == "<![CDATA[":
+            close = "-->" if page[at + 2] == "-" else "]]>"
+            end = page.find(close, at + 4)
+            at = n if end < 0 else end + 3
+            continue
+        m = pattern.match(page, at)
+        if m and not m[4]:
+            pattern = BLIND
+            m = pattern.match(page, at)
+        if m:
+            at = m.end()
+            name = m[2].lower()
+            if name in SKIPPED and not m[1] and not m[3].endswith("/"):
+                end = ENDS[name].search(page, at)
+                at = end.end() if end else n
+            else:
+                yield name, m[3], bool(m[1])
+        elif page[at + 1] in "!?/":
+            at = page.find(">", at) + 1
+        else:
+            yield "<", None, None
+            at += 1
+
+
 def events(page: str):
     """Tags as (name, None, opens), texts as (text, names of the open elements, None), in page order."""
     stack: list[tuple[str, frozenset]] = []
     around: frozenset = frozenset()
-    for m in TOKEN.finditer(page):
-        text = m[5]
-        if text is not None:
-            yield text, around, None
+    for what, attributes, closing in tokens(page):
+        if attributes is None:
+            yield what, around, None
             continue
-        if m[3] is None:
-            continue
-        name = m[3].lower()
-        if m[2]:
+        name = what
+        if closing:
             if any(n == name for n, _ in stack):
                 while stack.pop()[0] != name:
                     pass
@@ -84,14 +124,27 @@ def events(page: str):
                         break
                     if stack[k][0] in WALLS:
                         break
-            if name not in VOID and not m[4].endswith("/"):
+            if name not in VOID and not attributes.endswith("/"):
                 names = {name} - PLAIN
-                if "=" in m[4]:
-                    for a in NAMES.finditer(m[4]):
+                if "=" in attributes:
+                    for a in NAMES.finditer(attributes):
                         names.update(WORD.findall((a[1] or a[2] or a[3] or "").lower()))
                 stack.append((name, (stack[-1][1] if stack else frozenset()) | names))
         around = stack[-1][1] if stack else frozenset()
-        yield name, None, not m[2]
+        yield name, None, not closing
+
+
+def best_run(scores) -> tuple[int, int]:
+    """Bounds of the contiguous run with the largest sum, in one scan; the first of equal ones, empty if none is above 0."""
+    total = low = top = 0.0
+    start, run = 0, (0, 0)
+    for k, score in enumerate(scores):
+        total += score
+        if total - low > top:
+            top, run = total - low, (start, k + 1)
+        if total < low:
+            low, start = total, k + 1
+    return run
 
 
 def labelled_counts(page: str) -> dict[str, list[int]]:
@@ -163,22 +216,17 @@ class Extractor:
                 self.known = {around: found}
         return found
 
+    def score(self, what: str, around: frozenset | None) -> float:
+        """Of a tag (``around`` is None) or a text."""
+        if around is None:
+            return -TAG_COST * (1.5 - 0.5 / (1 + math.exp(-self.weight.get(what, 0.0))))
+        return 0.0 if what.isspace() else len(what.split()) * self.chance(around)[1]
+
     def text(self, page: str) -> str:
-        sequence, total, best = [], 0.0, (0.0, 0, 0)
-        low, start = 0.0, 0
-        for k, (what, around, _) in enumerate(events(page)):
-            sequence.append((what, around))
-            if around is None:
-                chance = 1 / (1 + math.exp(-self.weight.get(what, 0.0)))
-                total -= TAG_COST + 0.5 * (1 - chance) * TAG_COST
-            elif not what.isspace():
-                total += len(what.split()) * self.chance(around)[1]
-            if total - low > best[0]:
-                best = (total - low, start, k + 1)
-            if total < low:
-                low, start = total, k + 1
+        sequence = [(what, around) for what, around, _ in events(page)]
+        first, last = best_run(self.score(what, around) for what, around in sequence)
         blocks, now = [], []
-        for what, around in sequence[best[1] : best[2]]:
+        for what, around in sequence[first:last]:
             if around is None:
                 if what in BLOCK:
                     blocks.append("".join(now))
