@@ -15,7 +15,9 @@ with its k best, and the k best of those are kept.
 Vectors that are null, zero or hold null or non-finite components take no
 part.  Rows without an id take no part either; equal ids are separate
 candidates, none of which is found for a query of that id.  All vectors must
-be of the commonest length; others take no part.  Ties go to the smaller id.
+be of the commonest length; others take no part.  Ties go to the smaller id,
+among different vectors too: all points as near as the k-th, up to rounding,
+are ordered by their exact scores.
 """
 
 from __future__ import annotations
@@ -74,7 +76,7 @@ class VantageTree:
         return (vantage, radius, inner, outer, self._build(a, a + middle), self._build(a + middle, b))
 
     def search(self, queries, k: int, factor: float, visit):
-        """Calls ``visit(query rows, point rows, distances)``, which returns the k-th best distance of those queries."""
+        """Calls ``visit(query rows, point rows, squared distances)``, which returns the squared distance that still matters to those queries."""
         import numpy as np
 
         best = np.full(len(queries), np.inf)
@@ -86,7 +88,7 @@ class VantageTree:
             if len(node) == 2:
                 rows = self.order[node[0] : node[1]]
                 far = square_q[active, None] + square_p[rows] - 2 * queries[active] @ self.points[rows].T
-                best[active] = visit(active, rows, np.sqrt(np.maximum(far, 0)))
+                best[active] = np.sqrt(visit(active, rows, np.maximum(far, 0)))
                 return
             vantage, radius, inner, outer, near_node, far_node = node
             away = np.sqrt(np.maximum(((queries[active] - self.points[vantage]) ** 2).sum(1), 0))
@@ -116,19 +118,26 @@ def search_shard(ids, vectors, query_ids, queries, limit: float, k: int, factor:
     for a in range(0, len(queries), STEP_QUERIES):
         asked, own = queries[a : a + STEP_QUERIES], query_ids[a : a + STEP_QUERIES]
         distance = np.full((len(asked), wide), np.inf)
-        place = np.full((len(asked), wide), -1)
+        # rounding of squared distances: within it, points are as near as the k-th
+        margin = 1e-11 * (limit**2 + (asked**2).sum(1))
+        kept: list[tuple] = []
 
-        def visit(active, rows, far, distance=distance, place=place):
+        def visit(active, rows, far, distance=distance, margin=margin, kept=kept):
             d = np.concatenate([distance[active], far], 1)
-            p = np.concatenate([place[active], np.broadcast_to(rows, far.shape)], 1)
-            keep = np.argpartition(d, wide - 1, 1)[:, :wide]
-            distance[active] = np.take_along_axis(d, keep, 1)
-            place[active] = np.take_along_axis(p, keep, 1)
-            return distance[active].max(1)
+            distance[active] = np.partition(d, wide - 1, 1)[:, :wide]
+            reach = distance[active].max(1) + margin[active]
+            q, p = np.nonzero(far <= reach[:, None])
+            kept.append((active[q], rows[p], far[q, p]))
+            return reach
 
         tree.search(np.c_[asked, np.zeros(len(asked))], k, factor, visit)
+        by, point, far = (np.concatenate(x) for x in zip(*kept, strict=True))
+        near = far <= distance.max(1)[by] + margin[by]
+        by, point = by[near], point[near]
+        order = np.argsort(by, kind="stable")
+        point, bounds = point[order], np.searchsorted(by[order], np.arange(len(asked) + 1))
         for q in range(len(asked)):
-            found = place[q][place[q] >= 0]
+            found = point[bounds[q] : bounds[q + 1]]
             # row sums: the same figure for equal vectors in every shard
             score = (distinct[found] * asked[q]).sum(1)
             # k + 1 copies of a point are enough for the k best but the query's own
