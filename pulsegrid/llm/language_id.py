@@ -6,7 +6,9 @@ pieces (forward algorithm), a text's the product over its words.  The
 probabilities are fitted by expectation-maximisation over all segmentations of
 the words of the labelled documents.
 
-Words are runs of letters a-z (A-Z lower-cased) and characters beyond ASCII.
+Words are runs of letters a-z (A-Z lower-cased) and characters beyond ASCII;
+in scripts without spaces a run is a whole clause.  All runs are learnt from,
+those of more than 4096 characters in parts.
 Words with the same 64-bit hash count as one word.  A text that is null or
 has no letter is ``und`` with score 0; so is every text if there is nothing to
 learn from.  The score is the posterior of the language under equal priors;
@@ -25,7 +27,7 @@ from pulsegrid.session import cut_lineage
 
 TRAIN_DOCS = 2_000  # about so many labelled documents of each language are learnt from, chosen by hash
 PASSES = 4
-LEARNT_BYTES = 60  # longer words are scored, not learnt from
+LEARNT_CHARS = 4096  # longer runs are learnt from in parts of so many characters
 UNKNOWN = 1e-10  # of one character that is no piece
 SMOOTH = 1e-3
 WORD_BLOCK = 4 << 20
@@ -118,22 +120,29 @@ def expected_pieces(pieces: Pieces, words: list[str], counts, table):
 
     total = np.zeros((pieces.size + 1, table.shape[1]))
     for chosen, n, ids in pieces.lattice(words):
-        sums, _ = forward(ids, n, table)
-        # the backward sums, scaled so that the last is the count over the word's probability
-        back = np.zeros_like(sums)
-        back[n] = counts[chosen] / sums[n]
+        # logs of the sums over all segmentations of each prefix: words of any length keep their precision
+        reach = np.zeros((n + 1, len(chosen), table.shape[1]))
+        for j in range(1, n + 1):
+            some = np.full(reach.shape[1:], UNKNOWN)
+            for i in range(max(0, j - pieces.longest), j):
+                some += table[ids[i][j - i - 1]] * np.exp(reach[i] - reach[j - 1])
+            reach[j] = reach[j - 1] + np.log(some)
+        # how often segmentations have a cut at each place
+        cut = np.zeros_like(reach)
+        cut[n] = counts[chosen]
         seen, weight = [], []
         for i in range(n - 1, -1, -1):
-            later = back[i + 1] * UNKNOWN
+            cut[i] = cut[i + 1] * (UNKNOWN * np.exp(reach[i] - reach[i + 1]))
             for k, row in enumerate(ids[i]):
-                gain = table[row] * back[i + k + 1]
-                later += gain
+                use = table[row] * np.exp(reach[i] - reach[i + k + 1]) * cut[i + k + 1]
+                cut[i] += use
                 seen.append(row)
-                weight.append(sums[i] * gain)
-            back[i] = later
-        seen, weight = np.concatenate(seen), np.concatenate(weight)
-        for lang in range(table.shape[1]):
-            total[:, lang] += np.bincount(seen, weight[:, lang], pieces.size + 1)
+                weight.append(use)
+            if len(seen) > 2048 or i == 0:
+                at, uses = np.concatenate(seen), np.concatenate(weight)
+                for lang in range(table.shape[1]):
+                    total[:, lang] += np.bincount(at, uses[:, lang], pieces.size + 1)
+                seen, weight = [], []
     return total[:-1]
 
 
@@ -173,10 +182,11 @@ def train(docs: DataFrame, path: str, train_docs: int = TRAIN_DOCS, passes: int
                 words = split_words(part.column("text"), LETTERS)
                 lang = np.repeat([place[x] for x in part.column("lang").to_pylist()], np.diff(words.first))
                 for k in np.unique(lang):
-                    own = np.flatnonzero((lang == k) & (words.end - words.start <= LEARNT_BYTES))
+                    own = np.flatnonzero(lang == k)
                     _, at, n = np.unique(words.hash[own], return_index=True, return_counts=True)
                     texts = [words.data[words.start[i] : words.end[i]].tobytes().decode("utf-8", "replace") for i in own[at]]
-                    yield pa.RecordBatch.from_pydict({"word": texts, "k": pa.array([int(k)] * len(texts), pa.int32()), "n": n})
+                    parts = [(t[a : a + LEARNT_CHARS], m) for t, m in zip(texts, n.tolist(), strict=True) for a in range(0, len(t), LEARNT_CHARS)]
+                    yield pa.RecordBatch.from_pydict({"word": [t for t, _ in parts], "k": pa.array([int(k)] * len(parts), pa.int32()), "n": pa.array([m for _, m in parts], pa.int64())})
 
     counts = sample.mapInArrow(released(count), "word string, k int, n long")
     sums = [F.sum(F.when(F.col("k") == k, F.col("n")).otherwise(0)).cast("double").alias(f"n{k}") for k in range(len(langs))]
