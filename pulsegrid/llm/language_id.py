@@ -8,7 +8,7 @@ the words of the labelled documents.
 
 Words are runs of letters a-z (A-Z lower-cased) and characters beyond ASCII;
 in scripts without spaces a run is a whole clause.  All runs are learnt from,
-those of more than 4096 characters in parts.
+those of more than 512 characters in parts.
 Words with the same 64-bit hash count as one word.  A text that is null or
 has no letter is ``und`` with score 0; so is every text if there is nothing to
 learn from.  The score is the posterior of the language under equal priors;
@@ -27,7 +27,7 @@ from pulsegrid.session import cut_lineage
 
 TRAIN_DOCS = 2_000  # about so many labelled documents of each language are learnt from, chosen by hash
 PASSES = 4
-LEARNT_CHARS = 4096  # longer runs are learnt from in parts of so many characters
+LEARNT_CHARS = 512  # longer runs are learnt from in parts of so many characters
 UNKNOWN = 1e-10  # of one character that is no piece
 SMOOTH = 1e-3
 WORD_BLOCK = 4 << 20
