@@ -173,6 +173,11 @@ def health_names(columns: list[str]) -> list[str]:
     return [c for c in columns if c.startswith(marks) and not c.endswith("_minutes_since_last")]
 
 
+def health_facts(columns: list[str]) -> list[str]:
+    """The wearable columns that are no features: how old a value is, and whether a workout is plausible."""
+    return [c for c in columns if c.endswith("_minutes_since_last") or c == "workout_summary_plausible"]
+
+
 def health_context(
     grid: DataFrame, health: Mapping[str, DataFrame], step_seconds: int, chunk_seconds: int = WEEK
 ) -> tuple[DataFrame, list[str]]:

@@ -40,12 +40,12 @@ def prepared_grid(
 ) -> DataFrame:
     """Every bin with features, wearable context and meal truth; features filled with 0."""
     grid = full_grid(data, config, health)
-    return grid.fillna(0, subset=[n for n in feature_names(grid.columns, config) if n != "glucose"])
+    return grid.fillna(0, subset=[n for n in feature_names(grid.columns) if n != "glucose"])
 
 
 def from_grid(grid: DataFrame, has_health: bool, config: FeatureConfig = FeatureConfig()) -> PreparedDataset:
     """The dataset of a (stored) prepared grid: rows with glucose and target."""
-    pump = feature_names(grid.columns, config)
+    pump = feature_names(grid.columns)
     names = health_names(grid.columns) if has_health else []
     frame = grid.dropna(subset=["glucose", TARGET])
     return PreparedDataset(frame=frame, feature_columns=pump + names, pump_columns=pump, health_columns=names, config=config, full_grid=grid)

@@ -10,10 +10,11 @@ from pulsegrid.functions.times import HOUR
 from pulsegrid.operators import standardize as St
 from pulsegrid.queries.context_queries import prepared
 from pulsegrid.queries.sqlparts import rounded, rs, with_
-from pulsegrid.session import shared_folder
+from pulsegrid.session import cut_lineage, shared_folder
 from pulsegrid.sources import adapters as A
 from pulsegrid.sources import files as Fi
 from pulsegrid.sources import payloads as Pl
+from pulsegrid.streaming import streams as Sm
 
 KEY = "subject_id"
 
@@ -112,6 +113,34 @@ SQL_WINDOWS = (
 )
 
 
+def q_window_ingest(spark, sf_dir):
+    """Payloads that arrive in three deliveries, the last one everything again: values of the complete windows, each once."""
+    root = folder(spark, "ingest")
+    payloads = cut_lineage(_window_payloads(spark, sf_dir))
+    early = F.col("family").isin("cgm", "bolus") | (F.col("window_id") == "2024-01-01")
+    for part in (early, ~early, F.lit(True)):
+        payloads.filter(part).write.mode("append").parquet(f"{root}/archive")
+        stream = Sm.file_stream(spark, f"{root}/archive", payloads.schema)
+        run = stream.writeStream.foreachBatch(Sm.ingest_windows(f"{root}/table", bin_seconds=HOUR)).option("checkpointLocation", f"{root}/check")
+        run.trigger(availableNow=True).start().awaitTermination()
+    out = None
+    for kind, value in (("cgm", "glucose"), ("bolus", "bolus_units"), ("carbs", "carb_grams"), ("activity", "activity_value"), ("basal", "basal_units_per_hour")):
+        time = F.date_trunc("hour", "start_ts").cast("timestamp_ntz") if kind == "basal" else F.col("ts")
+        part = Sm.ingested(spark, f"{root}/table", kind).select(KEY, "window_id", F.lit(kind).alias("kind"), time.alias("ts"), F.col(value).alias("value"))
+        out = part if out is None else out.unionByName(part)
+    return rounded(out, "value")
+
+
+_VALUES = f"{_SUBJECT}, '{{1}}' as kind, date_trunc('hour', ts) as ts, {{2}} as value from events where event_type = '{{0}}' group by 1, 2, 3, 4"
+SQL_INGEST = (
+    f"with each as ({_VALUES.format('view', 'cgm', 'arg_min(value, ts)')} union all {_VALUES.format('purchase', 'bolus', 'sum(value)')} union all {_VALUES.format('click', 'activity', 'sum(value)')} "
+    f"union all select distinct subject_id, window_id, 'carbs', ts, value from ({_VALUES.format('error', 'carbs', 'sum(value)')} union all {_VALUES.format('purchase', 'carbs', 'sum(value) filter (event_id % 2 = 0)')}) where value is not null "
+    f"union all {_SUBJECT}, 'basal', date_trunc('hour', ts), value from events where event_type = 'signup'), "
+    f"whole as ({_SUBJECT} from events group by 1, 2 having count(distinct event_type) = 5) "
+    f"select subject_id, window_id, kind, ts, {rs('value')} as value from each join whole using (subject_id, window_id)"
+)
+
+
 def q_window_tables(spark, sf_dir):
     """Tables by window, one window written again; the manifest leads back to all rows."""
     root = folder(spark, "windows")
@@ -160,6 +189,7 @@ QUERIES = {
         "from events where event_type = 'signup' and event_id % 7 <> 0",
     ),
     "window_payloads": (q_window_payloads, SQL_WINDOWS),
+    "stream_window_ingest": (q_window_ingest, SQL_INGEST),
     "window_tables": (q_window_tables, with_("cgm", f"select subject_id, ts, {rs(_DAY_5)} as glucose from cgm")),
     "prepared_reload": (q_prepared_reload, with_("prep", "select subject_id, count(*) as rows, count(hrv_latest) as hrv_rows, 1 as has_pump, 1 as has_health from prep group by 1")),
     "run_summary": (

@@ -13,6 +13,7 @@ from pulsegrid.queries.sqlparts import K, minutes, r, rounded, rs, with_
 from pulsegrid.session import shared_folder
 from pulsegrid.sources import adapters as A
 from pulsegrid.sources import payloads as Pl
+from pulsegrid.streaming import snapshots as Sn
 from pulsegrid.streaming import streams as Sm
 
 KEY = "subject_id"
@@ -157,6 +158,18 @@ def event_stream(spark, sf_dir, kind):
     return rows.filter(F.col("event_type") == kind).withColumnRenamed("user_id", KEY)
 
 
+def arrivals(spark, sf_dir, kind):
+    """The events of a kind three times as a stream, each time after ten more days of arrivals; an event arrives up to two days after its time."""
+    source = f"{shared_folder(spark)}/in-{uuid.uuid4().hex}"
+    events = A.table(spark, sf_dir, "events")
+    late = F.datediff(F.date_add(F.col("ts").cast("date"), (F.col("event_id") % 3).cast("int")), F.lit("2024-01-01").cast("date"))
+    rows = events.filter(F.col("event_type") == kind).withColumnRenamed("user_id", KEY)
+    delivery = F.least(F.floor(late / 10), F.lit(2))
+    for number in range(3):
+        rows.filter(delivery == number).write.mode("append").parquet(source)
+        yield Sm.file_stream(spark, source, rows.schema)
+
+
 def finished(spark, stream):
     path = f"{shared_folder(spark)}/out-{uuid.uuid4().hex}"
     Sm.run_to_end(stream, path)
@@ -205,26 +218,37 @@ def q_stream_dedupe(spark, sf_dir):
 
 
 def q_stream_upsert(spark, sf_dir):
-    """Latest value per subject, day and level, kept by merge batches."""
+    """Latest value per subject, day and level, kept by a commit per batch of arrivals."""
     path = f"{shared_folder(spark)}/upsert-{uuid.uuid4().hex}"
-    rows = event_stream(spark, sf_dir, "purchase").select(KEY, F.col("ts").cast("date").alias("day"), F.floor(F.col("value") / 10).alias("level"), "ts", "event_id", "value")
-    query = (
-        rows.writeStream.foreachBatch(Sm.upsert_batch(path, [KEY, "day", "level"], ["ts", "event_id"]))
-        .option("checkpointLocation", f"{path}-check").trigger(availableNow=True).start()
+    rows = lambda events: events.select(
+        KEY, F.col("ts").cast("date").alias("day"), F.floor(F.col("value") / 10).alias("level"), "ts", "event_id", "value"
     )
-    query.awaitTermination()
-    out = spark.read.parquet(path)
-    return out.select(KEY, "day", "level", "event_id", "value")
+    merge = Sm.upsert_batch(path, [KEY, "day", "level"], ["ts", "event_id"])
+    schema = None
+    for events in arrivals(spark, sf_dir, "purchase"):
+        schema = rows(events).schema
+        query = rows(events).writeStream.foreachBatch(merge).option("checkpointLocation", f"{path}-check").trigger(availableNow=True).start()
+        query.awaitTermination()
+    return Sn.read_snapshot(spark, path, schema).select(KEY, "day", "level", "event_id", "value")
 
 
 def q_stream_gaps(spark, sf_dir):
-    out = finished(spark, Sm.gap_alerts(event_stream(spark, sf_dir, "view"), 2880.0))
-    return out.filter(F.col("alert") == "gap").select(KEY, F.col("last_ts").cast("timestamp_ntz").alias("last_ts"), F.col("ts").cast("timestamp_ntz").alias("ts"), r("gap_minutes", 2).alias("gap_minutes"))
+    """Silences over two days, from three deliveries in which samples come up to two days late."""
+    path = f"{shared_folder(spark)}/out-{uuid.uuid4().hex}"
+    for events in arrivals(spark, sf_dir, "view"):
+        out = Sm.gap_alerts(events, 2880.0, delay="3 days")
+        Sm.run_to_end(out, path)
+    found = spark.read.schema(out.schema).parquet(path)
+    return found.select(KEY, "alert", *[F.col(c).cast("timestamp_ntz").alias(c) for c in ("last_ts", "ts")], r("gap_minutes", 2).alias("gap_minutes"))
 
 
+_PASSED = "(select epoch_us(max(ts)) // 1000 - 3 * 86400000 from cgm)"
 SQL_STREAM_GAPS = with_(
     "cgm",
-    f"select subject_id, p as last_ts, ts, {rs(minutes('ts', 'p'), 2)} as gap_minutes from (select *, lag(ts) over (partition by subject_id order by ts) as p from cgm) where {minutes('ts', 'p')} > 2880",
+    f"""select subject_id, 'gap' as alert, p as last_ts, ts, {rs(minutes('ts', 'p'), 2)} as gap_minutes from (select *, lag(ts) over (partition by subject_id order by ts) as p from cgm)
+    where ts > p + interval 2880 minute and epoch_us(ts) // 1000 < {_PASSED}
+    union all select subject_id, 'open', ts, ts + interval 2880 minute, 2880.0 from (select *, lead(ts) over (partition by subject_id order by ts) as q from cgm)
+    where (q is null or q > ts + interval 2880 minute) and epoch_us(ts + interval 2880 minute) // 1000 < {_PASSED}""",
 )
 
 QUERIES = {

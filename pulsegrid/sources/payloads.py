@@ -105,9 +105,9 @@ def normalize_windows(payloads: DataFrame, *, zone: str = "UTC", bin_seconds: in
     return kinds, total.groupBy(*keys).agg(*[F.coalesce(F.max(F.when(F.col("kind") == k, F.col("n"))), F.lit(0)).alias(f"{k}_rows") for k in kinds])
 
 
-def read_archived_payloads(spark: SparkSession, root: str) -> DataFrame:
-    """Archived payload files ``<start>__<end>/raw/<family>.json``: window, family, text."""
-    raw = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").text(root, wholetext=True)
+def read_archived_payloads(spark: SparkSession, root: str, *, stream: bool = False) -> DataFrame:
+    """Archived payload files ``<start>__<end>/raw/<family>.json``: window, family, text; as they arrive with ``stream``."""
+    raw = (spark.readStream if stream else spark.read).option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").text(root, wholetext=True)
     pattern = r"/(\d{4}-\d{2}-\d{2})__(\d{4}-\d{2}-\d{2})/raw/([^/]+)\.json$"
     part = lambda i: F.regexp_extract("_metadata.file_path", pattern, i)
     out = raw.select(part(1).try_cast("date").alias("window_start"), part(2).try_cast("date").alias("window_end"), part(3).alias("family"), "value")
