@@ -80,29 +80,45 @@ def normalize_records(records: DataFrame, kind: str, *, zone: str = "UTC", bin_s
     return binned.agg(F.sum(name).alias(name), *([F.sum("carb_grams").alias("carb_grams")] if extra else []))
 
 
+def window_records(payloads: DataFrame) -> DataFrame:
+    """The records of archived windows: keys, window_end, family (lower case) and ``record``."""
+    known = payloads.select("subject_id", "window_id", "window_end", F.lower("family").alias("family"), "value")
+    return payload_records(known.filter(F.col("family").isin(*KEYS)), "value").drop("value")
+
+
 def normalize_windows(payloads: DataFrame, *, zone: str = "UTC", bin_seconds: int = 300) -> tuple[dict[str, DataFrame], DataFrame]:
-    """All kinds of archived windows, and one summary row per window.
+    """All kinds of archived windows (:func:`window_kinds`), and one summary row per window.
 
     ``payloads``: subject_id, window_id, window_end, family, value (JSON text),
-    as :func:`read_archived_payloads` gives them.  Carbs entered with a dose
-    join the direct ones; an open rate ends with the next start or the window.
+    as :func:`read_archived_payloads` gives them.
+    """
+    keys = ("subject_id", "window_id")
+    kinds = window_kinds(window_records(payloads), zone=zone, bin_seconds=bin_seconds)
+    counts = None
+    for kind, df in kinds.items():
+        each = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).withColumn("kind", F.lit(kind))
+        counts = each if counts is None else counts.unionByName(each)
+    total = payloads.select(*keys).distinct().join(counts, list(keys), "left")
+    return kinds, total.groupBy(*keys).agg(*[F.coalesce(F.max(F.when(F.col("kind") == k, F.col("n"))), F.lit(0)).alias(f"{k}_rows") for k in kinds])
+
+
+def window_kinds(records: DataFrame, *, zone: str = "UTC", bin_seconds: int = 300) -> dict[str, DataFrame]:
+    """Rows of each kind from :func:`window_records`.
+
+    Carbs entered with a dose join the direct ones; an open rate ends with the
+    next start or the window.
     """
     keys = ("subject_id", "window_id")
     kinds = {}
     for family in KEYS:
-        records = payload_records(payloads.filter(F.lower("family") == family), "value")
-        kinds[family] = normalize_records(records, family, zone=zone, bin_seconds=bin_seconds, keys=(*keys, "window_end") if family == "basal" else keys)
+        each = records.filter(F.col("family") == family)
+        kinds[family] = normalize_records(each, family, zone=zone, bin_seconds=bin_seconds, keys=(*keys, "window_end") if family == "basal" else keys)
     kinds["basal"] = close_basal(kinds["basal"], F.col("window_end"), keys=keys, order=["basal_units_per_hour"]).drop("window_end")
     with_dose = kinds["bolus"].filter(F.col("carb_grams").isNotNull()).select(*keys, "ts", "carb_grams", F.lit("bolus").alias("source_label"))
     direct = kinds["carbs"].withColumn("source_label", F.lit("carbs"))
     kinds["carbs"] = merge_by_priority([(0, direct), (1, with_dose)], [*keys, "ts", "carb_grams"])
     kinds["bolus"] = kinds["bolus"].drop("carb_grams")
-    counts = None
-    for kind, df in kinds.items():
-        each = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).withColumn("kind", F.lit(kind))
-        counts = each if counts is None else counts.unionByName(each)
-    total = payloads.select(*keys).distinct().join(counts, list(keys), "left")
-    return kinds, total.groupBy(*keys).agg(*[F.coalesce(F.max(F.when(F.col("kind") == k, F.col("n"))), F.lit(0)).alias(f"{k}_rows") for k in kinds])
+    return kinds
 
 
 def read_archived_payloads(spark: SparkSession, root: str, *, stream: bool = False) -> DataFrame:

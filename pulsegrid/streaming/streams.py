@@ -167,8 +167,9 @@ def ingest_windows(path: str, *, zone: str = "UTC", bin_seconds: int = 300, fami
             rows = cut_lineage(todo.groupBy(*keys, "family").agg(text.alias("_t")).select(*keys, "_t.window_end", "family", "_t.value"))
             full = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") == len(families)).drop("_n")
             full = cut_lineage(full)
-            ready, folder = cut_lineage(rows.join(full, keys)), Sn.new_folder()
-            for kind, df in Pl.normalize_windows(ready, zone=zone, bin_seconds=bin_seconds)[0].items():
+            # texts are parsed once for all kinds
+            records, folder = cut_lineage(Pl.window_records(rows.join(full, keys))), Sn.new_folder()
+            for kind, df in Pl.window_kinds(records, zone=zone, bin_seconds=bin_seconds).items():
                 df.write.parquet(f"{path}/{folder}/{kind}")
             full.withColumn("status", F.lit("complete")).write.parquet(f"{path}/{folder}/{LEDGER}")
             rows.join(full, keys, "left_anti").write.parquet(f"{path}/{folder}/{WAITING}")
