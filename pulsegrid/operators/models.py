@@ -104,29 +104,58 @@ def elastic_net_coefficients(g: np.ndarray, alpha: float = 0.05, l1: float = 0.5
 FIT_FIELDS = "n double, coef array<double>, slope array<double>, intercept double, sse double"
 
 
-def solve(sums: DataFrame, keys: Sequence[str], method: str = "ridge", **params: float) -> DataFrame:
-    """Coefficients per key: standardised (``coef``) and raw (``slope``, ``intercept``)."""
+POSTERIOR_FIELDS = "mean array<double>, whiten array<array<double>>"
+
+
+def solve(sums: DataFrame, keys: Sequence[str], method: str = "ridge", posterior: bool = False, **params: float) -> DataFrame:
+    """Coefficients per key: standardised (``coef``) and raw (``slope``, ``intercept``).
+
+    With ``posterior`` also what :func:`coefficient_variance` needs: the means
+    and the inverse Cholesky factor of Z'Z + alpha I on raw differences.
+    """
     keys = list(keys)
+    alpha = params.get("alpha", 1.0)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            out = {"n": [], "coef": [], "slope": [], "intercept": [], "sse": []}
+            out = {name: [] for name in ("n", "coef", "slope", "intercept", "sse", *(("mean", "whiten") if posterior else ()))}
             for g in pdf["g"]:
                 g = np.asarray(g, dtype=float)
                 n, mean, y_mean, scale, corr, xy, y_var = _moments(g)
-                coef = ridge_coefficients(g, params.get("alpha", 1.0)) if method == "ridge" else elastic_net_coefficients(g, **params)
+                coef = ridge_coefficients(g, alpha) if method == "ridge" else elastic_net_coefficients(g, **params)
                 slope = coef / scale
                 out["n"].append(n)
                 out["coef"].append(coef)
                 out["slope"].append(slope)
                 out["intercept"].append(y_mean - float(slope @ mean))
                 out["sse"].append(max(n * (y_var - 2 * coef @ xy + coef @ corr @ coef), 0.0))
+                if posterior:
+                    factor = np.linalg.cholesky(n * corr + alpha * np.eye(len(xy)))
+                    out["mean"].append(mean)
+                    out["whiten"].append(list(np.linalg.inv(factor) / scale))
             yield pd.concat([pdf[keys].reset_index(drop=True), pd.DataFrame(out)], axis=1)
 
-    fields = [*_key_schema(sums, keys), *T.StructType.fromDDL(FIT_FIELDS).fields]
+    fields = [*_key_schema(sums, keys), *T.StructType.fromDDL(f"{FIT_FIELDS}, {POSTERIOR_FIELDS}" if posterior else FIT_FIELDS).fields]
     return sums.mapInPandas(run, T.StructType(fields))
 
 
+def part_of_matrix(sums: DataFrame, keys: Sequence[str], size: int, kept: Sequence[int]) -> DataFrame:
+    """The rows and columns ``kept`` of each key's matrix: the sums of a smaller model without another pass."""
+    return sums.select(*keys, F.array(*[F.col("g")[i * size + j] for i in kept for j in kept]).alias("g"))
+
+
+def coefficient_variance(features: Sequence[str]) -> Column:
+    """Variance of a prediction by its coefficients, in units of the residual's: 1/n + x'(Z'Z + alpha I)^-1 x, x about the means."""
+    off = F.zip_with(feature_values(features), F.col("mean"), lambda x, m: x - m)
+    dot = lambda w: F.aggregate(F.zip_with(w, off, lambda a, b: a * b), F.lit(0.0), lambda s, t: s + t)
+    return F.aggregate(F.transform("whiten", lambda w: dot(w) * dot(w)), 1 / F.col("n"), lambda s, t: s + t)
+
+
+def student_quantile(z: float, degrees: Column) -> Column:
+    """Quantile of Student's t where the normal one is ``z``, by the first terms of its series in 1 / degrees."""
+    return F.lit(z) + (z**3 + z) / (4 * degrees) + (5 * z**5 + 16 * z**3 + 3 * z) / (96 * degrees * degrees)
+
+
 def linear_prediction(features: Sequence[str], slope: str = "slope", intercept: str = "intercept") -> Column:
     terms = [F.coalesce(F.col(f).cast("double"), F.lit(0.0)) * F.col(slope)[i] for i, f in enumerate(features)]
     total = F.col(intercept)

@@ -119,11 +119,11 @@ def segmented_walk(folds: DataFrame, keys: Sequence[str], features: Sequence[str
 
 
 def bayes_ar_fits(folds: DataFrame, keys: Sequence[str], features: Sequence[str], target: str, min_train: int = 1, alpha: float = 1.0) -> DataFrame:
-    """Per key and fold ``slope``, ``intercept`` and the residual's lag-1 correlation, deviation, last value and its row."""
+    """Per key and fold the regression with its posterior, and the residual's lag-1 correlation, deviation, last value and its row."""
     by = [*keys, "fold"]
-    fits = cut_lineage(M.solve(fold_sums(folds, keys, features, target), by, "ridge", alpha=alpha).filter(F.col("n") >= min_train))
-    model, pred = fits.select(*by, "slope", "intercept"), M.linear_prediction(features)
-    train = M.lookup(training_rows(folds), model, by, "_i").select(*by, "_i", (F.col(target) - pred).alias("_r"))
+    fits = cut_lineage(M.solve(fold_sums(folds, keys, features, target), by, "ridge", posterior=True, alpha=alpha).filter(F.col("n") >= min_train))
+    model, pred = fits.select(*by, "slope", "intercept", "n", "mean", "whiten"), M.linear_prediction(features)
+    train = M.lookup(training_rows(folds), model.select(*by, "slope", "intercept"), by, "_i").select(*by, "_i", (F.col(target) - pred).alias("_r"))
     pairs = row_windows(train, lambda w: {"_b": F.lag("_r").over(w)}, back_rows=1, index="_i", keys=by)
     facts = pairs.groupBy(*by).agg(
         F.coalesce(correlation(F.col("_r"), F.col("_b")), F.lit(0.0)).alias("_rho"), F.stddev_pop("_r").alias("_sd"), F.max_by("_r", "_i").alias("_last"), F.max("_i").alias("_at")
@@ -136,16 +136,19 @@ def bayes_ar_walk(folds: DataFrame, keys: Sequence[str], features: Sequence[str]
 
     The coefficient posterior mean under a normal prior is the ridge solution;
     the residual's lag-1 correlation rho carries the last training residual
-    forward as rho^k, and the 10-90 % band widens with it.  A stand-in for a
-    sampled state-space model, not the same estimator.
+    forward as rho^k.  The 10-90 % band is Student's t with n - 1 degrees of
+    freedom, over the variance of that residual plus that of the coefficients
+    at the row.  A stand-in for a sampled state-space model, not the same
+    estimator.
     """
     by = [*keys, "fold"]
     pred = M.linear_prediction(features)
     scored = M.lookup(test_rows(folds), bayes_ar_fits(folds, keys, features, target, min_train, alpha), by, "_i")
     carry = F.pow(F.col("_rho"), F.col("_i") - F.col("_at"))
     out = scored.withColumn("pred", pred + carry * F.col("_last"))
-    half = F.lit(z) * F.col("_sd") * F.sqrt(F.greatest(1 - carry * carry, F.lit(0.0)))
-    return out.withColumns({"lower": F.col("pred") - half, "upper": F.col("pred") + half}).drop("slope", "intercept", "_rho", "_sd", "_last", "_at")
+    spread = F.greatest(1 - carry * carry, F.lit(0.0)) + M.coefficient_variance(features)
+    half = M.student_quantile(z, F.greatest(F.col("n") - 1, F.lit(1.0))) * F.col("_sd") * F.sqrt(spread)
+    return out.withColumns({"lower": F.col("pred") - half, "upper": F.col("pred") + half}).drop("slope", "intercept", "n", "mean", "whiten", "_rho", "_sd", "_last", "_at")
 
 
 def stump_walk(folds: DataFrame, keys: Sequence[str], features: Sequence[str], target: str, min_train: int = 1, rounds: int = 18) -> DataFrame:
@@ -349,20 +352,21 @@ def screen_features(
 ) -> tuple[DataFrame, DataFrame]:
     """Do the extra features help a ridge?  (feature scores, error of both models).
 
-    Availability is measured on the unfilled columns.
+    Availability is measured on the unfilled columns.  The smaller model is
+    solved from rows and columns of the larger one's matrix, and one pass over
+    the test rows scores both.
     """
     folds = fold_columns(frame, keys, order=order, horizon_seconds=horizon_seconds, rule=half_folds)
-    by = [*keys, "fold"]
-    names = [*base, *extra]
-    both = cut_lineage(M.solve(fold_sums(folds, keys, names, target), by))
-    small = cut_lineage(M.solve(fold_sums(folds, keys, list(base), target), by))
-    errors = []
-    for model, feats, label in ((small, list(base), "baseline"), (both, names, "augmented")):
-        scored = M.lookup(test_rows(folds), model.select(*by, "slope", "intercept"), by, "_i").withColumn("pred", M.linear_prediction(feats))
-        err = F.col(target) - F.col("pred")
-        per = scored.groupBy(*by).agg(F.sqrt(F.avg(err * err)).alias("rmse"), F.avg(F.abs(err)).alias("mae"))
-        errors.append(per.groupBy(*keys).agg(F.avg("rmse").alias(f"{label}_rmse"), F.avg("mae").alias(f"{label}_mae"), F.count(F.lit(1)).alias("split_count")))
-    error = errors[0].drop("split_count").join(errors[1], list(keys))
+    by, names = [*keys, "fold"], [*base, *extra]
+    size = len(names) + 2
+    sums = cut_lineage(fold_sums(folds, keys, names, target))
+    both = cut_lineage(M.solve(sums, by))
+    small = M.solve(M.part_of_matrix(sums, by, size, [*range(len(base) + 1), size - 1]), by)
+    models = both.select(*by, "slope", "intercept").join(small.select(*by, F.col("slope").alias("_s0"), F.col("intercept").alias("_i0")), by)
+    scored = M.lookup(test_rows(folds), models, by, "_i")
+    miss = {"baseline": F.col(target) - M.linear_prediction(base, "_s0", "_i0"), "augmented": F.col(target) - M.linear_prediction(names)}
+    per = scored.groupBy(*by).agg(*[c for k, e in miss.items() for c in (F.sqrt(F.avg(e * e)).alias(f"{k}_rmse"), F.avg(F.abs(e)).alias(f"{k}_mae"))])
+    error = per.groupBy(*keys).agg(*[F.avg(f"{k}_{m}").alias(f"{k}_{m}") for k in miss for m in ("rmse", "mae")], F.count(F.lit(1)).alias("split_count"))
 
     if not extra:
         none = "feature string, availability double, mean_abs_coefficient double, std_abs_coefficient double, split_count long, recommended boolean"

@@ -193,14 +193,26 @@ def q_segmented_one(spark, sf_dir):
 
 
 _RIDGE = "(covar_pop(y, l_quantity) * count(*) / (count(*) + 1.0)) / var_pop(l_quantity)"
-SQL_SEGMENTED_ONE = with_(
-    "folds train scored1",
-    "select * from (with fit as (select * from (select subject_id, therapy_segment, fold, count(*) as n, " + f"{_RIDGE} as slope, avg(y) - {_RIDGE} * avg(l_quantity) as intercept from train group by 1, 2, 3) where n >= 20), "
-    "band as (select subject_id, therapy_segment, fold, quantile_cont(y - intercept - slope * l_quantity, 0.1) as lo, quantile_cont(y - intercept - slope * l_quantity, 0.9) as hi from train join fit using (subject_id, therapy_segment, fold) group by all), "
-    "done as (select s.subject_id, s.fold, s.y, coalesce(intercept + slope * l_quantity, pred) as pred, coalesce(intercept + slope * l_quantity + lo, lower) as lower, coalesce(intercept + slope * l_quantity + hi, upper) as upper "
-    "from scored1 s left join fit f on f.subject_id = s.subject_id and f.therapy_segment = s.therapy_segment and f.fold = s.fold left join band b on b.subject_id = s.subject_id and b.therapy_segment = s.therapy_segment and b.fold = s.fold) "
-    f"select subject_id, fold, {score_sql('y')} from done group by 1, 2)",
-)
+def _segmented_sql(kept: str) -> str:
+    """Scores of the segments' fits; ``kept`` makes a column of the segmented value {0} and the plain ridge's {1}."""
+    done = ", ".join(f"{kept.format(f'coalesce({part}, {whole})', whole)} as {whole}" for whole, part in (("pred", "intercept + slope * l_quantity"), ("lower", "intercept + slope * l_quantity + lo"), ("upper", "intercept + slope * l_quantity + hi")))
+    return with_(
+        "folds train scored1",
+        "select * from (with fit as (select * from (select subject_id, therapy_segment, fold, count(*) as n, " + f"{_RIDGE} as slope, avg(y) - {_RIDGE} * avg(l_quantity) as intercept from train group by 1, 2, 3) where n >= 20), "
+        "band as (select subject_id, therapy_segment, fold, quantile_cont(y - intercept - slope * l_quantity, 0.1) as lo, quantile_cont(y - intercept - slope * l_quantity, 0.9) as hi from train join fit using (subject_id, therapy_segment, fold) group by all), "
+        f"done as (select s.subject_id, s.fold, s.y, {done} "
+        "from scored1 s left join fit f on f.subject_id = s.subject_id and f.therapy_segment = s.therapy_segment and f.fold = s.fold left join band b on b.subject_id = s.subject_id and b.therapy_segment = s.therapy_segment and b.fold = s.fold) "
+        f"select subject_id, fold, {score_sql('y')} from done group by 1, 2)",
+    )
+
+
+SQL_SEGMENTED_ONE = _segmented_sql("{0}")
+
+
+def q_ensemble_two(spark, sf_dir):
+    """Mean of a ridge and a segmented ridge, in reach of SQL."""
+    args = line_folds(spark, sf_dir), [KEY], ["l_quantity"], "y"
+    return _scores(V.ensemble([V.linear_walk(*args), V.segmented_walk(*args)], [KEY]))
 
 
 def q_ridge_two(spark, sf_dir):
@@ -220,14 +232,43 @@ def q_bayes_one(spark, sf_dir):
     return _scores(V.bayes_ar_walk(line_folds(spark, sf_dir), [KEY], ["l_quantity"], "y"))
 
 
-SQL_BAYES_ONE = with_(
-    "folds train fit1",
-    "select * from (with res as (select subject_id, fold, i, y - intercept - slope * l_quantity as r from train join fit1 using (subject_id, fold)), "
-    "pair as (select *, lag(r) over (partition by subject_id, fold order by i) as b from res), "
-    "fact as (select subject_id, fold, coalesce(corr(r, b), 0.0) as rho, stddev_pop(r) as sd, arg_max(r, i) as last, max(i) as i_last from pair group by 1, 2), "
-    "done as (select f.subject_id, t.fold, y, intercept + slope * l_quantity + pow(rho, i - i_last) * last as pred, 1.2815515655446004 * sd * sqrt(greatest(1 - pow(rho, i - i_last) * pow(rho, i - i_last), 0.0)) as half "
-    "from folds f join fit1 t on t.subject_id = f.subject_id and t.fold = f.block join fact on fact.subject_id = f.subject_id and fact.fold = t.fold), full_ as (select *, pred - half as lower, pred + half as upper from done) "
-    f"select subject_id, fold, {score_sql('y')} from full_ group by 1, 2)",
+def q_bayes_two(spark, sf_dir):
+    return _scores(V.bayes_ar_walk(line_folds(spark, sf_dir), [KEY], ["l_quantity", "l_tax"], "y"))
+
+
+def _bayes_sql(fit: str, line: str, spread: str) -> str:
+    """Scores with a carried residual; ``spread`` is the variance by the coefficients, in units of the residual's."""
+    z = 1.2815515655446004
+    t = f"({z} + {z**3 + z} / (4 * (n - 1)) + {5 * z**5 + 16 * z**3 + 3 * z} / (96 * (n - 1) * (n - 1)))"
+    return with_(
+        "folds train",
+        f"select * from (with fit as ({fit}), res as (select subject_id, fold, i, y - ({line}) as r from train join fit using (subject_id, fold)), "
+        "pair as (select *, lag(r) over (partition by subject_id, fold order by i) as b from res), "
+        "fact as (select subject_id, fold, coalesce(corr(r, b), 0.0) as rho, stddev_pop(r) as sd, arg_max(r, i) as last, max(i) as i_last from pair group by 1, 2), "
+        f"done as (select subject_id, fold, y, {line} + pow(rho, i - i_last) * last as pred, {t} * sd * sqrt(greatest(1 - pow(rho, i - i_last) * pow(rho, i - i_last), 0.0) + {spread}) as half "
+        "from (select * exclude (n), block as fold from folds where block > 0) join fit using (subject_id, fold) join fact using (subject_id, fold)), full_ as (select *, pred - half as lower, pred + half as upper from done) "
+        f"select subject_id, cast(fold as integer) as fold, {score_sql('y')} from full_ group by 1, 2)",
+    )
+
+
+SQL_BAYES_ONE = _bayes_sql(
+    f"select subject_id, fold, count(*) as n, avg(l_quantity) as m1, var_pop(l_quantity) as v1, {_RIDGE} as slope, avg(y) - {_RIDGE} * avg(l_quantity) as intercept from train group by 1, 2",
+    "intercept + slope * l_quantity", "1.0 / n + pow(l_quantity - m1, 2) / v1 / (n + 1)",
+)
+
+
+def _two_feature_fit(source: str, x2: str) -> str:
+    """Ridge fits of y on l_quantity (b1) and on both (a1, a2), with the moments, per subject and fold."""
+    return (
+        f"select *, c1 * n / (n + 1) / s1 as b1, u / s1 as a1, v / s2 as a2, my - c1 * n / (n + 1) / s1 * m1 as b0, my - u / s1 * m1 - v / s2 * m2 as a0 from (select *, ((n + 1) * n * c1 - n * r * n * c2) / d as u, ((n + 1) * n * c2 - n * r * n * c1) / d as v "
+        f"from (select *, (n + 1) * (n + 1) - n * r * n * r as d from (select subject_id, fold, cast(count(*) as double) as n, avg(y) as my, avg(l_quantity) as m1, avg({x2}) as m2, stddev_pop(l_quantity) as s1, stddev_pop({x2}) as s2, corr(l_quantity, {x2}) as r, "
+        f"covar_pop(y, l_quantity) / stddev_pop(l_quantity) as c1, covar_pop(y, {x2}) / stddev_pop({x2}) as c2 from {source} group by 1, 2)))"
+    )
+
+
+SQL_BAYES_TWO = _bayes_sql(
+    _two_feature_fit("train", "l_tax"), "a0 + a1 * l_quantity + a2 * l_tax",
+    "1.0 / n + ((n + 1) * (pow((l_quantity - m1) / s1, 2) + pow((l_tax - m2) / s2, 2)) - 2 * n * r * (l_quantity - m1) / s1 * (l_tax - m2) / s2) / d",
 )
 
 
@@ -412,6 +453,34 @@ def q_screening(spark, sf_dir):
     return scores
 
 
+def q_screening_one(spark, sf_dir):
+    """Does a second feature, missing in some rows, help a ridge on one?  Feature score and errors of both models."""
+    rows = lines(spark, sf_dir).withColumn("x", F.when(F.col("l_linenumber") <= 5, F.col("l_tax")))
+    scores, error = V.screen_features(rows, [KEY], ["l_quantity"], ["x"], target="y", order=ORDER)
+    out = scores.join(error.drop("split_count"), KEY)
+    return rounded(out, "availability", "mean_abs_coefficient", "std_abs_coefficient", "baseline_rmse", "augmented_rmse", "baseline_mae", "augmented_mae")
+
+
+PARTS["screen_folds"] = (
+    "lines",
+    "select *, case when i < first then 0 when (i - first) // test < (n - first) // test then (i - first) // test + 1 else 0 end as block from "
+    "(select *, greatest(n // 2, 24) as first, greatest(n // 5, 12) as test from (select *, case when l_linenumber <= 5 then l_tax end as x0, coalesce(case when l_linenumber <= 5 then l_tax end, 0.0) as x, "
+    "row_number() over (partition by subject_id order by ts, l_orderkey, l_linenumber) - 1 as i, count(*) over (partition by subject_id) as n from lines))",
+)
+SQL_SCREENING = with_(
+    "screen_folds",
+    "select * from (with begun as (select subject_id, block as fold, min(ts) as t from screen_folds where block > 0 group by 1, 2), "
+    "train as (select f.*, b.fold from screen_folds f join begun b on b.subject_id = f.subject_id and b.t >= f.ts + interval 1800 second), "
+    f"fit as ({_two_feature_fit('train', 'x')}), "
+    "miss as (select f.subject_id, fold, y - b0 - b1 * l_quantity as e, y - a0 - a1 * l_quantity - a2 * x as g from screen_folds f join fit t on t.subject_id = f.subject_id and t.fold = f.block), "
+    "each as (select subject_id, fold, sqrt(avg(e * e)) as e2, avg(abs(e)) as e1, sqrt(avg(g * g)) as g2, avg(abs(g)) as g1 from miss group by 1, 2), "
+    f"error as (select subject_id, {rs('avg(e2)')} as baseline_rmse, {rs('avg(g2)')} as augmented_rmse, {rs('avg(e1)')} as baseline_mae, {rs('avg(g1)')} as augmented_mae from each group by 1), "
+    f"coefs as (select subject_id, {rs('avg(abs(v))')} as mean_abs_coefficient, {rs('stddev_pop(abs(v))')} as std_abs_coefficient, count(*) as split_count from fit group by 1), "
+    "have as (select subject_id, count(x0) / count(*) as share from screen_folds group by 1) "
+    f"select subject_id, 'x' as feature, {rs('share')} as availability, mean_abs_coefficient, std_abs_coefficient, split_count, share >= 0.2 as recommended, baseline_rmse, augmented_rmse, baseline_mae, augmented_mae "
+    "from have join coefs using (subject_id) join error using (subject_id))",
+)
+
 QUERIES = {
     "walk_forward_blocks": (q_blocks, SQL_BLOCKS),
     "ridge_one_feature": (q_ridge_one, SQL_RIDGE_ONE),
@@ -427,7 +496,9 @@ QUERIES = {
     "segmented_ridge_one_feature": (q_segmented_one, SQL_SEGMENTED_ONE),
     "ridge_two_features": (q_ridge_two, SQL_RIDGE_TWO),
     "bayes_ar_one_feature": (q_bayes_one, SQL_BAYES_ONE),
+    "bayes_ar_two_features": (q_bayes_two, SQL_BAYES_TWO),
     "bayes_ar": (q_bayes, None),
+    "ensemble_two_members": (q_ensemble_two, _segmented_sql("({0} + {1}) / 2")),
     "ensemble": (q_ensemble, None),
     "standardize": (q_standardize, SQL_STANDARDIZE),
     "persistence_mae": (q_persistence, with_("feat", f"select subject_id, {rs('avg(abs(target_glucose - glucose))')} as persistence_mae from feat group by 1")),
@@ -452,4 +523,5 @@ QUERIES = {
     "model_comparison_sparse": (q_model_comparison_sparse, SQL_COMPARISON_SPARSE),
     "rank_models": (q_rank_models, SQL_RANK_MODELS),
     "feature_screening": (q_screening, None),
+    "feature_screening_one": (q_screening_one, SQL_SCREENING),
 }
