@@ -14,6 +14,7 @@ from pulsegrid.operators.proxies import yes
 from pulsegrid.operators.timeline import HOUR, scan
 
 KEY = "subject_id"
+NO_EXCLUSIONS = "accepted_without_exclusions"
 
 
 def session_ids(events: DataFrame, gap_minutes: float, name: str = "session", order: tuple[str, ...] = ()) -> DataFrame:
@@ -152,10 +153,10 @@ def clean_windows(research: DataFrame, rules: CleanWindowRules = CleanWindowRule
 
 def exclusion_summary(windows: DataFrame) -> DataFrame:
     """Reason counts per subject; ``accepted_without_exclusions`` where no window has a reason."""
-    label = F.when(F.size("exclusion_reasons") > 0, F.col("exclusion_reasons")).otherwise(F.array(F.lit("accepted_without_exclusions")))
+    label = F.when(F.size("exclusion_reasons") > 0, F.col("exclusion_reasons")).otherwise(F.array(F.lit(NO_EXCLUSIONS)))
     counts = windows.select(KEY, F.explode(label).alias("reason")).groupBy(KEY, "reason").agg(F.count(F.lit(1)).alias("count"))
-    real = F.max((F.col("reason") != "accepted_without_exclusions").cast("int")).over(Window.partitionBy(KEY))
-    return counts.withColumn("_real", real).filter((F.col("_real") == 0) | (F.col("reason") != "accepted_without_exclusions")).drop("_real")
+    real = F.max((F.col("reason") != NO_EXCLUSIONS).cast("int")).over(Window.partitionBy(KEY))
+    return counts.withColumn("_real", real).filter((F.col("_real") == 0) | (F.col("reason") != NO_EXCLUSIONS)).drop("_real")
 
 
 def subjects_without_candidates(subjects: DataFrame, windows: DataFrame) -> DataFrame:
@@ -248,9 +249,10 @@ def rows_of_days(frame: DataFrame, days: DataFrame) -> DataFrame:
 
 
 def exclusion_retention(source: DataFrame, sample: DataFrame) -> DataFrame:
-    """Reason counts of the whole set against those of the sample."""
-    a = source.groupBy("reason").agg(F.sum("count").alias("source_count"))
-    b = sample.groupBy("reason").agg(F.sum("count").alias("sample_count"))
+    """Reason counts of the whole set against those of the sample; subjects without exclusions are none."""
+    real = F.col("reason") != NO_EXCLUSIONS
+    a = source.filter(real).groupBy("reason").agg(F.sum("count").alias("source_count"))
+    b = sample.filter(real).groupBy("reason").agg(F.sum("count").alias("sample_count"))
     out = a.join(b, "reason", "full").fillna(0, subset=["source_count", "sample_count"])
     return out.withColumn("retained", F.when(F.col("sample_count") > 0, "yes").otherwise("no"))
 
