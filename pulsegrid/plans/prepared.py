@@ -36,13 +36,18 @@ class PreparedDataset:
 
 
 def prepared_grid(
-    data: Mapping[str, DataFrame], health: Mapping[str, DataFrame] | None, config: FeatureConfig = FeatureConfig()
+    data: Mapping[str, DataFrame], health: Mapping[str, DataFrame] | None, config: FeatureConfig = FeatureConfig(), *, targets_only: bool = False
 ) -> DataFrame:
     """Every bin with features, wearable context and meal truth; features filled with 0."""
-    grid = full_grid(data, config, health)
+    grid = full_grid(data, config, health, targets_only=targets_only)
     return grid.fillna(0, subset=[n for n in feature_names(grid.columns) if n != "glucose"])
 
 
+def prepared_rows(data: Mapping[str, DataFrame], health: Mapping[str, DataFrame] | None, config: FeatureConfig = FeatureConfig()) -> DataFrame:
+    """The rows with glucose and target of :func:`prepared_grid`, without making the rest of the grid."""
+    return prepared_grid(data, health, config, targets_only=True).dropna(subset=["glucose", TARGET])
+
+
 def from_grid(grid: DataFrame, has_health: bool, config: FeatureConfig = FeatureConfig()) -> PreparedDataset:
     """The dataset of a (stored) prepared grid: rows with glucose and target."""
     pump = feature_names(grid.columns)
