@@ -13,7 +13,7 @@ from pulsegrid.operators import validate as V
 from pulsegrid.operators.asof import nearest_within
 from pulsegrid.operators.cohorts import clean_windows
 from pulsegrid.operators.quantiles import exact_quantiles, leave_one_out_median
-from pulsegrid.queries.context_queries import bolus_anchors, prepared, q_event_metrics, SQL_EVENT_METRICS
+from pulsegrid.queries.context_queries import bolus_anchors, prepared_bins, q_event_metrics, SQL_EVENT_METRICS
 from pulsegrid.plans.segments import segment_results
 from pulsegrid.queries.model_queries import therapy_lines
 from pulsegrid.queries.research_queries import RULES, research
