@@ -7,7 +7,8 @@ are one representative with a number of copies.
 *Chosen paths.*  In each of ``RUNS`` runs a set x enters the bucket of every
 shingle whose hash falls below ``SHARE / |x|``: two linked sets share
 0.8 x SHARE buckets on average.  A bucket with more than ``BUCKET``
-members is split again by hashes that depend on the bucket, at most ``DEPTH``
+members is cut by size, which parts no linked pair, and what stays that large
+is split again by hashes that depend on the bucket, at most ``DEPTH`` - 1
 times, unless its members are alike on average.  Whether the chain of shared
 buckets of a linked pair lives on is a branching process with mean 2; it dies
 out with probability 0.203 in a run, hence in all nine runs with 6e-7: the
@@ -28,6 +29,8 @@ Repeated rows are copies.  An empty table gives no rows.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -42,6 +45,8 @@ WIDTH, SIMILARITY = 5, 0.8
 RUNS, SHARE, DEPTH = 9, 2.5, 5
 BUCKET, BLOCK, FEW = 1024, 512, 48
 BITS, LEAST_AGREEING, LEAST_SKETCHED = 128, 88, 128
+# a class of sizes spans a little more than a quarter
+SIZES = math.log(1.26)
 # mean similarity from which a large bucket is compared as it is
 ALIKE = 0.4
 FEATURES = "row long, doc_id long, size long, sig1 long, sig2 long, sketch1 long, sketch2 long, buckets array<long>"
@@ -133,6 +138,17 @@ def _split(docs: DataFrame, large: DataFrame) -> DataFrame:
     return docs.select(F.col("__row").alias("rep"), "text").join(paths, "rep").mapInArrow(released(choose), "rep long, sketch1 long, bucket long")
 
 
+def _by_size(large: DataFrame) -> DataFrame:
+    """Large buckets cut by the size of their members: ``rep, sketch1, bucket``.
+
+    Linked sets differ by a quarter in size at most, so they are in one class
+    or in two neighbouring ones; a part holds two neighbouring classes.
+    """
+    own = F.floor(F.log("size") / F.lit(SIZES))
+    part = F.explode(F.array(own, own + 1))
+    return large.select("rep", "sketch1", "bucket", part.alias("part")).select("rep", "sketch1", F.xxhash64("bucket", "part").alias("bucket"))
+
+
 def _agreement(n: str = "members"):
     """Mean similarity of all pairs of a bucket, from the counts of set sketch bits."""
     agree = [F.col(f"b{k}") / F.col(n) for k in range(32)]
@@ -143,26 +159,27 @@ def _agreement(n: str = "members"):
 def leaf_buckets(docs: DataFrame, reps: DataFrame) -> DataFrame:
     """``rep, bucket, members`` of all buckets that are compared."""
     leaves = []
-    entries = reps.select("rep", "sketch1", F.explode("buckets").alias("bucket"))
-    for depth in range(DEPTH):
+    entries = reps.select("rep", "size", "sketch1", F.explode("buckets").alias("bucket"))
+    for depth in range(DEPTH + 1):
         counts = cut_lineage(entries.groupBy("bucket").agg(F.count("*").alias("members")).filter("members > 1"))
         shared = cut_lineage(entries.join(counts, "bucket"))
         small, large = shared.filter(F.col("members") <= BUCKET), shared.filter(F.col("members") > BUCKET)
-        leaves.append(small)
-        if depth == DEPTH - 1 or counts.filter(F.col("members") > BUCKET).isEmpty():
-            leaves.append(large)
+        leaves.append(small.select("rep", "bucket", "members"))
+        if depth == DEPTH or counts.filter(F.col("members") > BUCKET).isEmpty():
+            leaves.append(large.select("rep", "bucket", "members"))
             break
         bits = large.groupBy("bucket", "members").agg(
             *(F.sum(F.shiftrightunsigned("sketch1", 2 * k).bitwiseAND(F.lit(1))).alias(f"b{k}") for k in range(32))
         )
         alike = cut_lineage(bits.select("bucket", (_agreement() >= ALIKE).alias("alike")))
         marked = large.join(alike, "bucket")
-        leaves.append(marked.filter("alike").drop("alike"))
-        entries = cut_lineage(_split(docs, marked.filter(~F.col("alike"))))
+        leaves.append(marked.filter("alike").select("rep", "bucket", "members"))
+        mixed = marked.filter(~F.col("alike"))
+        entries = cut_lineage(_split(docs, mixed) if depth else _by_size(mixed))
     out = leaves[0]
     for more in leaves[1:]:
         out = out.unionByName(more)
-    return out.drop("sketch1")
+    return out
 
 
 def _units(entries: DataFrame) -> DataFrame:
