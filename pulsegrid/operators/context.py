@@ -7,7 +7,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pulsegrid.functions.times import ceil_ts, floor_ts, minutes_between
+from pulsegrid.functions.times import ceil_ts, epoch_seconds, floor_ts, minutes_between
 from pulsegrid.operators import grid as G
 from pulsegrid.operators.asof import freshness
 from pulsegrid.operators.intervals import inside_flag
@@ -16,6 +16,7 @@ from pulsegrid.session import cut_lineage
 
 KEY = "subject_id"
 DAY_MINUTES = 1440
+SHORT_MINUTES = 120  # the longest window that is not one of a day
 # Carried metrics with output name and freshness cap in minutes.
 SPARSE_METRICS = {
     "heart_rate_variability": ("hrv", "hrv_minutes_since_last", DAY_MINUTES),
@@ -140,20 +141,67 @@ def health_values(health: Mapping[str, DataFrame]) -> dict[str, Column]:
     return made
 
 
-def health_windows(w, health: Mapping[str, DataFrame], step_seconds: int) -> dict[str, Column]:
+def health_windows(w, health: Mapping[str, DataFrame], step_seconds: int, *, day: bool = True) -> dict[str, Column]:
+    """Windows over bins; without ``day`` only those of up to two hours."""
     cols: dict[str, Column] = {}
     if "health_activity" in health:
         cols |= G.rolling_columns(w, "health_activity_value", "health_activity_roll_sum", (30, 60, 120), step_seconds, "sum")
-    if "workouts" in health:
+    if "workouts" in health and day:
         cols |= workout_windows(w, step_seconds)
     if "measurements" in health:
         for s in STATS:
             cols |= G.rolling_columns(w, f"heart_rate__{s}", f"heart_rate_{s}_roll_mean", (30, 60), step_seconds, "mean")
-        for name, _, _ in SPARSE_METRICS.values():
+        for name, _, _ in SPARSE_METRICS.values() if day else ():
             cols[f"{name}_roll_mean_24h"] = G.rolling(w, f"{name}_latest", DAY_MINUTES, step_seconds, "mean")
     return cols
 
 
+def day_parts(health: Mapping[str, DataFrame]) -> list[str]:
+    """The per-bin columns of :func:`health_parts` that windows of a day read."""
+    out = ["workout_event_count"] if "workouts" in health else []
+    return out + ([f"_m_{name}" for name, _, _ in SPARSE_METRICS.values()] if "measurements" in health else [])
+
+
+def row_before(w, health: Mapping[str, DataFrame], seconds: str) -> dict[str, Column]:
+    """What :func:`sparse_day_windows` needs of the row before: when it was and the values it carries."""
+    if "measurements" not in health:
+        return {}
+    return {"_before": F.lag(seconds).over(w), **{f"_was_{name}": F.lag(f"{name}_latest").over(w) for name, _, _ in SPARSE_METRICS.values()}}
+
+
+def sparse_day_windows(df: DataFrame, w, health: Mapping[str, DataFrame], step_seconds: int, seconds: str) -> DataFrame:
+    """The windows of a day where bins without an event may be missing.
+
+    ``w`` orders by ``seconds``.  A missing bin has no workout and the value
+    that the row before it carries (:func:`row_before`); so each row also counts
+    for the missing bins behind its predecessor.  The first bin of each wanted
+    window must be a row, or be before the subject's first bin.
+    """
+    cols, held = {}, {}
+    first = lambda minutes: (1 - G.steps_of(minutes, step_seconds)) * step_seconds
+    if "workouts" in health:
+        roll = lambda c, minutes: F.sum(c).over(w.rangeBetween(first(minutes), 0))
+        cols |= {f"recent_workout_{m // 60}h": (roll("workout_event_count", m) > 0).cast("int") for m in (360, 720)}
+        cols |= {
+            "workout_count_24h": roll("workout_event_count", DAY_MINUTES),
+            "workout_duration_sum_24h": roll("workout_duration_event", DAY_MINUTES),
+            "workout_active_energy_sum_24h": roll("workout_energy_event", DAY_MINUTES),
+        }
+    if "measurements" in health:
+        begin = first(DAY_MINUTES)
+        missing = (F.col(seconds) - F.col("_before")) / step_seconds - 1
+        behind = lambda c: F.when(missing > 0, missing * c).otherwise(0.0)
+        over = lambda c, low, high: F.coalesce(F.sum(c).over(w.rangeBetween(low, high)), F.lit(0.0))
+        for name, _, _ in SPARSE_METRICS.values():
+            value, was = F.coalesce(f"{name}_latest", F.lit(0.0)), F.coalesce(f"_was_{name}", F.lit(0.0))
+            known, knew = (F.col(c).isNotNull().cast("double") for c in (f"{name}_latest", f"_was_{name}"))
+            held |= {f"_v_{name}": value + behind(was), f"_n_{name}": known + behind(knew)}
+            total = over(f"_v_{name}", begin + step_seconds, 0) + over(value, begin, begin)
+            count = over(f"_n_{name}", begin + step_seconds, 0) + over(known, begin, begin)
+            cols[f"{name}_roll_mean_24h"] = F.try_divide(total, count)
+    return df.withColumns(held).withColumns(cols).drop(*held, *row_before(w, health, seconds))
+
+
 def finish_health(df: DataFrame, health: Mapping[str, DataFrame]) -> DataFrame:
     """Plausibility flag and nightly values; helper columns go."""
     if "workouts" in health:
