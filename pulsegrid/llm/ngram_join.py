@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from pulsegrid.llm.components import component_labels
 from pulsegrid.llm.memory import released
 from pulsegrid.llm.numbered import numbered
-from pulsegrid.llm.runs import by_key, whole_groups
+from pulsegrid.operators.groups import by_key, whole_groups
 from pulsegrid.llm.words import mix, shingles, split_words, text_blocks
 from pulsegrid.session import cut_lineage
 
