@@ -162,8 +162,8 @@ SQL_SCALING = with_(
 
 
 def q_segment_kernels(spark, sf_dir):
-    grid = prepared_bins(spark, sf_dir)
-    out = S.segment_kernels(grid.select(KEY, "ts", "bolus_units"), 3600, ["overnight", "morning", "afternoon", "evening"])
+    grid = prepared_bins(spark, sf_dir, KEY, "ts", "bolus_units")
+    out = S.segment_kernels(grid, 3600, ["overnight", "morning", "afternoon", "evening"])
     cols = [f"iob__{s}" for s in ("overnight", "morning", "afternoon", "evening")]
     return rounded(out.groupBy(KEY).agg(*[F.sum(c).alias(c) for c in cols], F.sum("iob_roll_sum_120m__morning").alias("roll_morning")), *cols, "roll_morning")
 
